@@ -59,7 +59,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     spark = docs.sparkSession
     lines = written(line_hashes(docs, min_chars), "line-hashes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    firsts = first_occurrences(lines, partitions)
+    firsts = written(first_occurrences(lines, partitions), "line-firsts")
     later = lines.join(firsts, ["h1", "h2"]).filter("ord > first").select("doc_id", "th", "pos")
     island = F.col("pos") - F.dense_rank().over(Window.partitionBy("doc_id", "th").orderBy("pos"))
     runs = later.withColumn("island", island).groupBy("doc_id", "th", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
