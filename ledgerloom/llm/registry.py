@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, line_dedup, mixing, secrets, sharding, token_counts
+from ledgerloom.llm import decontamination, line_dedup, mixing, secrets, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,26 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, html, h, min(page_id) OVER (PARTITION BY h) AS first,
+         [CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT) FOR k IN generate_series(0, 7)] AS v FROM p
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(q + 1 AS BIGINT), 1)
+                        FOR q IN flatten([[x // 32768, x // 1024 % 32, x // 32 % 32, x % 32] FOR x IN v])], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.judge(decontamination.find_overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     named = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -106,9 +126,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op7_sharding": op7_sharding,
         "op8_line_dedup": op8_line_dedup,
+        "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
