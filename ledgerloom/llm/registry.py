@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, line_dedup, mixing, quality, secrets, sharding, token_counts, warc
+from ledgerloom.llm import decontamination, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_docs(spark, sf_dir), 24)
     return placed.select(
@@ -132,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
+        "op6_near_dedup": op6_near_dedup,
         "op7_sharding": op7_sharding,
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
