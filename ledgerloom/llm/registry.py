@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
+from ledgerloom.llm import decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each page's visible text is rendered as one, whole, and those are the media column."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("media_id"), media.visible_text().alias("value"))
+    return media.copy_classes(pages, media.render_column).select(F.col("media_id").alias("page_id"), "class_id")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "class_id")
 
@@ -136,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
+        "op5_media": op5_media,
         "op6_near_dedup": op6_near_dedup,
         "op7_sharding": op7_sharding,
         "op8_line_dedup": op8_line_dedup,
