@@ -65,6 +65,17 @@ class LengthTable:
         return n
 
 
+#: This worker's table, kept from task to task.
+_TABLES: dict[tuple, LengthTable] = {}
+
+
+def worker_table(model_path: str, shared, cache_entries: int) -> LengthTable:
+    key = (model_path, cache_entries)
+    if key not in _TABLES:
+        _TABLES[key] = LengthTable(model_path, *shared.value, cache_entries)
+    return _TABLES[key]
+
+
 def frequent_lengths(model_path: str) -> tuple[str, bytes]:
     """The vocabulary's entries that are whole pre-tokens, and their lengths in tokens."""
     import regex
@@ -85,9 +96,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_entries: int = 500_000)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        table = worker_table(model_path, shared, cache_entries)
         for batch in batches:
-            table = table or LengthTable(model_path, *shared.value, cache_entries)
             texts = batch.column(1)
             sizes = texts.cast(pa.binary()) if not pa.types.is_large_string(texts.type) else texts.cast(pa.large_binary())
             n_bytes = np.array([len(x) if x is not None else 0 for x in sizes.to_pylist()], dtype=np.int64)
