@@ -252,28 +252,57 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), F.array().cast(kind), add)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, n_words, spans, items) of each document: hit words as merged [start, end) spans, and the ids of the items found."""
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    passes = [_one_pass(docs, items.filter(block_of == b).collect(), window, shard_bytes) for b in range(n_blocks)]  # about block_bytes each
-    if n_blocks == 1:
-        return passes[0].drop("th")
+    return [items.filter(block_of == b) for b in range(n_blocks)]
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, th, n_words, spans, items) of each document: hit words as merged [start, end) spans, and the ids of the items found."""
+    blocks = _item_blocks(benchmark, block_bytes)
+    passes = [_one_pass(docs, block.collect(), window, shard_bytes) for block in blocks]  # about block_bytes each
+    if len(blocks) == 1:
+        return passes[0]
     together = passes[0]
     for more in passes[1:]:
         together = together.unionByName(more)
     summed = together.groupBy("doc_id", "th").agg(
-        (F.count("*") / n_blocks).cast("int").alias("copies"),
+        (F.count("*") / len(blocks)).cast("int").alias("copies"),
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return summed.select("doc_id", "n_words", _merged(F.col("spans")).alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    return summed.select("doc_id", "th", "n_words", _merged(F.col("spans")).alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
 def judge(overlaps: DataFrame) -> DataFrame:
     """overlaps with n_hit and contaminated: some word is hit, and at least one word in twenty."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
     return overlaps.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+    """The documents, all columns, that are not contaminated. With one benchmark block no text is shuffled."""
+    blocks = _item_blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        bad = judge(find_overlaps(docs, benchmark, window, shard_bytes, block_bytes)).filter("contaminated")
+        bad = bad.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th")).distinct()
+        same = docs.doc_id.cast("long").eqNullSafe(bad.b_id) & (F.xxhash64(docs.text) == bad.b_th)
+        return docs.join(bad, same, "left_anti")
+    block = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in blocks[0].collect()])
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = None
+        for batch in batches:
+            windows = windows or Windows([i for i, _ in block.value], pa.array([t for _, t in block.value], pa.large_string()), window)
+            for low, high in slices(batch.column(column), shard_bytes):
+                n_words, spans, _ = _scan(windows, batch.column(column)[low:high])
+                hits = [sum(s["end"] - s["start"] for s in found) for found in spans]
+                clean = [h == 0 or 20 * h < n for h, n in zip(hits, n_words, strict=True)]
+                yield batch.slice(low, high - low).filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

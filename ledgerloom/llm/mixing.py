@@ -75,12 +75,16 @@ def apportion(rows: DataFrame, keys: list[str], within: list[str], weight: str,
     return summed
 
 
-def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, limit: float = 2.0, max_block: int = 1024, rows_per_shard: int = 512) -> DataFrame:
-    """(doc_id, source, size, source_size, target, shard, quota, block, start, taken) for every document.
+def _floor_div(a: Column, b: Column) -> Column:
+    """Whole-number division; b may be 0 where a is."""
+    return F.floor(a / F.greatest(b, F.lit(1)))
+
+
+def plan_mix(sizes: DataFrame, seed: int, share: float, limit: float, max_block: int, rows_per_shard: int) -> tuple[DataFrame, DataFrame]:
+    """The sources (source, source_size, target, block, shards) and the shards' quotas, as written tables.
 
     The block is 1/1024 of the smallest positive target, from 1 to max_block words, so that even that source comes near it.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sizes, share, limit)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
@@ -92,33 +96,84 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, limit: float = 2.0,
         .withColumn("shards", F.ceil(F.col("n_rows") / rows_per_shard))
     )
     sources = written(apportion(blocked, ["source"], [], "target", "seats", "most", [F.col("source").asc_nulls_last()]), "sources")
-
-    s = sources.select(F.col("source").alias("s_source"), "source_size", "target", "block", "shards", F.col("quota").alias("source_quota"))
-    placed = sizes.join(s, sizes.source.eqNullSafe(s.s_source)).drop("s_source")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
-    key = F.xxhash64("source").alias("skey")  # null-safe key: the same for every null
+    placed = _in_shards(sizes, sources, seed)
     cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
     cells = cells.withColumn("n_blocks", F.ceil(F.col("words") / F.col("block"))).withColumn("most", 2 * F.col("n_blocks"))
-    quotas = written(apportion(cells, ["source", "shard"], ["source"], "words", "source_quota", "most", [F.col("shard")]), "quotas")
-    q = quotas.select(key, F.col("shard"), "quota", "n_blocks", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("n_blocks", F.lit(1))).alias("offset"))
+    quotas = apportion(cells, ["source", "shard"], ["source"], "words", "source_quota", "most", [F.col("shard")])
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("n_blocks", F.lit(1)))
+    return sources, written(quotas.select(F.xxhash64("source").alias("skey"), "shard", "quota", "n_blocks", offset.alias("offset")), "quotas")
 
-    line = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    laid = placed.withColumn("skey", key).withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    laid = laid.join(q, ["skey", "shard"]).withColumn("start", F.col("end") - F.col("size"))
-    rounds = F.floor(F.col("quota") / F.greatest("n_blocks", F.lit(1)))
+
+def _in_shards(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    s = sources.select(F.col("source").alias("s_source"), "source_size", "target", "block", "shards", F.col("quota").alias("source_quota"))
+    placed = rows.join(s, rows.source.eqNullSafe(s.s_source)).drop("s_source")
+    return placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
+
+
+def picked(block_no: Column) -> Column:
+    """How many of a shard's blocks before block_no its systematic pick holds."""
     rest = F.pmod(F.col("quota"), F.greatest("n_blocks", F.lit(1)))
+    return _floor_div((block_no + F.col("offset")) * rest, F.col("n_blocks")) - _floor_div(F.col("offset") * rest, F.col("n_blocks"))
 
-    def picked(block_no: Column) -> Column:
-        """How many of the blocks before block_no the systematic pick holds."""
-        count = F.floor(((block_no + F.col("offset")) * F.col("rest")) / F.greatest("n_blocks", F.lit(1)))
-        return count - F.floor((F.col("offset") * F.col("rest")) / F.greatest("n_blocks", F.lit(1)))
 
-    def covered(word: Column) -> Column:
-        """How many of the words before this position lie in picked blocks."""
-        b = F.floor(word / F.col("block"))
-        return F.col("block") * picked(b) + (picked(b + 1) - picked(b)) * F.pmod(word, F.col("block"))
+def _covered(word: Column) -> Column:
+    """How many of a shard's words before this one lie in picked blocks."""
+    block = F.floor(word / F.col("block"))
+    return F.col("block") * picked(block) + (picked(block + 1) - picked(block)) * F.pmod(word, F.col("block"))
 
-    taken = F.col("size") * rounds + covered(F.col("end")) - covered(F.col("start"))
-    return laid.withColumn("rest", rest).withColumn("taken", taken.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "shard", "quota", "block", "start", "taken"
-    )
+
+def lay_out(rows: DataFrame, sources: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, source, size, ...) with start, rounds (whole takings) and extra (words taken once more)."""
+    line = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    placed = _in_shards(rows, sources, seed).withColumn("skey", F.xxhash64("source"))
+    laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["skey", "shard"])
+    laid = laid.withColumn("start", F.col("end") - F.col("size")).withColumn("rounds", _floor_div(F.col("quota"), F.col("n_blocks")))
+    return laid.withColumn("extra", _covered(F.col("end")) - _covered(F.col("start")))
+
+
+def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, limit: float = 2.0, max_block: int = 1024, rows_per_shard: int = 512) -> DataFrame:
+    """(doc_id, source, size, source_size, target, shard, quota, block, start, taken) for every document."""
+    sizes = _sizes(docs)
+    sources, quotas = plan_mix(sizes, seed, share, limit, max_block, rows_per_shard)
+    taken = (F.col("size") * F.col("rounds") + F.col("extra")).cast("long").alias("taken")
+    laid = lay_out(sizes, sources, quotas, seed)
+    return laid.select("doc_id", "source", "size", "source_size", "target", "shard", "quota", "block", "start", taken)
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), "sizes")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, share: float = 1.5, limit: float = 2.0, max_block: int = 1024, rows_per_shard: int = 512) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each whole taking of a document, and one with the words of its picked blocks.
+
+    A cut text starts at a word, keeps the white space inside and none at its end; n_chars, if there, follows the text.
+    """
+    sources, quotas = plan_mix(_sizes(docs), seed, share, limit, max_block, rows_per_shard)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), whole)
+    laid = lay_out(rows, sources, quotas, seed)
+    text = F.col("row")["text"]
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    blocks = F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")))
+    chosen = F.filter(blocks, lambda b: picked(b + 1) - picked(b) > 0)
+
+    def words_of(b: Column) -> Column:
+        low = F.greatest(b * F.col("block"), F.col("start"))
+        high = F.least((b + 1) * F.col("block"), F.col("start") + F.col("size"))
+        return F.slice("words", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+
+    cut = F.rtrim(F.array_join(F.flatten(F.transform("chosen", words_of)), ""))
+    part = F.when(F.col("extra") == F.col("size"), text).when(F.col("extra") > 0, cut)
+    texts = F.filter(F.concat(F.array_repeat(text, F.col("rounds").cast("int")), F.array(part)), lambda t: t.isNotNull())
+    some = laid.filter("size > 0").withColumn("words", F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), words)).withColumn("chosen", chosen)
+    exploded = some.select("row", F.explode(texts).alias("taken_text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("taken_text").alias(name)
+        if name == "n_chars":
+            return F.length("taken_text").cast(docs.schema[name].dataType).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return exploded.select(*[column(c) for c in docs.columns])

@@ -6,7 +6,7 @@ own; with more, a unit is a random bundle, at most 1/units of the data above its
 rows whatever the input, no group has to be gathered, and a document's shard follows from its own text hash.
 
 Slots number the rows of a shard without gaps: rows go to hash cells of about rows_per_cell documents, cells get offsets from
-a running sum of their counts, and rows are numbered inside their cell.
+a running sum of their counts, and rows are numbered inside their cell. The running sum has one row per cell.
 
 Defined results: null text has no bytes and belongs with the empty text; rows that repeat a doc_id each get a slot; an empty
 table gives no rows; extra columns are ignored. One text group above 1/shards of all bytes makes its shard that much larger.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import written
@@ -35,36 +35,63 @@ def longest_first(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int,
     return placed
 
 
-def assign(docs: DataFrame, shards: int = 24, units: int = UNITS, row_bytes: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, shard) for every document, read once."""
+def _unit(units: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(units)).cast("int")
+
+
+def measure(docs: DataFrame, units: int = UNITS, row_bytes: int = 8) -> DataFrame:
+    """(doc_id, size, text_crc32, unit) of every document, as a written table."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(row_bytes)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(units)).cast("int").alias("unit"),
+        _unit(units).alias("unit"),
     )
-    rows = written(rows, "shard-rows")
-    sizes = [(r.unit, r.total) for r in rows.groupBy("unit").agg(F.sum("size").alias("total")).collect()]  # at most `units` rows
-    plan = docs.sparkSession.createDataFrame(longest_first(sizes, shards), "unit int, shard int")
-    return rows.join(F.broadcast(plan), "unit").drop("unit")
-
-
-def number_slots(rows: DataFrame, rows_per_cell: int = 512) -> DataFrame:
-    """rows with slot: 0, 1, 2, ... inside each shard."""
-    rows = written(rows, "shard-assigned")
-    per_shard = rows.groupBy("shard").agg(F.ceil(F.count("*") / rows_per_cell).alias("cells"))
-    widest = per_shard.agg(F.max("cells")).first()[0] or 1
-    celled = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(widest)))
-    counts = celled.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    return written(rows, "shard-rows")
+
+
+def plan_units(measured: DataFrame, shards: int) -> DataFrame:
+    """(unit, shard), at most UNITS rows, to be broadcast."""
+    sizes = [(r.unit, r.total) for r in measured.groupBy("unit").agg(F.sum("size").alias("total")).collect()]
+    return F.broadcast(measured.sparkSession.createDataFrame(longest_first(sizes, shards), "unit int, shard int"))
+
+
+def cell_offsets(assigned: DataFrame, rows_per_cell: int = 512) -> tuple[int, DataFrame]:
+    """The number of cells of a shard, and the first slot (shard, cell, offset) of each."""
+    largest = assigned.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    cells = max(1, -(-largest // rows_per_cell))
+    counts = assigned.groupBy("shard", _cell(cells).alias("cell")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    others = [c for c in rows.columns if c not in ("shard", "doc_id")]
-    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", *others))
-    numbered = celled.withColumn("inside", inside).join(offsets, ["shard", "cell"])
+    return cells, written(counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "shard-offsets")
+
+
+def _cell(cells: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(cells))
+
+
+def number_slots(rows: DataFrame, cells: int, offsets: DataFrame, order: list[str]) -> DataFrame:
+    """rows with slot: 0, 1, 2, ... inside each shard; order breaks ties of doc_id."""
+    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", *order))
+    numbered = rows.withColumn("cell", _cell(cells)).withColumn("inside", inside).join(offsets, ["shard", "cell"])
     return numbered.withColumn("slot", (F.col("offset") + F.col("inside") - 1).cast("long")).drop("cell", "inside", "offset")
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot)."""
-    return number_slots(assign(docs, shards)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    measured = measure(docs)
+    assigned = measured.join(plan_units(measured, shards), "unit")
+    placed = number_slots(assigned, *cell_offsets(assigned), ["text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """The documents, all columns, with their shard and slot; text is moved once."""
+    measured = measure(docs)
+    plan = plan_units(measured, shards)
+    cells, offsets = cell_offsets(measured.join(plan, "unit"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), _unit(UNITS).alias("unit"), whole)
+    placed = number_slots(rows.join(plan, "unit"), cells, offsets, ["th"])
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return placed.select(*others, "shard", "slot")
