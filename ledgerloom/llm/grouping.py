@@ -1,12 +1,13 @@
-"""Classes of similar things from hash buckets, without ever listing all pairs of a bucket.
+"""Classes of similar things from hash buckets, without listing all pairs of a bucket.
 
 Each bucket's most popular member (the one whose buckets are fullest: the hub of a group of copies) is compared with all other
 members of its bucket. Links become classes by alternating large-star and small-star steps. A bucket is settled when all members not
-yet compared with the rest share a class, since then nothing there can join classes. The others go on with four times as
-many leaders a round, so a bucket of k unlike members takes about log4(k) rounds and no link between classes is ever lost. Pairs are
-linear in the members for groups that hold together, however large.
+yet compared with the rest share a class, since then nothing there can join classes. The members of the other buckets are handed to
+`rivals`, which finds the links left among them by whatever exact filter the measure allows; without one, unsettled buckets go on with four times as many leaders a round, so a bucket of k unlike members takes about log4(k) rounds. Either
+way no link between classes is lost, and pairs are linear in the members for groups that hold together, however large.
 
-Every round's tables are written to the shared folder. Joins on a hot bucket are plain equi-joins between written tables, which AQE splits.
+Tables are written to the shared folder, small ones in few files. Joins on a hot bucket are plain equi-joins between written tables,
+which AQE splits.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import written
 
+_ROWS_PER_FILE = 500_000
+
 
 def _signature(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -29,13 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _signature(current)
     while seen[0]:
+        files = 1 + 2 * seen[0] // _ROWS_PER_FILE
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(files), "lowest")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "large-star")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
+        large = written(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(files), "large-star")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "lowest")
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        current = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star")
+        current = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), "small-star")
         now = _signature(current)
         if now == seen:
             break
@@ -45,24 +49,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The members (key, node) of keys with two nodes or more, with the node's popularity."""
-    members = written(members.distinct(), "bucket-members")
+    """The members (key, node), each once, of keys with two nodes or more, with the node's popularity."""
     counts = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     full = written(members.join(written(counts, "bucket-sizes"), "key"), "bucket-full")
     popular = written(full.groupBy("node").agg(F.sum("size").alias("popularity")), "popularity")
     return written(full.select("key", "node").join(popular, "node"), "buckets")
 
 
-def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def classes(
+    buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], rivals: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the linked nodes, and the links (a, b) found.
 
-    buckets has (key, node, popularity); compare takes pairs (a, b), a < b, and returns those that are similar.
+    buckets has (key, node, popularity); compare takes pairs (a, b), a < b, and returns those that are similar. rivals takes (node,
+    label) and returns every link (a, b) between nodes of different labels.
     """
     rank = F.struct("popularity", (-F.col("node")).alias("low"))
     leaders = written(buckets.groupBy("key").agg(F.max_by("node", rank).alias("leader")), "leaders")
     led = buckets.join(leaders, "key").filter("node <> leader")
-    pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = written(compare(written(pairs, "pairs")), "links")
+    links = written(compare(_pairs(led)), "links")
     labels = written(components(links), "labels")
     open_members = led.select("key", "node", "popularity")
     many = 4
@@ -74,12 +79,18 @@ def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> tu
         if unsettled.isEmpty():
             return labels, links
         rest = labelled.join(unsettled, "key")
+        if rivals is not None:
+            links = written(links.union(rivals(written(rest.select("node", "label").distinct(), "open-nodes"))), "links")
+            return written(components(links), "labels"), links
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("popularity"), "node"))
         lead = written(rest.withColumn("place", place).filter(F.col("place") <= many), "next-leaders")
         ahead = lead.select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        met = rest.join(ahead, "key").filter("label <> leader_label")
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        links = written(links.union(compare(written(pairs, "pairs"))), "links")
+        links = written(links.union(compare(_pairs(rest.join(ahead, "key").filter("label <> leader_label")))), "links")
         labels = written(components(links), "labels")
         open_members = rest.join(lead.select("key", "node"), ["key", "node"], "left_anti")
         many *= 4
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    return written(pairs, "pairs")

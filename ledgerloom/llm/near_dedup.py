@@ -9,6 +9,11 @@ drawn up to a time by which all components have very likely been hit; rows that
 Texts of equal word sequences are first made one node (128-bit hash, map-side minimum). Signatures are cut into bands; nodes that
 share a band are compared through grouping.classes on their whole multisets, and similar ones form a class.
 
+What a bucket's hub leaves unsettled (texts that share a band with many others at, say, 0.7) goes through an exact prefix filter: with
+elements in one order, rare ones first, two multisets of sizes x and y can reach the similarity only if they share one of their first
+x - o + 1 and y - o + 1 elements, o being the overlap needed. Rarity comes from a sketch of fixed size; any order keeps the filter exact.
+Where very many texts share a leading element, those outside the largest class are asked in broadcast blocks instead of as pairs.
+
 Words are runs of digits, letters and non-ASCII characters, A-Z as a-z. Defined results: a text of fewer words than a shingle is one
 shingle; texts without words, null and empty ones among them, are one class; a null doc_id gets a number made from its text; rows that
 share a doc_id are one document and share a class; an empty table gives no rows; extra columns are ignored.
@@ -16,7 +21,7 @@ share a doc_id are one document and share a class; an empty table gives no rows;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +162,109 @@ def _elements(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, elements array<int>")
 
 
+_SKETCH = 1 << 20
+_STEP = 1.05
+
+
+def _size_class(n: int) -> int:
+    return int(np.floor(np.log(n) / np.log(_STEP) + 1e-9))
+
+
+def prefix_keys(elements: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a multiset's leading elements, for each class of partner sizes; elements that no other text has are left out."""
+    own = np.unique(elements)
+    n = len(own)
+    count = sketch[own & (_SKETCH - 1)]
+    order = np.lexsort((own, count))
+    shared = count[order] > 1
+    own_class, keys = _size_class(n), []
+    least, most = int(np.ceil(similarity * n - 1e-9)), int(np.floor(n / similarity + 1e-9))
+    for partner in range(_size_class(max(1, least)), _size_class(most) + 1):
+        smallest = max(least, int(np.ceil(_STEP**partner - 1e-6)))
+        overlap = int(np.ceil(similarity / (1 + similarity) * (n + smallest) - 1e-9))
+        lead = order[: max(0, n - overlap + 1)]
+        lead = lead[shared[: len(lead)]]
+        pair = mix64(np.array([min(own_class, partner) * 4096 + max(own_class, partner)], np.uint64))
+        keys.append(mix64(own[lead].astype(np.uint32).astype(np.uint64) * _A + pair))
+    return np.concatenate(keys).view(np.int64)
+
+
+def _open_links(open_nodes: DataFrame, sets: DataFrame, similarity: float, compare: Callable[[DataFrame], DataFrame], hot: int = 64) -> DataFrame:
+    """The links (a, b) between open nodes of different labels.
+
+    Nodes that share a prefix key with at most `hot` others are paired; for fuller keys see _block_links.
+    """
+    held = written(sets.join(open_nodes, "node").select("node", "label", "elements"), "open-elements")
+    slot = F.explode("elements").alias("e")
+    slots = held.select(slot).groupBy(F.col("e").bitwiseAND(F.lit(_SKETCH - 1)).alias("slot")).agg(F.count("*").alias("n")).toArrow()  # _SKETCH rows at most
+    sketch = np.zeros(_SKETCH, np.uint32)
+    sketch[slots.column("slot").to_numpy()] = np.minimum(slots.column("n").to_numpy(), 2**32 - 1)
+    shared = held.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.unique(prefix_keys(e, shared.value, similarity)) if len(e) else np.zeros(0, np.int64) for e in _lists(batch.column(2))]
+            place = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(place), batch.column(1).take(place)], ["key", "node", "label"])
+
+    leads = written(held.mapInArrow(run, "key long, node long, label long"), "prefix-keys")
+    by_label = leads.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = F.max_by("label", F.struct("n", "label")).alias("main")
+    mixed = by_label.groupBy("key").agg(main, F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1")
+    met = written(leads.join(written(mixed.select("key", "main", "n"), "mixed-keys"), "key"), "mixed-leads")
+    cold = met.filter(F.col("n") <= hot)
+    fewer = cold.filter("label <> main").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+    pairs = cold.join(fewer, "key").filter("label <> leader_label").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    links = compare(written(pairs.distinct(), "rivals"))
+    warm = met.filter(F.col("n") > hot)
+    asking = written(held.join(warm.filter("label <> main").select("node").distinct(), "node"), "asking")
+    asked = written(held.join(warm.select("node").distinct(), "node"), "asked")
+    return links.union(_block_links(asking, asked, similarity))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, bounds = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _block_links(asking: DataFrame, asked: DataFrame, similarity: float, block_elements: int = 4_000_000) -> DataFrame:
+    """The links (a, b) of asking with asked: blocks of asking, of about block_elements, are broadcast one after the other.
+
+    Each task inverts the block and counts a text's overlaps with all of it at once, so only links become rows.
+    """
+    spark = asked.sparkSession
+    total = asking.agg(F.sum(F.size("elements"))).first()[0] or 0
+    blocks = -(-total // block_elements)
+    links = spark.createDataFrame([], "a long, b long")
+    for block in range(blocks):
+        rows = asking.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        texts = [np.unique(e) for e in rows.column("elements").to_pylist()]
+        shared = spark.sparkContext.broadcast((rows.column("node").to_numpy(), rows.column("label").to_numpy(), texts))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            nodes, labels, own = shared.value
+            sizes = np.array([len(e) for e in own])
+            values, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for batch in batches:
+                found = []
+                for node, label, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
+                    e = np.unique(elements)
+                    low, high = np.searchsorted(values, e, "left"), np.searchsorted(values, e, "right")
+                    many = high - low
+                    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many)
+                    common = np.bincount(owner[at], minlength=len(own))
+                    near = np.flatnonzero((common >= similarity * (sizes + len(e) - common)) & (labels != label))
+                    found += [(min(node, int(nodes[k])), max(node, int(nodes[k]))) for k in near]
+                a, b = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        links = links.union(written(asked.select("node", "label", "elements").mapInArrow(run, "a long, b long"), "block-links"))
+    return links.distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 20, rows_per_band: int = 6) -> DataFrame:
     """(doc_id, id, class_id) of every document row; class_id is the smallest id of its class.
 
@@ -179,7 +287,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         union = F.size("a_set") + F.size("b_set") - common
         return met.filter(common >= union * F.lit(similarity)).select("a", "b").distinct()
 
-    labels, _ = grouping.classes(buckets, compare)
+    labels, _ = grouping.classes(buckets, compare, lambda nodes: _open_links(nodes, sets, similarity, compare))
     # A document whose rows differ joins the classes of all its texts.
     joined = placed.join(labels.withColumnRenamed("label", "class"), "node", "left")
     return joined.select("doc_id", "id", F.coalesce("class", "node").alias("class_id"))
