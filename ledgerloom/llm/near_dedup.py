@@ -32,7 +32,8 @@ from ledgerloom.llm import grouping
 from ledgerloom.llm.scratch import written
 from ledgerloom.llm.words import Words, cut_words, mix64, slices
 
-_SLICE = 4 << 20
+_SLICE = 1 << 20
+_CHUNK = 1 << 14  # processes drawn from together
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -83,25 +84,9 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_rows:
     seed = mix64(shingle[element] * _B + interval.astype(np.uint64) * _C + _A)
     wanted = np.ones(n_rows, bool)
     while True:
-        active = np.flatnonzero(wanted[owner])
-        time, drawn, step = np.zeros(len(active)), 0, 1
-        while len(active):
-            index = np.arange(drawn, drawn + step, dtype=np.uint64)
-            z = mix64(seed[active][:, None] + index[None, :] * _A)
-            gaps = -np.log(((z >> np.uint64(11)).astype(float) + 1.0) * 2.0**-53) / length[active][:, None]
-            times = time[:, None] + np.cumsum(gaps, axis=1)
-            mark = mix64(z ^ _C)
-            place = low[active][:, None] + length[active][:, None] * ((mark & np.uint64(0xFFFFFFFF)).astype(float) + 1.0) * 2.0**-32
-            good = (times <= until[owner[active]][:, None]) & (np.ceil(place) <= limit[active][:, None])
-            slot = owner[active][:, None] * m + ((mark >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-            slot, at, identity = slot[good], times[good], z[good]
-            np.minimum.at(best, slot, at)
-            won = at == best[slot]
-            winner[slot[won]] = identity[won]
-            time = times[:, -1]
-            alive = time <= until[owner[active]]
-            active, time = active[alive], time[alive]
-            drawn, step = drawn + step, 1 if drawn < 3 else 32
+        todo = np.flatnonzero(wanted[owner])
+        for at in range(0, len(todo), _CHUNK):
+            _draw(todo[at : at + _CHUNK], seed, low, length, limit, owner, until, m, best, winner)
         wanted = np.isinf(best.reshape(n_rows, m)).any(axis=1) & (weight > 0)
         if not wanted.any():
             return winner.reshape(n_rows, m)
@@ -109,6 +94,39 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_rows:
         best.reshape(n_rows, m)[wanted] = np.inf
 
 
+def _draw(
+    active: np.ndarray,
+    seed: np.ndarray,
+    low: np.ndarray,
+    length: np.ndarray,
+    limit: np.ndarray,
+    owner: np.ndarray,
+    until: np.ndarray,
+    m: int,
+    best: np.ndarray,
+    winner: np.ndarray,
+) -> None:
+    """Draws the points of the active processes up to their rows' times, keeping each component's earliest in best and winner."""
+    time, drawn, step = np.zeros(len(active)), 0, 1
+    while len(active):
+        index = np.arange(drawn, drawn + step, dtype=np.uint64)
+        z = mix64(seed[active][:, None] + index[None, :] * _A)
+        gaps = -np.log(((z >> np.uint64(11)).astype(float) + 1.0) * 2.0**-53) / length[active][:, None]
+        times = time[:, None] + np.cumsum(gaps, axis=1)
+        mark = mix64(z ^ _C)
+        place = low[active][:, None] + length[active][:, None] * ((mark & np.uint64(0xFFFFFFFF)).astype(float) + 1.0) * 2.0**-32
+        good = (times <= until[owner[active]][:, None]) & (np.ceil(place) <= limit[active][:, None])
+        slot = owner[active][:, None] * m + ((mark >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+        slot, at, identity = slot[good], times[good], z[good]
+        np.minimum.at(best, slot, at)
+        won = at == best[slot]
+        winner[slot[won]] = identity[won]
+        time = times[:, -1]
+        alive = time <= until[owner[active]]
+        active, time = active[alive], time[alive]
+        drawn, step = drawn + step, 1 if drawn < 3 else 32
+
+
 def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     n, m = signature.shape
     parts = signature.reshape(n, bands, m // bands)

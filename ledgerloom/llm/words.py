@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -38,7 +38,7 @@ def _byte_values() -> np.ndarray:
     return values
 
 
-@lru_cache(1)
+@lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i below n."""
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -66,7 +66,7 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_words(column: pa.Array) -> Words:
-    """Words are runs of digits, letters and non-ASCII characters; A-Z counts as a-z. Memory is bounded by pieces of 2 MB."""
+    """Words are runs of digits, letters and non-ASCII characters; A-Z counts as a-z. Memory is bounded by pieces of 256 KB."""
     data, offsets = raw_bytes(column)
     classes, values = _byte_classes(), _byte_values()
     hashes, rows, at, end = [], [], int(offsets[0]), int(offsets[-1])
