@@ -38,7 +38,6 @@ def check_result(raw: str | None) -> dict:
     return {"status": "ok", "summary": data["summary"], "fields": fields}
 
 
-@F.pandas_udf(RESULT_TYPE)
 def _checked(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     # No JVM function is strict enough: they coerce types, take single quotes or NaN, or let text follow the value.
     for batch in raw:
@@ -47,7 +46,7 @@ def _checked(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def parse_result(output: Column) -> Column:
     """A model's output as struct<status, summary, fields>; a code fence around it is taken off."""
-    return _checked(strip_code_fence(output))
+    return F.pandas_udf(_checked, RESULT_TYPE)(strip_code_fence(output))
 
 
 def within(c: Column, low: int, high: int) -> Column:

@@ -35,3 +35,10 @@ def latest_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key
     """Each parent with its first child under order, or nulls; no parent is lost."""
     top = first_per_key(child, child_key, order)
     return parent.join(top, parent[parent_key] == top[child_key], "left")
+
+
+def with_next_number(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, number: str, name: str) -> DataFrame:
+    """Each parent row with the number its next child gets: the highest so far plus one, 1 where there is none."""
+    highest = child.groupBy(F.col(child_key).alias("__k")).agg(F.max(number).alias("__n"))
+    joined = parent.join(highest, parent[parent_key] == highest["__k"], "left")
+    return joined.withColumn(name, F.coalesce("__n", F.lit(0)) + 1).drop("__k", "__n")

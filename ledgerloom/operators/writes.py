@@ -68,7 +68,7 @@ def audit_event(actor: Column, action: str, target_type: Column, target_id: Colu
     return [
         actor.alias("actor_user_id"),
         F.lit(action).alias("action"),
-        target_type.alias("target_type"),
+        F.lit(target_type).alias("target_type"),
         target_id.alias("target_id"),
         F.to_json(meta).alias("meta"),
         at.alias("created_at"),

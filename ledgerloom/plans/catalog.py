@@ -1,54 +1,14 @@
-"""Named queries over the driver tables and their DuckDB equivalents."""
+"""All queries over the driver tables and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerloom.operators import relations
-from ledgerloom.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query under its survey id; sql is what DuckDB runs on the same tables."""
-
-    def add(query: Query) -> Query:
-        _QUERIES[name] = query
-        if sql is not None:
-            _ORACLES[name] = sql
-        return query
-
-    return add
-
-
-@register(
-    "A3_children_count",
-    """
-    SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, coalesce(n.cnt, 0) AS n_lines
-    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_mktsegment = 'BUILDING'
-    LEFT JOIN (SELECT l_orderkey, count(*) AS cnt FROM lineitem GROUP BY 1) n ON n.l_orderkey = o.o_orderkey
-    """,
-)
-def a3_children_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buyers = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    scoped = orders.join(buyers, orders.o_custkey == buyers.c_custkey).drop("c_custkey")
-    counted = relations.with_child_count(
-        scoped, table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", "n_lines"
-    )
-    return counted.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+from ledgerloom.plans import changes, records, relational, strings  # noqa: F401  each registers its queries
+from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
