@@ -245,7 +245,7 @@ def _merged(spans: Column) -> Column:
 
     def add(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        longer = F.named_struct(F.lit("start"), last["start"], F.lit("end"), F.greatest(last["end"], s["end"]))
         joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"])
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
 
