@@ -83,12 +83,12 @@ def _floor_div(a: Column, b: Column) -> Column:
 def plan_mix(sizes: DataFrame, seed: int, share: float, limit: float, max_block: int, rows_per_shard: int) -> tuple[DataFrame, DataFrame]:
     """The sources (source, source_size, target, block, shards) and the shards' quotas, as written tables.
 
-    The block is 1/1024 of the smallest positive target, from 1 to max_block words, so that even that source comes near it.
+    The block is 1/256 of the smallest positive target, from 1 to max_block words: that source comes near it, and cut texts stay readable.
     """
     targets = source_targets(sizes, share, limit)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    block = F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.coalesce(smallest, F.lit(1.0)) / 1024))).cast("long")
+    block = F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.coalesce(smallest, F.lit(1.0)) / 256))).cast("long")
     blocked = (
         targets.withColumn("block", block)
         .withColumn("seats", F.round(F.sum("target").over(everything) / F.col("block")).cast("long"))

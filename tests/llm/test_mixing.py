@@ -75,7 +75,9 @@ def test_the_mix_holds_the_words_it_claims(spark):
     for r in rows.collect():
         words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
         held[r.doc_id] += len(words)
-        assert r.n_chars == len(r.text) and " ".join(words)[:20] in " ".join(whole[r.doc_id])
+        assert r.n_chars == len(r.text)
+        rest = iter(whole[r.doc_id])
+        assert all(w in rest for w in words)  # in the document's order
     assert held == claimed
 
 
