@@ -57,17 +57,18 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def classes(
-    buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], rivals: Callable[[DataFrame], DataFrame] | None = None
+    buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], rivals: Callable[[DataFrame], DataFrame] | None = None, votes: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the linked nodes, and the links (a, b) found.
 
     buckets has (key, node, popularity); compare takes pairs (a, b), a < b, and returns those that are similar. rivals takes (node,
-    label) and returns every link (a, b) between nodes of different labels.
+    label) and returns every link (a, b) between nodes of different labels. With rivals, a hub is compared only with members that share
+    at least `votes` of its buckets; a link is then kept if its nodes share that many.
     """
     rank = F.struct("popularity", (-F.col("node")).alias("low"))
     leaders = written(buckets.groupBy("key").agg(F.max_by("node", rank).alias("leader")), "leaders")
     led = buckets.join(leaders, "key").filter("node <> leader")
-    links = written(compare(_pairs(led)), "links")
+    links = written(compare(_pairs(led, votes)), "links")
     labels = written(components(links), "labels")
     open_members = led.select("key", "node", "popularity")
     many = 4
@@ -91,6 +92,7 @@ def classes(
         many *= 4
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+def _pairs(met: DataFrame, votes: int = 1) -> DataFrame:
+    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    pairs = pairs.distinct() if votes == 1 else pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= votes).select("a", "b")
     return written(pairs, "pairs")
