@@ -1,10 +1,11 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Lague apportionment of words, taken in long runs.
 
-Only DataFrame functions. Text is read once for its sizes. Sources get integer numbers of blocks by highest quotients
-(weight / (2k - 1)); the blocks of a source are apportioned the same way to its shards, which are hash groups of about
+Only DataFrame functions. Text is read once for its sizes. Sources get integer numbers of words by highest quotients
+(weight / (2k - 1)); the words of a source are apportioned the same way to its shards, which are hash groups of about
 rows_per_shard documents, so a source with a third of all rows is spread over many shards. In each shard the documents lie
-end to end in seeded order, cut into blocks; whole rounds of blocks are taken, and the rest is a systematic pick of blocks
-from a seeded start. A document's taken words follow in closed form from its position, so no block is ever a row.
+end to end in seeded order; they are taken whole as often as the quota allows, and the rest is a systematic pick of runs, one
+at the head of each of equal segments, from a seeded start. The runs of a source are as long as its own block, and together hold
+the rest to the word. A document's taken words follow in closed form from its position, so no run is ever a row.
 
 Only candidate quotients that can win or lose are ranked: with n rivals, seats stay within n/2 of the proportional share, so
 about 3n rows are compared. Sources are one row each in the global ranking (their number is the only thing that task holds).
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
+MIN_BLOCK = 64
 
 
 def word_count(text: Column) -> Column:
@@ -83,25 +85,27 @@ def _floor_div(a: Column, b: Column) -> Column:
 def plan_mix(sizes: DataFrame, seed: int, share: float, limit: float, max_block: int, rows_per_shard: int) -> tuple[DataFrame, DataFrame]:
     """The sources (source, source_size, target, block, shards) and the shards' quotas, as written tables.
 
-    The block is 1/256 of the smallest positive target, from 1 to max_block words: that source comes near it, and cut texts stay readable.
+    A source's block is 1/256 of its own target, from MIN_BLOCK to max_block words; quotas are words, so no source is short by a cut block.
     """
     targets = source_targets(sizes, share, limit)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    block = F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.coalesce(smallest, F.lit(1.0)) / 256))).cast("long")
+    block = F.least(F.lit(max_block), F.greatest(F.lit(MIN_BLOCK), F.floor(F.coalesce("target", F.lit(0.0)) / 256))).cast("long")
     blocked = (
         targets.withColumn("block", block)
-        .withColumn("seats", F.round(F.sum("target").over(everything) / F.col("block")).cast("long"))
-        .withColumn("most", 2 * F.ceil(F.col("source_size") / F.col("block")) + 2)
+        .withColumn("seats", F.round(F.sum("target").over(everything)).cast("long"))
+        .withColumn("most", F.ceil(F.col("source_size") * F.lit(limit)))
         .withColumn("shards", F.ceil(F.col("n_rows") / rows_per_shard))
     )
     sources = written(apportion(blocked, ["source"], [], "target", "seats", "most", [F.col("source").asc_nulls_last()]), "sources")
     placed = _in_shards(sizes, sources, seed)
     cells = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
-    cells = cells.withColumn("n_blocks", F.ceil(F.col("words") / F.col("block"))).withColumn("most", 2 * F.col("n_blocks"))
+    cells = cells.withColumn("most", F.ceil(F.col("words") * F.lit(limit)))
     quotas = apportion(cells, ["source", "shard"], ["source"], "words", "source_quota", "most", [F.col("shard")])
-    offset = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("n_blocks", F.lit(1)))
-    return sources, written(quotas.select(F.xxhash64("source").alias("skey"), "shard", "quota", "n_blocks", offset.alias("offset")), "quotas")
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest("words", F.lit(1)))
+    rest = F.pmod("quota", F.greatest("words", F.lit(1)))
+    runs = F.greatest(F.lit(1), F.least(_floor_div(F.col("rest"), F.col("block")), F.col("words") - F.col("rest")))
+    cut = quotas.withColumn("rest", rest).withColumn("runs", runs).withColumn("offset", offset)
+    return sources, written(cut.select(F.xxhash64("source").alias("skey"), "shard", "quota", F.col("words").alias("shard_words"), "rest", "runs", "offset"), "quotas")
 
 
 def _in_shards(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
@@ -110,16 +114,22 @@ def _in_shards(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
 
 
-def picked(block_no: Column) -> Column:
-    """How many of a shard's blocks before block_no its systematic pick holds."""
-    rest = F.pmod(F.col("quota"), F.greatest("n_blocks", F.lit(1)))
-    return _floor_div((block_no + F.col("offset")) * rest, F.col("n_blocks")) - _floor_div(F.col("offset") * rest, F.col("n_blocks"))
+def _segment(word: Column) -> Column:
+    """The segment of a shard that holds a word; segment k starts at word k * shard_words / runs, rounded down."""
+    return _floor_div((word + 1) * F.col("runs") - 1, F.col("shard_words"))
+
+
+def _run(segment: Column) -> tuple[Column, Column]:
+    """The first word of a segment's run and the one after its last. A run never outgrows its segment, as runs <= shard_words - rest."""
+    first = _floor_div(segment * F.col("shard_words"), F.col("runs"))
+    return first, first + _floor_div((segment + 1) * F.col("rest"), F.col("runs")) - _floor_div(segment * F.col("rest"), F.col("runs"))
 
 
 def _covered(word: Column) -> Column:
-    """How many of a shard's words before this one lie in picked blocks."""
-    block = F.floor(word / F.col("block"))
-    return F.col("block") * picked(block) + (picked(block + 1) - picked(block)) * F.pmod(word, F.col("block"))
+    """How many of the words before this one, counted from the seeded start, lie in runs."""
+    segment = _segment(word)
+    first, end = _run(segment)
+    return _floor_div(segment * F.col("rest"), F.col("runs")) + F.least(word, end) - first
 
 
 def lay_out(rows: DataFrame, sources: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
@@ -127,8 +137,8 @@ def lay_out(rows: DataFrame, sources: DataFrame, quotas: DataFrame, seed: int) -
     line = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
     placed = _in_shards(rows, sources, seed).withColumn("skey", F.xxhash64("source"))
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["skey", "shard"])
-    laid = laid.withColumn("start", F.col("end") - F.col("size")).withColumn("rounds", _floor_div(F.col("quota"), F.col("n_blocks")))
-    return laid.withColumn("extra", _covered(F.col("end")) - _covered(F.col("start")))
+    laid = laid.withColumn("start", F.col("end") - F.col("size")).withColumn("rounds", _floor_div(F.col("quota"), F.col("shard_words")))
+    return laid.withColumn("extra", _covered(F.col("end") + F.col("offset")) - _covered(F.col("start") + F.col("offset")))
 
 
 def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, limit: float = 2.0, max_block: int = 1024, rows_per_shard: int = 512) -> DataFrame:
@@ -145,7 +155,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, share: float = 1.5, limit: float = 2.0, max_block: int = 1024, rows_per_shard: int = 512) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each whole taking of a document, and one with the words of its picked blocks.
+    """The mix itself, in the columns of docs: a row for each whole taking of a document, and one with the words of its runs.
 
     A cut text starts at a word, keeps the white space inside and none at its end; n_chars, if there, follows the text.
     """
@@ -155,13 +165,18 @@ def mixed_documents(docs: DataFrame, seed: int = 17, share: float = 1.5, limit:
     laid = lay_out(rows, sources, quotas, seed)
     text = F.col("row")["text"]
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    blocks = F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block")))
-    chosen = F.filter(blocks, lambda b: picked(b + 1) - picked(b) > 0)
+    segments = F.sequence(_segment(F.col("start") + F.col("offset")), _segment(F.col("end") + F.col("offset") - 1))
+
+    def span(segment: Column) -> Column:
+        first, end = _run(segment)
+        low = F.greatest(first - F.col("offset"), F.col("start"))
+        high = F.least(end - F.col("offset"), F.col("end"))
+        return F.struct((low - F.col("start") + 1).cast("int").alias("at"), (high - low).cast("int").alias("many"))
+
+    chosen = F.filter(F.transform(segments, span), lambda s: s["many"] > 0)
 
-    def words_of(b: Column) -> Column:
-        low = F.greatest(b * F.col("block"), F.col("start"))
-        high = F.least((b + 1) * F.col("block"), F.col("start") + F.col("size"))
-        return F.slice("words", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    def words_of(s: Column) -> Column:
+        return F.slice("words", s["at"], s["many"])
 
     cut = F.rtrim(F.array_join(F.flatten(F.transform("chosen", words_of)), ""))
     part = F.when(F.col("extra") == F.col("size"), text).when(F.col("extra") > 0, cut)

@@ -90,3 +90,23 @@ def test_extra_columns_survive_the_mix(clashing, no_docs):
 def test_a_source_of_null_texts_takes_nothing(spark):
     docs = spark.createDataFrame([(1, None, None, "a", None), (2, None, None, None, None)], SCHEMA)
     assert [r.taken for r in mixing.mix(docs).collect()] == [0, 0]
+
+
+def _texts(first, source, n, words):
+    return [(first + k, " ".join(f"{source}{k}_{i}" for i in range(words)), "en", source, None) for k in range(n)]
+
+
+def test_a_tiny_source_leaves_the_others_whole_runs(spark):
+    rows = _texts(0, "a", 60, 900) + _texts(100, "b", 60, 900) + _texts(200, "c", 1, 100) + _texts(300, None, 1, 10)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes, mixed, runs = collections.Counter(), collections.Counter(), []
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    for r in mixing.mixed_documents(docs).collect():
+        at = [int(w.rsplit("_", 1)[1]) for w in r.text.split()]
+        mixed[r.source] += len(at)
+        if r.source in ("a", "b") and len(at) < 900:
+            runs.append(len(at) / (1 + sum(y != x + 1 for x, y in zip(at, at[1:], strict=False))))
+    assert runs and sum(runs) / len(runs) >= 50
+    for source, target in water_fill(dict(sizes)).items():
+        assert abs(mixed[source] - target) <= 1
