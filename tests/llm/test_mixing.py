@@ -110,3 +110,10 @@ def test_a_tiny_source_leaves_the_others_whole_runs(spark):
     assert runs and sum(runs) / len(runs) >= 50
     for source, target in water_fill(dict(sizes)).items():
         assert abs(mixed[source] - target) <= 1
+
+
+def test_large_sources_of_short_texts_meet_their_targets(spark):
+    short = spark.range(200_000).selectExpr("id AS doc_id", "array_join(array_repeat('w', CAST(1 + id % 5 AS INT)), ' ') AS text", "'en' AS lang", "'a' AS source", "0L AS n_chars")
+    long = spark.range(2_000).selectExpr("1000000 + id AS doc_id", "array_join(array_repeat('w', 400), ' ') AS text", "'en' AS lang", "IF(id % 2 = 0, 'b', 'c') AS source", "0L AS n_chars")
+    per = mixing.mix(short.union(long)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(per) == 3 and all(abs(r.taken - r.target) <= 1 for r in per)
