@@ -97,7 +97,7 @@ def _texts(first, source, n, words):
 
 
 def test_a_tiny_source_leaves_the_others_whole_runs(spark):
-    rows = _texts(0, "a", 60, 900) + _texts(100, "b", 60, 900) + _texts(200, "c", 1, 100) + _texts(300, None, 1, 10)
+    rows = _texts(0, "a", 60, 900) + _texts(100, "b", 180, 900) + _texts(400, "c", 1, 100) + _texts(500, None, 1, 10)
     docs = spark.createDataFrame(rows, SCHEMA)
     sizes, mixed, runs = collections.Counter(), collections.Counter(), []
     for _, text, _, source, _ in rows:
