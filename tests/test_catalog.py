@@ -45,9 +45,11 @@ def test_every_query_has_an_equivalent():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
-def test_the_rest_stands_without_the_optional_parts(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_stands_without_the_optional_parts(tmp_path, gone):
+    """The package alone is removed, with its tests, or the pipeline too."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    keep = shutil.ignore_patterns("llm", ".git", "tests", "corpus_pipeline.py", "__pycache__")
-    shutil.copytree(root, tmp_path / "repo", ignore=keep)
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
+    assert not (tmp_path / "repo/ledgerloom/llm").exists() and not (tmp_path / "repo/tests/llm").exists()
     code = "import __spark_entry__ as e; q = e.queries(); assert 'A3_children_count' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")}, check=True)
