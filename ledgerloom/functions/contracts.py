@@ -85,6 +85,12 @@ def valid_upload(size: Column, limit: int) -> Column:
     return F.coalesce((size > 0) & (size <= limit), F.lit(False))
 
 
+def _indented(raw: pd.Series) -> pd.Series:
+    whole = lambda text: int(float(text)) if float(text).is_integer() and abs(float(text)) < 1e21 else float(text)
+    return raw.map(lambda r: None if r is None else json.dumps(json.loads(r, parse_float=whole), ensure_ascii=False, indent=2))
+
+
 def pretty_json(value: Column) -> Column:
-    """JSON with two-space indents; null fields are written."""
-    return F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})
+    """JSON with two-space indents, each list entry on a line of its own; null fields are written, whole numbers without a fraction."""
+    # The JVM's pretty printer puts a space before colons and leaves lists on one line.
+    return F.pandas_udf(_indented, "string")(F.to_json(value, {"ignoreNullFields": "false"}))

@@ -80,8 +80,12 @@ def kib(size: Column) -> Column:
 
 
 def fixed2(x: Column) -> Column:
-    """Two decimals of a value in [0, 1], rounding the exact binary value, ties up."""
-    return F.when(x == 0.125, "0.13").when(x == 0.625, "0.63").otherwise(F.format_number(x, 2))
+    """Two decimals, without thousands separators, rounding the exact binary value, ties away from 0; for values below 10^15.
+
+    Exact ties are the odd multiples of an eighth; format_number would round those to even, so they are moved off the tie.
+    """
+    tie = F.abs(F.pmod(x * 8, F.lit(2.0))) == 1.0
+    return F.replace(F.format_number(F.when(tie, x + F.signum(x) * 0.001).otherwise(x), 2), F.lit(","), F.lit(""))
 
 
 def sha256_hex(c: Column) -> Column:
@@ -128,9 +132,12 @@ def listed_or_flagged(email: Column, listing: str, flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)) | F.coalesce(F.array_contains(entries, F.lower(email)), F.lit(False))
 
 
+#: The models by route.
+MODELS = {"nano": "gpt-5-nano", "mini": "gpt-5-mini", "escalate": "gpt-5.4-mini"}
+
+
 def model_for_route(route: Column) -> Column:
-    models = {"nano": "gpt-5-nano", "mini": "gpt-5-mini", "escalate": "gpt-5.4-mini"}
-    return F.coalesce(*[F.when(route == k, v) for k, v in models.items()])
+    return F.coalesce(*[F.when(route == k, v) for k, v in MODELS.items()])
 
 
 def gateway_verdict(sensitivity: Column, configured: Column) -> Column:
@@ -138,20 +145,19 @@ def gateway_verdict(sensitivity: Column, configured: Column) -> Column:
     return F.when(sensitivity == "too_much_pii", "rejected").when(~configured, "not_configured").otherwise("accepted")
 
 
+#: The wording of the request for a draft, in its parts.
+PROMPT = (
+    "Составь черновик заявки на участие в закупке на русском языке (структурированный текст с разделами: реквизиты участника, "
+    "предмет, сроки, соответствие требованиям, подпись).\nУчастник: ",
+    ".\nЗакупка: ",
+    ".\nОписание: ",
+    "\nКлючевые поля из разбора:\n",
+    "\nНе выдумывай конкретные номера контрактов, если их нет в данных.",
+)
+
+
 def draft_prompt(company: Column, inn: Column, title: Column, description: Column, fields: Column) -> Column:
     """The request text for a draft application; the INN part is left out where there is none."""
     who = F.concat(F.coalesce(company, F.lit("Компания")), F.when(F.coalesce(inn, F.lit("")) != "", F.concat(F.lit(", ИНН "), inn)).otherwise(""))
-    return F.concat(
-        F.lit(
-            "Составь черновик заявки на участие в закупке на русском языке (структурированный текст с разделами: реквизиты участника, "
-            "предмет, сроки, соответствие требованиям, подпись).\nУчастник: "
-        ),
-        who,
-        F.lit(".\nЗакупка: "),
-        title,
-        F.lit(".\nОписание: "),
-        F.coalesce(description, F.lit("—")),
-        F.lit("\nКлючевые поля из разбора:\n"),
-        fields,
-        F.lit("\nНе выдумывай конкретные номера контрактов, если их нет в данных."),
-    )
+    start, title_mark, description_mark, fields_mark, end = (F.lit(p) for p in PROMPT)
+    return F.concat(start, who, title_mark, title, description_mark, F.coalesce(description, F.lit("—")), fields_mark, fields, end)

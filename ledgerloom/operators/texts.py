@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The required documents as (item_key, title, doc_type), and the note of a missing one.
@@ -17,8 +17,17 @@ NO_ANALYSIS = "(разбор ещё не выполнен — черновик 
 
 
 def joined_text(df: DataFrame, key: str, order: list[str], piece: Column, separator: str, name: str, limit: int | None = None) -> DataFrame:
-    """Per key, the pieces in order, joined, and cut to limit characters. Null pieces are left out."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.when(piece.isNotNull(), F.struct(*order, piece.alias("__piece"))))).alias("__rows"))
+    """Per key, the pieces in order, joined, and cut to limit characters. Null pieces are left out.
+
+    With a limit, pieces that start past it go before anything is collected, so a key holds no more than its result.
+    """
+    pieces = df.select(key, *order, piece.alias("__piece"))
+    if limit:
+        line = Window.partitionBy(key).orderBy(*order, "__piece").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.length("__piece") + len(separator)).over(line), F.lit(0))
+        pieces = pieces.withColumn("__start", start).filter(F.col("__piece").isNull() | (F.col("__start") < limit))
+    held = F.when(F.col("__piece").isNotNull(), F.struct(*order, "__piece"))
+    rows = pieces.groupBy(key).agg(F.sort_array(F.collect_list(held)).alias("__rows"))
     text = F.array_join(F.transform("__rows", lambda r: r["__piece"]), separator)
     return rows.select(key, (F.left(text, F.lit(limit)) if limit else text).alias(name))
 

@@ -48,13 +48,21 @@ def read_pdf(data: bytes, limits: ExtractionLimits) -> Outcome:
         return "error", None, f"pdf_parse: {e}"
 
 
+def _own(paragraph: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The elements inside a paragraph, without those of paragraphs in its text boxes."""
+    for child in paragraph:
+        if child.tag != f"{_WORD}p":
+            yield child
+            yield from _own(child)
+
+
 def read_docx(data: bytes, limits: ExtractionLimits) -> Outcome:
     """Paragraphs, each followed by a blank line."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             body = ElementTree.fromstring(_bounded(archive, archive.getinfo("word/document.xml"), limits.zip_max_total_bytes))
         marks = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
-        paragraphs = ["".join(marks.get(n.tag, n.text or "") for n in p.iter() if n.tag == f"{_WORD}t" or n.tag in marks) for p in body.iter(f"{_WORD}p")]
+        paragraphs = ["".join(marks.get(n.tag, n.text or "") for n in _own(p) if n.tag == f"{_WORD}t" or n.tag in marks) for p in body.iter(f"{_WORD}p")]
         return _text_or_empty("\n\n".join(paragraphs), "docx_empty")
     except Exception as e:
         return "error", None, f"docx: {e}"
@@ -77,10 +85,10 @@ def _csv(value: str) -> str:
 
 
 def _sheet_rows(sheet: ElementTree.Element, strings: list[str], dates: list[bool]) -> list[str]:
-    lines: list[str] = []
+    lines: list[list[str]] = []
     for row in sheet.iter(f"{_SHEET}row"):
         number = int(row.get("r") or len(lines) + 1)
-        lines += [""] * (number - 1 - len(lines))
+        lines += [[] for _ in range(number - 1 - len(lines))]
         cells: list[str] = []
         for cell in row.iter(f"{_SHEET}c"):
             at = _column(cell.get("r") or "") if cell.get("r") else len(cells)
@@ -96,8 +104,9 @@ def _sheet_rows(sheet: ElementTree.Element, strings: list[str], dates: list[bool
                 day = datetime(1899, 12, 30) + timedelta(days=float(value))
                 value = f"{day.month}/{day.day}/{day.year % 100:02d}"
             cells.append(_csv(value))
-        lines.append(",".join(cells))
-    return lines
+        lines.append(cells)
+    width = max(map(len, lines), default=0)
+    return [",".join(cells + [""] * (width - len(cells))) for cells in lines]
 
 
 def read_spreadsheet(data: bytes, limits: ExtractionLimits) -> Outcome:
@@ -117,18 +126,17 @@ def read_spreadsheet(data: bytes, limits: ExtractionLimits) -> Outcome:
             strings = []
             if "xl/sharedStrings.xml" in names:
                 strings = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in load("xl/sharedStrings.xml").iter(f"{_SHEET}si")]
-            dates = [False] * 4096
+            dates = [False]
             if "xl/styles.xml" in names:
                 styles = load("xl/styles.xml")
                 own = {f.get("numFmtId"): (f.get("formatCode") or "").lower() for f in styles.iter(f"{_SHEET}numFmt")}
-                for i, style in enumerate(styles.findall(f"{_SHEET}cellXfs/{_SHEET}xf")):
-                    code = style.get("numFmtId") or "0"
-                    dates[i] = 14 <= int(code) <= 22 or any(c in own.get(code, "") for c in ("yy", "dd"))
+                codes = [style.get("numFmtId") or "0" for style in styles.findall(f"{_SHEET}cellXfs/{_SHEET}xf")]
+                dates = [14 <= int(code) <= 22 or any(c in own.get(code, "") for c in ("yy", "dd")) for code in codes] or dates
             parts = []
             for sheet in load("xl/workbook.xml").iter(f"{_SHEET}sheet"):
                 target = targets[sheet.get(_REL)].lstrip("/")
                 csv = "\n".join(_sheet_rows(load(target if target.startswith("xl/") else f"xl/{target}"), strings, dates))
-                if csv.strip():
+                if csv.strip(",\n "):
                     parts.append(f"## {sheet.get('name')}\n{csv}")
         return _text_or_empty("\n\n".join(parts), "spreadsheet_empty")
     except Exception as e:

@@ -7,13 +7,13 @@ table row never stops a batch: what goes wrong is that file's outcome.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerloom.operators.relations import first_per_key
 from ledgerloom.operators.writes import update_by_key
 from ledgerloom.sources.extraction import outcome_columns
 
@@ -45,33 +45,39 @@ def route(jobs: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(*jobs.columns, result.alias("result"))
 
 
-def register(files: DataFrame, routed: DataFrame, at: Column) -> DataFrame:
-    """Files after the registrations among routed; a file named twice is registered once."""
-    chosen = routed.filter((F.col("name") == REGISTER) & (F.col("result") == "ok")).select("file_id").distinct()
-    note = F.concat(F.lit("registered_at="), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-    changes = chosen.select(
-        "file_id", F.lit("registration_done").alias("file_status"), note.alias("registration_note"), F.lit("pending").alias("extraction_status")
-    )
-    return update_by_key(files, changes, "file_id")
+def asked_files(jobs: DataFrame) -> DataFrame:
+    """(file_id, to_register, to_extract): one row for each file that a batch names, however often."""
+    named = jobs.filter(F.col("name").isin(REGISTER, EXTRACT) & (F.coalesce("file_id", F.lit("")) != ""))
+    return named.groupBy("file_id").agg(F.bool_or(F.col("name") == REGISTER).alias("to_register"), F.bool_or(F.col("name") == EXTRACT).alias("to_extract"))
 
 
-def extract_pending(files: DataFrame, routed: DataFrame, extractor: Extractor, at: Column) -> DataFrame:
-    """Files after the extractions among routed; the extractor gets the chosen files and gives (file_id, kind, text, reason)."""
-    chosen = routed.filter((F.col("name") == EXTRACT) & (F.col("result") == "ok")).select("file_id").distinct()
-    outcomes = chosen.join(extractor(files.join(chosen, "file_id", "left_semi")), "file_id", "left")
+def changed_files(files: DataFrame, jobs: DataFrame, extractor: Extractor, at: Column) -> DataFrame:
+    """The rows of files that a batch of jobs changes, as they are afterwards: registrations first, then the extractions they bring on
+    together with those asked for. The extractor gets the files to extract and gives (file_id, kind, text, reason)."""
+    met = files.join(asked_files(jobs), "file_id")
+    registers = F.col("to_register") & (F.col("file_status") == "stored")
+    note = F.concat(F.lit("registered_at="), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    known = F.coalesce("extraction_status", F.lit("none"))
+    extracts = registers | (F.col("to_extract") & (F.col("file_status") == "registration_done") & (known != "done"))
+    after = met.withColumns({"__r": registers, "__e": extracts}).filter("__r OR __e").withColumns(
+        {
+            "file_status": F.when(F.col("__r"), "registration_done").otherwise(F.col("file_status")),
+            "registration_note": F.when(F.col("__r"), note).otherwise(F.col("registration_note")),
+        }
+    )
+    chosen = after.select(*files.columns)
+    outcomes = extractor(chosen).select(F.col("file_id").alias("__id"), "kind", "text", "reason")
+    done = chosen.join(outcomes, F.col("file_id") == F.col("__id"), "left")
     kind = F.coalesce("kind", F.lit("error"))
     reason = F.when(F.col("kind").isNull(), "s3_download:object not found").otherwise(F.col("reason"))
     columns = outcome_columns(kind, F.col("text"), reason, at)
-    return update_by_key(files, outcomes.select("file_id", *[c.alias(n) for n, c in columns.items()]), "file_id")
+    return done.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in files.columns])
 
 
 def apply_jobs(files: DataFrame, jobs: DataFrame, extractor: Extractor, at: Column) -> DataFrame:
-    """Files after a batch of jobs: registrations, then the extractions they bring on together with those asked for."""
-    registered = route(jobs.filter(F.col("name") == REGISTER), files)
-    after = register(files, registered, at)
-    follow = registered.filter("result = 'ok'").select(F.col("job_id"), F.lit(EXTRACT).alias("name"), "file_id")
-    asked = jobs.filter(F.col("name") == EXTRACT).select("job_id", "name", "file_id")
-    return extract_pending(after, route(asked.unionByName(follow), after), extractor, at)
+    """All files after a batch of jobs."""
+    changed = changed_files(files, jobs, extractor, at)
+    return files.join(changed.select("file_id"), "file_id", "left_anti").unionByName(changed)
 
 
 def request_again(files: DataFrame, file_ids: DataFrame) -> DataFrame:
@@ -87,39 +93,29 @@ def publish(spark: SparkSession, folder: str, jobs: DataFrame) -> None:
 
 
 class FileTable:
-    """The files' states as Parquet snapshots in a folder; a small pointer table tells the current one and the batch it came from."""
+    """The files' states as Parquet folders of changed rows, one a batch; a file's newest row counts. A batch written again replaces itself."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> tuple[int, str]:
-        rows = self.spark.read.schema("batch long, snapshot string").json(f"{self.folder}/pointer")
-        last = rows.orderBy(F.desc("batch")).first()
-        return last.batch, last.snapshot
-
     def create(self, files: DataFrame) -> None:
-        self._write(files, -1)
-
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self._pointer()[1]}")
+        self.change(files, -1)
 
-    def replace(self, files: DataFrame, batch: int) -> None:
-        """The table after a batch; one that is already in is left out, so a replayed batch changes nothing."""
-        if self._pointer()[0] < batch:
-            self._write(files, batch)
+    def current(self, before: int | None = None) -> DataFrame:
+        """The table, or what it was before a batch."""
+        rows = self.spark.read.parquet(self.folder)
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        return first_per_key(rows, "file_id", [F.desc("batch")]).drop("batch")
 
-    def _write(self, files: DataFrame, batch: int) -> None:
-        snapshot = f"snapshot-{uuid.uuid4().hex}"
-        files.write.parquet(f"{self.folder}/{snapshot}")
-        self.spark.createDataFrame([(batch, snapshot)], "batch long, snapshot string").coalesce(1).write.mode("append").json(f"{self.folder}/pointer")
+    def change(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
 
 
 def run_stream(spark: SparkSession, jobs: str, table: FileTable, checkpoint: str, extractor: Extractor, at: Column) -> StreamingQuery:
     """Everything in the job folder so far, as micro-batches over the file table; a later call goes on from there."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        files = table.current()
-        table.replace(apply_jobs(files, batch.dropDuplicates(["job_id"]), extractor, at), batch_id)
+        table.change(changed_files(table.current(before=batch_id), batch, extractor, at), batch_id)
 
     stream = spark.readStream.schema(JOB).json(jobs)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

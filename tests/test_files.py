@@ -71,7 +71,7 @@ def test_archives(case):
 
 
 def test_readers():
-    assert extraction.read_file("spreadsheet", xlsx(), SMALL) == ("ok", '## One\n"a, ""b""",,2.5\n\n1/1/24,TRUE', None)
+    assert extraction.read_file("spreadsheet", xlsx(), SMALL) == ("ok", '## One\n"a, ""b""",,2.5\n,,\n1/1/24,TRUE,', None)
     assert extraction.read_file("docx", docx_bytes(" \n "), SMALL) == ("skipped", None, "docx_empty")
     assert extraction.read_file("docx", docx_bytes("y" * 1001), SMALL)[1].startswith("y" * 1000 + "\n\n...")
     assert extraction.read_file("image", b"", SMALL) == ("skipped", None, "image_ocr_disabled")
@@ -129,7 +129,8 @@ def test_stream_equals_batch_and_a_replay_changes_nothing(spark, tmp_path):
         jobs.publish(spark, str(tmp_path / "jobs"), spark.createDataFrame(part, jobs.JOB))
         jobs.run_stream(spark, str(tmp_path / "jobs"), table, str(tmp_path / "checkpoint"), extractor, at()).awaitTermination()
     assert told(table.current()) == EXPECTED
-    table.replace(start(spark), 0)
+    again = spark.createDataFrame(ASKED[:4], jobs.JOB)
+    table.change(jobs.changed_files(table.current(before=0), again, extractor, at()), 0)  # the first batch once more
     assert told(table.current()) == EXPECTED
 
 
@@ -158,4 +159,29 @@ def test_export_bundle(spark):
     got = {(r.id, r.path): r.content for r in files.unpack(bundles).collect()}
     assert set(got) == {("r1", p) for p in ("tender.json", "analysis.json", "draft.txt", "checklist.json", "extracted/a_b.pdf.txt")} | {("r2", "tender.json")}
     assert got[("r1", "extracted/a_b.pdf.txt")] == "second" and '"a2"' in got[("r1", "analysis.json")] and got[("r1", "analysis.json")].index("k1") < got[("r1", "analysis.json")].index("k2")
-    assert '"source_url" : null' in got[("r1", "tender.json")]
+    assert got[("r1", "tender.json")] == '{\n  "id": "r1",\n  "title": "T",\n  "description": null,\n  "source_type": "manual",\n  "source_url": null\n}'
+    assert got[("r1", "checklist.json")].startswith('[\n  {\n    "item_key": "i",')
+
+
+def test_text_boxes_and_many_styles():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    box = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>out</w:t><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:r></w:p></w:body></w:document>'
+    assert extraction.read_docx(archive(word__document_dot_xml=box), SMALL) == ("ok", "out\n\nbox", None)
+    with zipfile.ZipFile(io.BytesIO(xlsx())) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/styles.xml"] = f'<styleSheet xmlns="{SHEET}"><cellXfs>{"<xf numFmtId='0'/>" * 4999}<xf numFmtId="14"/></cellXfs></styleSheet>'.encode()
+    parts["xl/worksheets/s1.xml"] = parts["xl/worksheets/s1.xml"].replace(b's="1"', b's="4999"')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    assert extraction.read_spreadsheet(out.getvalue(), replace(SMALL, zip_max_total_bytes=10**6))[1].endswith("1/1/24,TRUE,")
+
+
+def test_append_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    for part in (rows, rows):
+        files.append(part, f"{tmp_path}/t", ["k"])
+        files.write_json(part, f"{tmp_path}/j")
+    assert spark.read.parquet(f"{tmp_path}/t").filter("k = 1").count() == 2
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/j").collect()) == ['{"k":1,"v":"a"}'] * 2 + ['{"k":2,"v":null}'] * 2

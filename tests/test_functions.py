@@ -41,7 +41,7 @@ def test_cuts(spark):
 
 def test_numbers(spark):
     check(spark, [(-1.0, 0.0), (0.5, 0.5), (2.0, 1.0), (float("nan"), 0.0)], "x double", text.clamp01(F.col("x")))
-    check(spark, [(0.745, "0.74"), (0.995, "0.99"), (0.125, "0.13"), (0.375, "0.38"), (0.625, "0.63"), (0.875, "0.88"), (1.0, "1.00"), (0.0, "0.00")], "x double", text.fixed2(F.col("x")))
+    check(spark, [(0.745, "0.74"), (0.995, "0.99"), (0.125, "0.13"), (0.375, "0.38"), (0.625, "0.63"), (0.875, "0.88"), (1.0, "1.00"), (0.0, "0.00"), (1.125, "1.13"), (1234.5, "1234.50"), (2.625, "2.63"), (1.005, "1.00"), (-0.125, "-0.13"), (1e6 + 0.375, "1000000.38")], "x double", text.fixed2(F.col("x")))
     check(spark, [(512, 1), (2560, 3), (0, 0)], "n int", text.kib(F.col("n")))
 
 
