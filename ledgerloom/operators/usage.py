@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import year_month
@@ -54,3 +54,14 @@ def gate(usage: DataFrame, limits: dict[str, tuple[int, int]] | None = None) ->
     pick = lambda i: F.coalesce(*[F.when(F.col("plan_code") == p, v[i]) for p, v in table.items()])
     limited = usage.withColumns({"ai_limit": pick(0), "draft_limit": pick(1)})
     return limited.withColumns({"ai_blocked": F.col("ai_analyze_count") >= F.col("ai_limit"), "draft_blocked": F.col("draft_gen_count") >= F.col("draft_limit")})
+
+
+#: The figures of observed calls, in their order.
+FIGURES = ("calls", "tokens_in", "tokens_out", "slowest_ms")
+
+
+def observed_calls(calls: DataFrame) -> tuple[DataFrame, Observation]:
+    """calls (tokens_in, tokens_out, elapsed_ms, ...) as they are, and their figures, known once calls have been written or collected."""
+    figures = Observation()
+    sums = [F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")]
+    return calls.observe(figures, *sums, F.max("elapsed_ms").alias("slowest_ms")), figures

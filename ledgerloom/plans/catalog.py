@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import changes, records, relational, strings  # noqa: F401  each registers its queries
+from ledgerloom.plans import changes, records, relational, stores, strings  # noqa: F401  each registers its queries
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import contracts, fields, labels, text
@@ -205,20 +205,55 @@ def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CODES = [("login_failed",), (" http_404 ",), ("http_599",), ("unforeseen",), ("",), (None,)]
+_MAPS = {
+    name: getattr(labels, name)
+    for name in ("SOURCE", "RECORD_STATUS", "FILE_STATUS", "EXTRACTION_STATUS", "DOCUMENT_TYPE", "DOCUMENT_STATUS", "AUDIT_ACTION", "AUDIT_TARGET", "PLAN", "CHECKLIST_STATUS")
+}
+#: The maps whose unknown codes are shown as they are.
+_SHOWN_AS_IS = ("AUDIT_ACTION", "AUDIT_TARGET", "CHECKLIST_STATUS")
+_CODED = [(m, i, code) for m, known in _MAPS.items() for i, code in enumerate([*known, "odd"])]
+
+
+@register(
+    "P6_label_maps",
+    f"""
+    WITH coded AS (SELECT * FROM {_values(_CODED)} t(map, i, code)), shown AS (SELECT * FROM {_values([(m, c, t) for m, known in _MAPS.items() for c, t in known.items()])} t(map, code, label)),
+         sizes AS (SELECT map, count(*) AS n FROM coded GROUP BY map)
+    SELECT e.event_id, s.map, CASE WHEN l.label IS NOT NULL THEN l.label WHEN s.map IN {_SHOWN_AS_IS} THEN c.code END AS label
+    FROM events e CROSS JOIN sizes s JOIN coded c ON c.map = s.map AND c.i = e.event_id % s.n LEFT JOIN shown l ON l.map = c.map AND l.code = c.code
+    """,
+)
+def p6_label_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label map, each event holding one of its codes or an unknown one."""
+
+    def shown(name: str) -> Column:
+        codes = F.array(*[F.lit(c) for m, _, c in _CODED if m == name])
+        code = F.element_at(codes, (F.col("event_id") % F.size(codes) + 1).cast("int"))
+        told = labels.audit_target(code) if name == "AUDIT_TARGET" else labels.label(code, _MAPS[name], fall_back=name in _SHOWN_AS_IS)
+        return F.struct(F.lit(name).alias("map"), told.alias("label"))
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.array(*[shown(m) for m in _MAPS])).alias("s"))
+    return rows.select("event_id", "s.*")
+
+
+_CODES = [*labels.ERRORS, *[f" {c} " for c in list(labels.ERRORS)[:5]], "unforeseen", "", *[f"http_{k}" for k in range(398, 516)], "http_", "http_4x"]
 
 
 @register(
     "P7_user_error",
     f"""
-    SELECT code, CASE WHEN code IS NULL OR code = '' THEN '' WHEN trim(code) = 'login_failed' THEN 'Не удалось войти.'
-      WHEN trim(code) = 'http_404' THEN 'Не найдено.' WHEN regexp_matches(trim(code), '^http_[0-9]+$') THEN 'Ошибка (' || substr(trim(code), 6) || ').'
-      ELSE trim(code) END AS told
-    FROM {_values(_CODES)} t(code)
+    WITH asked AS (SELECT event_id, c.code FROM events e JOIN {_values(list(enumerate([*_CODES, None])))} c(i, code) ON c.i = e.event_id % {len(_CODES) + 1}),
+         known AS (SELECT * FROM {_values(list(labels.ERRORS.items()) + [(f"http_{k}", v) for k, v in labels.HTTP_ERRORS.items()])} t(code, label))
+    SELECT a.event_id, CASE WHEN a.code IS NULL OR a.code = '' THEN '' WHEN k.label IS NOT NULL THEN k.label
+      WHEN regexp_matches(trim(a.code), '^http_[0-9]+$') THEN 'Ошибка (' || substr(trim(a.code), 6) || ').' ELSE trim(a.code) END AS told
+    FROM asked a LEFT JOIN known k ON k.code = trim(a.code)
     """,
 )
 def p7_user_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_CODES, "code string").select("code", labels.user_error(F.col("code")).alias("told"))
+    """What a user is told of every known code, of HTTP codes known and not, and of other messages."""
+    codes = F.array(*[F.lit(c) for c in _CODES], F.lit(None).cast("string"))
+    code = F.element_at(codes, (F.col("event_id") % F.size(codes) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", labels.user_error(code).alias("told"))
 
 
 @register(
@@ -295,33 +330,154 @@ def jsn1_strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", text.strip_code_fence(F.col("output")).alias("inside"))
 
 
+#: Outputs by the number of their fault; each holds a confidence of value / 90, which for some is above 1.
+_FAULTS = 9
+
+
 @register(
     "JSN2_strict_contract",
     f"""
-    SELECT id, status FROM {_values(list(enumerate([
-        "ok", "ok", "ok", "schema_mismatch", "schema_mismatch", "schema_mismatch", "schema_mismatch", "schema_mismatch", "schema_mismatch",
-        "ok", "json_parse_failed", "json_parse_failed", "json_parse_failed", "json_parse_failed", "ok"])))} t(id, status)
+    WITH e AS (SELECT event_id, event_id % {_FAULTS} AS fault, value / 90 AS c, event_type FROM events)
+    SELECT event_id, CASE WHEN fault IN (1, 2) THEN 'json_parse_failed' WHEN fault IN (3, 4, 5) OR c NOT BETWEEN 0 AND 1 THEN 'schema_mismatch' ELSE 'ok' END AS status,
+           CASE WHEN fault IN (0, 6, 7, 8) AND c BETWEEN 0 AND 1 THEN CASE fault WHEN 7 THEN 'last' ELSE event_type END END AS summary,
+           CASE WHEN fault IN (0, 6, 7, 8) AND c BETWEEN 0 AND 1 THEN c END AS confidence
+    FROM e
     """,
 )
 def jsn2_strict_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the contract says of each output; the equivalent is a table of hand-derived results, as SQL's JSON isn't strict."""
-    rows = spark.createDataFrame([(i, o) for i, o in enumerate(_OUTPUTS)], "id int, output string")
-    return rows.select("id", contracts.parse_result(F.col("output"))["status"].alias("status"))
-
-
-@register("JSN2_over_events", "SELECT event_id, 'schema_mismatch' AS status FROM events")
+    """Model outputs made from the events: whole, in a fence, with more keys or a key twice, or broken in one of five ways."""
+    confidence = (F.col("value") / 90).cast("string")
+    field = F.concat(F.lit('{"key":"k","label":"l","value":"v","confidence":'), confidence, F.lit("}"))
+    summary = F.concat(F.lit('"summary":"'), F.col("event_type"), F.lit('"'))
+    whole = F.concat(F.lit('{"fields":['), field, F.lit("],"), summary, F.lit("}"))
+    outputs = [
+        whole,
+        F.concat(whole, F.lit(" tail")),
+        F.translate(whole, '"', "'"),
+        F.replace(whole, F.lit('"k"'), F.lit("1")),
+        F.replace(whole, F.lit('"v"'), F.lit("null")),
+        F.regexp_replace(whole, '"summary":"[^"]*"', '"other":1'),
+        F.concat(F.lit("```json\n"), whole, F.lit("\n```")),
+        F.regexp_replace(whole, r"\}$", ',"summary":"last"}'),
+        F.regexp_replace(whole, r"\}$", ',"more":[]}'),
+    ]
+    output = F.element_at(F.array(*outputs), (F.col("event_id") % _FAULTS + 1).cast("int"))
+    told = table(spark, sf_dir, "events").select("event_id", contracts.parse_result(output).alias("r"))
+    return told.select("event_id", "r.status", "r.summary", F.col("r.fields")[0]["confidence"].alias("confidence"))
+
+
+@register("JSN2_over_events", "SELECT event_id, CASE WHEN json_valid(props) THEN 'schema_mismatch' ELSE 'json_parse_failed' END AS status FROM events")
 def jsn2_over_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract over a whole column of valid JSON of another shape."""
     return table(spark, sf_dir, "events").select("event_id", contracts.parse_result(F.col("props"))["status"].alias("status"))
 
 
+@register(
+    "JSN3_pretty_json",
+    """
+    SELECT o_orderkey, '{' || chr(10) || '  "id": ' || o_orderkey || ',' || chr(10) || '  "title": "' || o_orderpriority || '",' || chr(10) || '  "note": '
+           || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderstatus || '"' END || ',' || chr(10) || '  "items": '
+           || CASE WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '[' || chr(10) || '    {' || chr(10) || '      "k": "é\\"' || o_custkey || '"' || chr(10) || '    }' || chr(10) || '  ]' END
+           || chr(10) || '}' AS json FROM orders
+    """,
+)
+def jsn3_pretty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as indented JSON, with nulls, quotes, and a list that may be empty."""
+    item = F.array(F.struct(F.concat(F.lit('é"'), F.col("o_custkey").cast("string")).alias("k")))
+    items = F.when(F.col("o_orderkey") % 2 == 0, F.slice(item, 1, 0)).otherwise(item)
+    note = F.nullif("o_orderstatus", F.lit("F"))
+    value = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), note.alias("note"), items.alias("items"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", contracts.pretty_json(value).alias("json"))
+
+
+@register(
+    "X13_fixed2",
+    """
+    WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 40 + (l_partkey % 64) / 64.0 - 900 AS v FROM lineitem),
+         r AS (SELECT *, CAST(floor(abs(CAST(v AS DOUBLE)) * 100 + 0.5) AS BIGINT) AS cents FROM x)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN v < 0 THEN '-' ELSE '' END || cents // 100 || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS shown FROM r
+    """,
+)
+def x13_fixed2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in 64ths, many of them exact ties, of either sign and above a thousand, with two decimals."""
+    v = F.col("l_quantity").cast("double") * 40 + (F.col("l_partkey") % 64) / 64.0 - 900
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.fixed2(v).alias("shown"))
+
+
+@register(
+    "P2_nested_actor",
+    """
+    SELECT e.event_id, CASE WHEN c.c_custkey IS NOT NULL THEN '{"id":' || c.c_custkey || ',"name":"' || c.c_name || '"}' END AS actor
+    FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey AND c.c_mktsegment = 'BUILDING'
+    """,
+)
+def p2_nested_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their actor as a struct, null as a whole where there is none; shown as JSON."""
+    actors = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("actor"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return events.join(actors, events.user_id == actors.c_custkey, "left").select("event_id", F.to_json("actor").alias("actor"))
+
+
+@register(
+    "N1_over_orders",
+    f"""
+    WITH o AS (SELECT *, o_orderkey % 7 AS k, o_orderkey % 3 AS m, (o_custkey % 28 + 1) || ' мая' AS due FROM orders),
+    f AS (
+      SELECT o_orderkey, CASE k WHEN 0 THEN 'tender_no' WHEN 1 THEN 'nmck' WHEN 2 THEN 'guarantees' WHEN 3 THEN 'dates' WHEN 4 THEN 'mandatory_docs' ELSE 'subject' END AS key, k, m, due,
+        CASE k WHEN 0 THEN CASE m WHEN 0 THEN ' Не   указан. ' WHEN 1 THEN '№  ' || o_orderkey ELSE 'н/д' END
+               WHEN 1 THEN CASE m WHEN 0 THEN '10 % от НМЦК' WHEN 1 THEN o_custkey || '   руб.' ELSE '5% обеспечения' END
+               WHEN 2 THEN CASE m WHEN 0 THEN 'Обеспечение заявки' WHEN 1 THEN 'Обеспечение заявки и договора' ELSE 'Договор' END
+               WHEN 3 THEN 'до ' || o_custkey || '; ' || due || CASE m WHEN 0 THEN ';placeholder' WHEN 1 THEN chr(10) || 'не указано' ELSE '; после ' || due END
+               WHEN 4 THEN 'Устав ' || o_custkey || CASE m WHEN 0 THEN '; При поставке накладная 1' WHEN 1 THEN chr(10) || chr(10) || 'Товарная накладная 7' ELSE ';Лицензия' END
+               ELSE '  a ' || o_orderpriority || '  b ' END AS value
+      FROM o)
+    SELECT o_orderkey, key,
+      CASE k WHEN 0 THEN CASE m WHEN 1 THEN trim(regexp_replace(value, ' +', ' ', 'g')) ELSE '—' END
+             WHEN 3 THEN list_aggregate(list_filter(list_transform(string_split_regex(value, '[;{chr(10)}]'), lambda p: trim(p)), lambda p: p NOT IN ('', due, 'placeholder', 'не указано')), 'string_agg', '; ')
+             WHEN 4 THEN list_aggregate(list_filter(list_transform(string_split_regex(value, '[;{chr(10)}]+'), lambda p: trim(p)), lambda p: p <> ''), 'string_agg', chr(10))
+             ELSE trim(regexp_replace(value, ' +', ' ', 'g')) END AS value,
+      CAST(CASE WHEN k = 0 AND m <> 1 THEN 0.0 WHEN k = 1 AND m <> 1 THEN 0.6 WHEN k = 2 AND m = 1 THEN 0.55 ELSE 0.9 END AS DOUBLE) AS confidence
+    FROM f
+    """,
+)
+def n1_over_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields made from the orders by rule, three kinds of value for each key; an order's deadline goes from its dates.
+
+    With the word edges as executed, lines on delivery papers that start with a Cyrillic letter stay.
+    """
+    k, m = F.col("o_orderkey") % 7, F.col("o_orderkey") % 3
+    custkey, orderkey = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    due = F.concat((F.col("o_custkey") % 28 + 1).cast("string"), F.lit(" мая"))
+
+    def pick(by: Column, *values: Column | str) -> Column:
+        return F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (by + 1).cast("int"))
+
+    subject = F.concat(F.lit("  a "), F.col("o_orderpriority"), F.lit("  b "))
+    value = pick(
+        k,
+        pick(m, " Не   указан. ", F.concat(F.lit("№  "), orderkey), "н/д"),
+        pick(m, "10 % от НМЦК", F.concat(custkey, F.lit("   руб.")), "5% обеспечения"),
+        pick(m, "Обеспечение заявки", "Обеспечение заявки и договора", "Договор"),
+        F.concat(F.lit("до "), custkey, F.lit("; "), due, pick(m, ";placeholder", "\nне указано", F.concat(F.lit("; после "), due))),
+        F.concat(F.lit("Устав "), custkey, pick(m, "; При поставке накладная 1", "\n\nТоварная накладная 7", ";Лицензия")),
+        subject,
+        subject,
+    )
+    keys = pick(k, "tender_no", "nmck", "guarantees", "dates", "mandatory_docs", "subject", "subject")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("analysis_id"), F.lit(0).alias("sort_order"), keys.alias("key"), value.alias("value"), F.lit(0.9).alias("confidence"))
+    deadlines = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("analysis_id"), F.lit(1).alias("sort_order"), F.lit("delivery_deadline").alias("key"), due.alias("value"), F.lit(0.9).alias("confidence"))
+    return fields.normalize_fields(rows.unionByName(deadlines)).filter("sort_order = 0").select("o_orderkey", "key", "value", "confidence")
+
+
 @register(
     "N1_normalize",
     f"""
     WITH f AS (SELECT * FROM {_values(_FIELDS)} t(id, key, value, confidence)),
     g AS (SELECT *, trim(regexp_replace(value, '{_S}+', ' ', 'g')) AS light, least(1.0, CAST(confidence AS DOUBLE)) AS c,
                  regexp_matches(trim(value), '(?i)^(нет|не{_S}+указан|не{_S}+найден|н/д|n/a|отсутствует)\\.?$') AS gone FROM f)
-    SELECT id, key, CASE WHEN key = 'tender_no' AND gone THEN '—' WHEN key = 'dates' THEN 'до 1 мая' ELSE light END AS value,
+    SELECT id, key, CASE WHEN key = 'tender_no' AND gone THEN '—' 
+             WHEN key = 'dates' THEN list_aggregate(list_filter(list_transform(string_split_regex(value, '[;{chr(10)}]'), lambda p: trim(p)),
+                                                    lambda p: p NOT IN ('', '30 дней', 'placeholder', 'не указано')), 'string_agg', '; ') ELSE light END AS value,
            CASE WHEN key = 'tender_no' AND gone THEN 0.0 WHEN key = 'nmck' AND contains(light, '% от') THEN 0.6
                 WHEN key = 'guarantees' AND contains(light, 'исполнен') THEN 0.55 ELSE c END AS confidence FROM g
     """,
