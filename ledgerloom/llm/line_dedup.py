@@ -7,7 +7,9 @@ firsts are combined map-side, and the join back to the lines is a plain equi-joi
 a hot line. Text is read twice and moved once, at the very end, to be cut.
 
 Defined results: null text counts as empty, which is one empty line. A null doc_id sorts after all others. Rows that repeat a
-doc_id are one document; each still gets its own row. Lines under min_chars always stay. Extra columns are ignored.
+doc_id are one document; each still gets its own row. Lines under min_chars always stay. Of a line that a document holds several times,
+all go or none. Very long texts count whole; their lines are cut in one task. An empty table gives no rows. Extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.session import new_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local session that names none gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+#: The folders of this process's intermediate tables, in the order in which they were made.
+_MADE: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -28,4 +15,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """Where the tables made from now on begin, for sweep."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Removes the tables made since a mark, but for the last ones: for callers whose result is written and needs nothing else."""
+    last = len(_MADE) - keep
+    gone, _MADE[since:last] = _MADE[since:last], []
+    for folder in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -66,7 +66,7 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_words(column: pa.Array) -> Words:
-    """Words are runs of digits, letters and non-ASCII characters; A-Z counts as a-z. Memory is bounded by pieces of 256 KB."""
+    """Words are runs of digits, letters and non-ASCII characters; A-Z counts as a-z. Cut in pieces of 256 KB; one that ends inside a word grows to the word's end."""
     data, offsets = raw_bytes(column)
     classes, values = _byte_classes(), _byte_values()
     hashes, rows, at, end = [], [], int(offsets[0]), int(offsets[-1])
