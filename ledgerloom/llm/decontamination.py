@@ -8,11 +8,14 @@ located by walking to the next sampled position; overlapping occurrences merge i
 Before indexing, a shard is cut to stretches whose neighbouring words are neighbours in some window (single words where a
 window has one word): no occurrence can lie outside them, so the result is unchanged and clean text costs little.
 
-Nothing is shuffled. The benchmark is the stated query set: it is cut by item hash into blocks of about block_bytes, each block is
-broadcast in a pass of its own over the documents, and the passes' spans are merged per document. An ordinary benchmark is one block.
-
-Defined results: null text has no words; an item without words has no window; a null item_id is named ''; rows that repeat a doc_id
-each get a row; extra columns are ignored; word identity is by 64-bit hash.
+Nothing is shuffled. The benchmark is the stated query set: it is cut by item hash into blocks of about block_bytes, each block's
+windows are built once and broadcast as flat arrays in a pass of its own over the documents, and the passes' spans are merged per
+document. An ordinary benchmark is one block. Very long stretches are indexed in overlapping pieces, so memory follows neither them
+nor the benchmark.
+
+Defined results: null text has no words; an item without words has no window; a null item_id is named ''; rows that repeat a doc_id or
+an item_id count each; very long texts count whole; an empty table of documents gives no rows, one of items hits nothing; extra columns,
+whatever their names, are ignored; word identity is by 64-bit hash, window identity by 128 bits.
 """
 
 from __future__ import annotations
@@ -21,39 +24,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import cut_words, slices
+from ledgerloom.llm.words import cut_words, mix64, slices
+from ledgerloom.llm.workers import map_batches
+
+_MARK = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 1 << 19  # symbols indexed together
+_CHUNK = 1 << 18  # windows searched together
 
 
 class Windows:
-    """The distinct windows of a benchmark block as symbols 1..V, and the items that hold each."""
+    """The distinct windows of a benchmark block, and the items that hold each, as flat arrays: about 5 bytes for each byte of text.
+
+    A window is a range of `words`, the items' words as symbols 1..V: it ends before ends[i] and has lengths[i] of them.
+    """
 
     def __init__(self, item_ids: list[str], texts: pa.Array, size: int):
-        words = cut_words(texts)
-        self.items = item_ids
-        self.vocabulary = np.unique(words.hashes)
-        symbols = np.searchsorted(self.vocabulary, words.hashes).astype(np.int32) + 1
-        found: dict[bytes, list[int]] = {}
-        for item in range(len(item_ids)):
-            own = symbols[words.offsets[item] : words.offsets[item + 1]]
-            for at in range(max(1, len(own) - size + 1) if len(own) else 0):
-                found.setdefault(own[at : at + size].tobytes(), []).append(item)
-        keys = [np.frombuffer(k, np.int32) for k in found]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.words = np.zeros((len(keys), size), np.int32)
-        for i, k in enumerate(keys):
-            self.words[i, : len(k)] = k
-        holders = [np.unique(v) for v in found.values()]
-        self.holder_starts = np.concatenate([[0], np.cumsum([len(h) for h in holders])]).astype(np.int64)
-        self.holders = np.concatenate(holders) if holders else np.zeros(0, np.int64)
-        inside = np.arange(1, size)[None, :] < self.lengths[:, None]
-        left, right = self.words[:, :-1][inside].astype(np.int64), self.words[:, 1:][inside].astype(np.int64)
+        cut = cut_words(texts)
+        self.items, self.size = item_ids, size
+        self.vocabulary = np.unique(cut.hashes)
+        self.words = np.searchsorted(self.vocabulary, cut.hashes).astype(np.int32) + 1
+        n = np.diff(cut.offsets)
+        per = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        item = np.repeat(np.arange(len(n), dtype=np.int32), per)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(per) - per - cut.offsets[:-1], per)
+        length = np.minimum(n, size)[item]
+        marks = [np.full(len(item), salt, np.uint64) for salt in (1, 2)]
+        for j in range(size):
+            inside = np.flatnonzero(length > j)
+            word = self.words[start[inside] + j].astype(np.uint64)
+            for mark in marks:
+                mark[inside] = mix64(mark[inside] * _MARK + word)
+        order = np.lexsort((item, *marks))
+        new = np.concatenate([np.ones(min(1, len(order)), bool), np.any([m[order[1:]] != m[order[:-1]] for m in marks], axis=0)])
+        new_item = new | np.concatenate([np.ones(min(1, len(order)), bool), item[order[1:]] != item[order[:-1]]])
+        first = order[new]
+        self.lengths = length[first].astype(np.int32)
+        self.ends = (start[first] + length[first]).astype(np.int32)
+        self.holders = item[order[new_item]]
+        self.holder_starts = np.concatenate([np.flatnonzero(new[new_item]), [len(self.holders)]]).astype(np.int32)
         self.base = len(self.vocabulary) + 1
-        self.neighbours = np.unique(left * self.base + right)
-        self.singles = np.unique(self.words[self.lengths == 1, 0])
-        self.shortest = int(self.lengths.min()) if len(keys) else 0
+        rows = cut.rows()
+        left, right = self.words[:-1].astype(np.int64), self.words[1:].astype(np.int64)
+        self.neighbours = np.unique((left * self.base + right)[rows[1:] == rows[:-1]])
+        self.singles = np.unique(self.words[cut.offsets[:-1][n == 1]])
+        self.shortest = int(self.lengths.min()) if len(first) else 0
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
@@ -121,22 +139,20 @@ class FMIndex:
             row = np.where(one, zeros + row_ones, row - row_ones)
         return row - begin
 
-    def search(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pattern, low, high) of the patterns that occur."""
-        which = np.arange(len(lengths))
-        last = words[which, lengths - 1]
+    def search(self, words: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, low, high) of the patterns that occur; pattern i is words[ends[i] - lengths[i]:ends[i]]."""
+        last = words[ends - 1]
         low, high = self.first[last], self.first[last + 1]
-        for back in range(2, words.shape[1] + 1):
-            alive = low < high
-            which, low, high = which[alive], low[alive], high[alive]
+        which = np.flatnonzero(low < high)
+        low, high = low[which], high[which]
+        for back in range(2, int(lengths.max(initial=1)) + 1):
             more = np.flatnonzero(lengths[which] >= back)
-            if len(more) == 0:
-                continue
-            symbol = words[which[more], lengths[which[more]] - back]
+            symbol = words[ends[which[more]] - back]
             low[more] = self.first[symbol] + self.rank(symbol, low[more])
             high[more] = self.first[symbol] + self.rank(symbol, high[more])
-        alive = low < high
-        return which[alive], low[alive], high[alive]
+            alive = low < high
+            which, low, high = which[alive], low[alive], high[alive]
+        return which, low, high
 
     def locate(self, row: np.ndarray) -> np.ndarray:
         """Text positions of rows, each by stepping back to the nearest sampled suffix."""
@@ -171,26 +187,46 @@ def _suffix_array(sequence: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def _pieces(first: np.ndarray, end: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches cut to _PIECE words and what a window that starts there needs beyond: (first, end, first word that isn't the piece's own)."""
+    many = np.maximum(1, -(-(end - first - overlap) // _PIECE))
+    number = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    begin, stop = np.repeat(first, many) + number * _PIECE, np.repeat(end, many)
+    is_last = number == np.repeat(many - 1, many)
+    return begin, np.where(is_last, stop, begin + _PIECE + overlap), np.where(is_last, stop, begin + _PIECE)
+
+
 def occurrences(windows: Windows, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first word) of every occurrence in a shard's words."""
-    none = np.zeros(0, np.int64)
+    """(window, first word) of every occurrence in a shard's words; indexes hold about _PIECE words whatever the shard's size."""
     symbols = windows.symbols(hashes)
-    first, end = windows.stretches(symbols, rows)
-    if len(first) == 0:
-        return none, none
+    first, end, own = _pieces(*windows.stretches(symbols, rows), windows.size - 1)
+    group = np.cumsum(end - first + 1) // _PIECE
+    found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for cut in np.split(np.arange(len(first)), np.flatnonzero(np.diff(group)) + 1):
+        if len(cut):
+            which, at = _in_pieces(windows, symbols, first[cut], end[cut], own[cut])
+            found.append(which)
+            places.append(at)
+    return np.concatenate(found), np.concatenate(places)
+
+
+def _in_pieces(windows: Windows, symbols: np.ndarray, first: np.ndarray, end: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = end - first + 1
     starts = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(starts - first, sizes)  # of each symbol in the shard; ends hold a 0
     is_end = np.zeros(len(place), bool)
     is_end[starts + sizes - 1] = True
     sequence = np.where(is_end, 0, symbols[np.minimum(place, len(symbols) - 1)]).astype(np.int32)
-    index = FMIndex(sequence, windows.base - 1)
-    which, low, high = index.search(windows.words, windows.lengths)
-    if len(which) == 0:
-        return none, none
-    many = high - low
-    rows_found = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many)
-    return np.repeat(which, many), place[index.locate(rows_found)]
+    index, until = FMIndex(sequence, windows.base - 1), np.repeat(own, sizes)
+    found, places = [], []
+    for at in range(0, len(windows.lengths), _CHUNK):
+        which, low, high = index.search(windows.words, windows.ends[at : at + _CHUNK], windows.lengths[at : at + _CHUNK])
+        many = high - low
+        located = index.locate(np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many))
+        mine = place[located] < until[located]
+        found.append((np.repeat(which, many) + at)[mine])
+        places.append(place[located][mine])
+    return np.concatenate(found), np.concatenate(places)
 
 
 def _merge(positions: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,19 +260,25 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _OUT = "doc_id long, th long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _one_pass(docs: DataFrame, rows: list, window: int, shard_bytes: int) -> DataFrame:
-    block = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+def _shared_windows(block: DataFrame, window: int) -> Broadcast:
+    """A block's windows, built once on the driver; each worker loads them once."""
+    rows = block.toArrow()
+    windows = Windows(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks().cast(pa.large_string()), window)
+    return block.sparkSession.sparkContext.broadcast(windows)
+
+
+def _one_pass(docs: DataFrame, block: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    shared = _shared_windows(block, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = None
+        windows = shared.value
         for batch in batches:
-            windows = windows or Windows([i for i, _ in block.value], pa.array([t for _, t in block.value], pa.large_string()), window)
             for low, high in slices(batch.column(2), shard_bytes):
                 n_words, spans, items = _scan(windows, batch.column(2)[low:high])
                 columns = [batch.column(0)[low:high], batch.column(1)[low:high], pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n_words", "spans", "items"])
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS th", "text").mapInArrow(run, _OUT)
+    return map_batches(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS th", "text"), run, _OUT)
 
 
 def _merged(spans: Column) -> Column:
@@ -260,10 +302,10 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [items.filter(block_of == b) for b in range(n_blocks)]
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, th, n_words, spans, items) of each document: hit words as merged [start, end) spans, and the ids of the items found."""
     blocks = _item_blocks(benchmark, block_bytes)
-    passes = [_one_pass(docs, block.collect(), window, shard_bytes) for block in blocks]  # about block_bytes each
+    passes = [_one_pass(docs, block, window, shard_bytes) for block in blocks]
     if len(blocks) == 1:
         return passes[0]
     together = passes[0]
@@ -284,7 +326,7 @@ def judge(overlaps: DataFrame) -> DataFrame:
     return overlaps.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents, all columns, that are not contaminated. With one benchmark block no text is shuffled."""
     blocks = _item_blocks(benchmark, block_bytes)
     if len(blocks) > 1:
@@ -292,17 +334,16 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
         bad = bad.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th")).distinct()
         same = docs.doc_id.cast("long").eqNullSafe(bad.b_id) & (F.xxhash64(docs.text) == bad.b_th)
         return docs.join(bad, same, "left_anti")
-    block = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in blocks[0].collect()])
+    shared = _shared_windows(blocks[0], window)
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = None
+        windows = shared.value
         for batch in batches:
-            windows = windows or Windows([i for i, _ in block.value], pa.array([t for _, t in block.value], pa.large_string()), window)
             for low, high in slices(batch.column(column), shard_bytes):
                 n_words, spans, _ = _scan(windows, batch.column(column)[low:high])
                 hits = [sum(s["end"] - s["start"] for s in found) for found in spans]
                 clean = [h == 0 or 20 * h < n for h, n in zip(hits, n_words, strict=True)]
                 yield batch.slice(low, high - low).filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -80,7 +80,7 @@ def test_fm_index_finds_every_place():
         table = np.zeros((len(patterns), 3), np.int32)
         for i, p in enumerate(patterns):
             table[i, : len(p)] = p
-        which, low, high = index.search(table, lengths)
+        which, low, high = index.search(table.ravel(), np.arange(len(patterns)) * 3 + lengths, lengths)
         found = {tuple(patterns[w]): sorted(index.locate(np.arange(a, b))) for w, a, b in zip(which, low, high, strict=True)}
         for p in patterns:
             assert found[p] == [i for i in range(n - len(p) + 1) if tuple(sequence[i : i + len(p)]) == p]
@@ -88,3 +88,25 @@ def test_fm_index_finds_every_place():
 
 def test_windows_of_nothing():
     assert decontamination.Windows([], pa.array([], pa.large_string()), 13).shortest == 0
+
+
+def test_pieces_of_a_long_stretch(monkeypatch):
+    """A text that repeats the benchmark is one stretch; cut to small pieces it gives the same occurrences."""
+    item = " ".join(f"w{i % 17}" for i in range(60))
+    windows = decontamination.Windows(["a", "b"], pa.array([item, "w3 w4"], pa.large_string()), 13)
+    cut = decontamination.cut_words(pa.array([item + " " + item + " x " + item, "w3 w4 " * 40]))
+    whole = sorted(zip(*decontamination.occurrences(windows, cut.hashes, cut.rows()), strict=True))
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(decontamination, "_PIECE", piece)
+        assert sorted(zip(*decontamination.occurrences(windows, cut.hashes, cut.rows()), strict=True)) == whole
+    assert len(whole) > 150
+
+
+def test_windows_of_a_large_benchmark_are_compact():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 50_000, 250)) for _ in range(2_000)]
+    texts += texts[:500]
+    windows = decontamination.Windows([str(i) for i in range(len(texts))], pa.array(texts, pa.large_string()), 13)
+    held = sum(v.nbytes for v in vars(windows).values() if isinstance(v, np.ndarray))
+    assert held < 8 * sum(map(len, texts)) + (2 << 20)
+    assert len(windows.lengths) == 2_000 * 238 and len(windows.holders) == 2_500 * 238
