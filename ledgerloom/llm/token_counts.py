@@ -6,20 +6,26 @@ cache in each Python worker: a pre-token missing from tier one is encoded once b
 cache_entries; a full cache starts anew). Pre-tokens never leave the task that cut them, so nothing is shuffled.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); strings of special tokens inside a text count as one token, as the
-library does by default; rows that repeat a doc_id each get a row; extra columns are ignored.
+library does by default; rows that repeat a doc_id each get a row; very long texts count whole, their pre-tokens in bounded lists; an
+empty table gives no rows; extra columns, whatever their names, are ignored. A file that cuts texts in another way is an error.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.workers import map_batches
 
 #: The pre-token pattern of the byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LONGEST_CACHED = 64
+_LONGEST_CACHED, _LONG = 64, 1 << 20
 
 
 class LengthTable:
@@ -33,7 +39,7 @@ class LengthTable:
         self.frequent = dict(zip(names.split("\x00"), lengths, strict=True)) if names else {}
         self.cache: dict[str, int] = {}
         self.cache_entries = cache_entries
-        self.cut = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
@@ -50,19 +56,28 @@ class LengthTable:
         if self.special is not None and self.special.search(text):
             parts = self.special.split(text)
             n = len(parts) - 1
-        for part in parts:
-            words = self.cut(part)
-            lengths = list(map(self.frequent.get, words))
-            if None in lengths:
-                cached = self.cache.get
-                rest = [w for w, k in zip(words, lengths, strict=True) if k is None]
-                n += sum(k for k in lengths if k is not None)
-                lengths = list(map(cached, rest))
-                if None in lengths:
-                    found = self._encode_missing(list({w for w, k in zip(rest, lengths, strict=True) if k is None}))
-                    lengths = [found[w] if k is None else k for w, k in zip(rest, lengths, strict=True)]
-            n += sum(lengths)
-        return n
+        return n + sum(self._count_words(words) for part in parts for words in self._cut(part))
+
+    def _cut(self, part: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text; those of a very long one in lists of bounded length."""
+        if len(part) <= _LONG:
+            yield self.pattern.findall(part)
+            return
+        found = (m[0] for m in self.pattern.finditer(part))
+        while words := list(islice(found, _LONG // 8)):
+            yield words
+
+    def _count_words(self, words: list[str]) -> int:
+        lengths = list(map(self.frequent.get, words))
+        if None not in lengths:
+            return sum(lengths)
+        n = sum(k for k in lengths if k is not None)
+        rest = [w for w, k in zip(words, lengths, strict=True) if k is None]
+        lengths = list(map(self.cache.get, rest))
+        if None in lengths:
+            found = self._encode_missing(list({w for w, k in zip(rest, lengths, strict=True) if k is None}))
+            lengths = [found[w] if k is None else k for w, k in zip(rest, lengths, strict=True)]
+        return n + sum(lengths)
 
 
 #: This worker's table, kept from task to task.
@@ -76,6 +91,16 @@ def worker_table(model_path: str, shared, cache_entries: int) -> LengthTable:
     return _TABLES[key]
 
 
+def _check_file(model_path: str) -> None:
+    """Raises where the file cuts texts in another way than by PATTERN, or rewrites them before."""
+    with open(model_path, encoding="utf-8") as f:
+        told = json.load(f)
+    cut = told.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not plain or told.get("normalizer") is not None or told.get("truncation") is not None:
+        raise ValueError(f"{model_path} isn't a byte-level BPE file with the usual pre-tokens and without a normalizer")
+
+
 def frequent_lengths(model_path: str) -> tuple[str, bytes]:
     """The vocabulary's entries that are whole pre-tokens, and their lengths in tokens."""
     import regex
@@ -93,16 +118,15 @@ def frequent_lengths(model_path: str) -> tuple[str, bytes]:
 
 def count_tokens(docs: DataFrame, model_path: str, cache_entries: int = 500_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every document under a byte-level BPE file of the tokenizers library."""
+    _check_file(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(model_path, shared, cache_entries)
         for batch in batches:
-            texts = batch.column(1)
-            sizes = texts.cast(pa.binary()) if not pa.types.is_large_string(texts.type) else texts.cast(pa.large_binary())
-            n_bytes = np.array([len(x) if x is not None else 0 for x in sizes.to_pylist()], dtype=np.int64)
-            counts = np.array([table.count(t) if t else 0 for t in texts.to_pylist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
-
-    rows = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+            counts = np.array([table.count(t.as_py()) if t.is_valid else 0 for t in batch.column(2)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
+
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes, "text")
+    return map_batches(rows, run, "doc_id long, n_bytes long, n_tokens long")

@@ -12,7 +12,8 @@ Reading: queries are sorted the same way; each is binary-searched among the file
 records are fetched by range reads in archive order. Folders are any that pyarrow's filesystems reach (s3a:// is read as s3://).
 
 Defined results: null html is an empty payload, null url has the key ')'; null page_id sorts last and refers to nothing; rows that
-repeat the smallest page_id of a payload are each a response; an empty table gives no rows; extra columns are ignored.
+repeat the smallest page_id of a payload are each a response; a very long payload is held whole by the task that writes or reads it; an
+empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import new_folder, written
+from ledgerloom.llm.workers import map_batches
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ENTRY = "key string, file string, offset long, length long"
@@ -135,7 +137,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         if out is not None:
             out.close()
 
-    return written(marked.mapInArrow(run, _ENTRY), "captures")
+    return written(map_batches(marked, run, _ENTRY), "captures")
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = 1000) -> list[tuple[str, str, int, int]]:
@@ -260,7 +262,7 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = False) -> Da
             file.close()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return ranged.mapInArrow(run, schema)
+    return map_batches(ranged, run, schema)
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
