@@ -6,8 +6,11 @@ per class over all labelled rows in Spark; what reaches the driver is 1 + d + d*
 shrunk towards a scaled identity and kept as a Cholesky factor; a score is the logistic of the difference of the classes' log densities
 (Mahalanobis distance and log determinant from the factor) plus log prior odds, over a temperature that keeps far scores apart.
 
-Defined results: null text counts as empty; labels other than 0 and 1 are left out; with a class unseen all scores are the smoothed
-share of label 1; rows that repeat a doc_id each get a score; an empty table gives no rows. Only the text enters a score.
+Defined results: null text counts as empty; labels other than 0 and 1 are left out, and so are those of a null doc_id; a doc_id that is
+labelled several times, or repeated among the documents, counts with each pair; with a class unseen all scores are the smoothed share of
+label 1; rows that repeat a doc_id each get a score; equal texts get equal scores; very long texts count whole, in slices of a few MB (a
+longer text is a slice of its own); an empty table gives no rows; extra columns, whatever their names, are ignored. Only the text enters a
+score.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.scratch import written
 from ledgerloom.llm.words import cut_words, raw_bytes, slices
+from ledgerloom.llm.workers import map_batches
 
 _SLICE = 4 << 20
 #: Byte classes counted: each is a set of ASCII characters; non-ASCII bytes count as letters.
@@ -87,12 +92,13 @@ def _statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Class means, Cholesky factors and log determinants over standardised statistics; prior is log odds of label 1."""
+    """Class means, Cholesky factors with their inverses, and log determinants over standardised statistics; prior is log odds of label 1."""
 
     shift: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
     factors: list[np.ndarray]
+    inverses: list[np.ndarray]
     log_dets: list[float]
     prior: float
     temperature: float
@@ -102,9 +108,9 @@ class Discriminant:
         margin = np.full(len(x), self.prior)
         if self.factors:
             density = []
-            for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-                z = np.linalg.solve(factor, (x - mean).T)
-                density.append(-0.5 * (z * z).sum(axis=0) - 0.5 * log_det)
+            for mean, inverse, log_det in zip(self.means, self.inverses, self.log_dets, strict=True):
+                z = (x - mean) @ inverse.T
+                density.append(-0.5 * (z * z).sum(axis=1) - 0.5 * log_det)
             margin = margin + density[1] - density[0]
         return 1.0 / (1.0 + np.exp(-np.clip(margin / self.temperature, -700, 700)))
 
@@ -122,7 +128,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             for low, high, x in _texts(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return map_batches(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text"), run, "doc_id long, x array<double>")
 
 
 def fit(labelled: DataFrame, shrinkage: float = 0.1, temperature: float = 4.0) -> Discriminant:
@@ -134,7 +140,7 @@ def fit(labelled: DataFrame, shrinkage: float = 0.1, temperature: float = 4.0) -
         for batch in batches:
             if batch.num_rows:
                 label = batch.column(0).to_numpy(zero_copy_only=False).astype(int)
-                x = np.array(batch.column(1).to_pylist(), float)
+                x = batch.column(1).flatten().to_numpy().reshape(-1, d)
                 for k in (0, 1):
                     own = x[label == k]
                     total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -149,11 +155,11 @@ def fit(labelled: DataFrame, shrinkage: float = 0.1, temperature: float = 4.0) -
     total = total.reshape(2, -1)
     n = total[:, 0]
     if n.sum() == 0 or n.min() == 0:
-        return Discriminant(np.zeros(d), np.ones(d), [], [], [], float(np.log((n[1] + 1) / (n[0] + 1))), 1.0)
+        return Discriminant(np.zeros(d), np.ones(d), [], [], [], [], float(np.log((n[1] + 1) / (n[0] + 1))), 1.0)
     shift = total[:, 1 : 1 + d].sum(axis=0) / n.sum()
     square = total[:, 1 + d :].sum(axis=0).reshape(d, d) / n.sum() - np.outer(shift, shift)
     scale = np.sqrt(np.maximum(np.diag(square), 1e-9))
-    means, factors, log_dets = [], [], []
+    means, factors, inverses, log_dets = [], [], [], []
     for k in (0, 1):
         mean = total[k, 1 : 1 + d] / n[k]
         cov = (total[k, 1 + d :].reshape(d, d) / n[k] - np.outer(mean, mean)) / np.outer(scale, scale)
@@ -162,29 +168,36 @@ def fit(labelled: DataFrame, shrinkage: float = 0.1, temperature: float = 4.0) -
         factor = np.linalg.cholesky(cov)
         means.append((mean - shift) / scale)
         factors.append(factor)
+        inverses.append(np.tril(np.linalg.solve(factor, np.eye(d))))
         log_dets.append(2 * float(np.log(np.diag(factor)).sum()))
-    return Discriminant(shift, scale, means, factors, log_dets, float(np.log(n[1] / n[0])), temperature)
+    return Discriminant(shift, scale, means, factors, inverses, log_dets, float(np.log(n[1] / n[0])), temperature)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fits to labels (doc_id, quality); held-out rows, crc32 of the id's text mod 3 equal to 1, are left out."""
+def train(statistics: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fits statistics (doc_id, x) to labels (doc_id, quality); held-out rows, crc32 of the id's text mod 3 equal to 1, are left out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).filter(~held_out("doc_id"))
-    return fit(document_statistics(docs).join(usable, "doc_id"))
+    return fit(statistics.join(usable, "doc_id"))
 
 
 def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score) of every text."""
+def score(statistics: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, score) of statistics (doc_id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, x in _texts(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(model.scores(x))], ["doc_id", "score"])
+            x = batch.column(1).flatten().to_numpy().reshape(-1, N_STATISTICS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
+
+    return map_batches(statistics, run, "doc_id long, score double")
+
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, score double")
+def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) of every text; each text is read once, its statistics stay in the shared folder."""
+    statistics = written(document_statistics(docs), "statistics")
+    return score(statistics, train(statistics, labels))
 
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.5) -> DataFrame:
@@ -196,4 +209,4 @@ def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.5) -> D
             for low, high, x in _texts(batch, column):
                 yield batch.slice(low, high - low).filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -19,9 +19,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model).withColumn("held_out", quality.held_out("doc_id"))
+    scored = quality.train_and_score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumn("held_out", quality.held_out("doc_id"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -30,15 +30,17 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     from pyspark.sql import functions as F
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.document_statistics(docs)
     turned = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert np.allclose(quality.train(docs, labels).means, quality.train(docs, turned).means)
+    assert np.allclose(quality.train(stats, labels).means, quality.train(stats, turned).means)
 
 
 def test_scores_match_the_densities(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.train(docs, labels)
-    stats = {r.doc_id: np.array(r.x) for r in quality.document_statistics(docs).collect()}
-    for r in quality.score(docs, model).collect():
+    statistics = quality.document_statistics(docs)
+    model = quality.train(statistics, labels)
+    stats = {r.doc_id: np.array(r.x) for r in statistics.collect()}
+    for r in quality.score(statistics, model).collect():
         x = (stats[r.doc_id] - model.shift) / model.scale
         logs = []
         for mean, factor in zip(model.means, model.factors, strict=True):
@@ -50,12 +52,14 @@ def test_scores_match_the_densities(spark):
 
 def test_odd_rows(spark, odd_docs, clashing, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, None, 0), (5, 0, 0), (6, 0, 1), (7, 1, 0), (8, 2, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
-    model = quality.train(odd_docs, labels)
-    got = sorted(map(str, quality.score(odd_docs, model).collect()))
+    of = quality.document_statistics
+    model = quality.train(of(odd_docs), labels)
+    got = sorted(map(str, quality.score(of(odd_docs), model).collect()))
     assert len(got) == odd_docs.count()
-    assert got == sorted(map(str, quality.score(clashing, model).collect()))
-    assert quality.score(no_docs, model).count() == 0
+    assert got == sorted(map(str, quality.score(of(clashing), model).collect()))
+    assert quality.score(of(no_docs), model).count() == 0
     assert quality.keep_good(clashing, model).columns == clashing.columns
-    unseen = quality.train(odd_docs, labels.filter("quality = 1"))
-    assert len({r.score for r in quality.score(odd_docs, unseen).collect()}) == 1
-    assert {r.score for r in quality.score(odd_docs, quality.train(no_docs, labels.limit(0))).collect()} == {0.5}
+    unseen = quality.train(of(odd_docs), labels.filter("quality = 1"))
+    assert len({r.score for r in quality.score(of(odd_docs), unseen).collect()}) == 1
+    assert {r.score for r in quality.score(of(odd_docs), quality.train(of(no_docs), labels.limit(0))).collect()} == {0.5}
+    assert quality.train_and_score(clashing, labels).count() == clashing.count()
