@@ -6,12 +6,14 @@ min_run characters of the base64 and identifier alphabets is reported if the sum
 pattern span overlaps it. Text passes through whole; each pattern first tests a text and only those that match are cut up.
 
 Spans are (start, end, kind) in code points, end exclusive, by start and then kind. Defined results: null text has no spans;
-rows that repeat a doc_id each get a row; an empty table gives no rows; extra columns are ignored.
+rows that repeat a doc_id each get a row; very long texts count whole, in time linear in their matches; an empty table gives no rows;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +41,9 @@ _WORDS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """(value, is_random): n random strings over several alphabets and n ordinary identifiers, made by rule from row numbers."""
-    ids = spark.range(n)
+def labelled_samples(spark: SparkSession, n: int = 6000, first: int = 0) -> DataFrame:
+    """(value, is_random): n random strings over several alphabets and n ordinary identifiers, made by rule from the numbers from first on."""
+    ids = spark.range(first, first + n)
     digest = F.sha2(F.col("id").cast("string"), 256)
     b64 = F.base64(F.unhex(digest))
     random = ids.select(
@@ -107,44 +109,76 @@ def log_ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda total, x: total + x)
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """[(start, end, part)] of the pattern's matches, part being a group's text; [] where there are none."""
-    kind = "array<struct<start:int,end:int,part:string>>"
+_CHUNK = 256
+
+
+def _running(items: str, out: str, zero: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> list[tuple[str, Column]]:
+    """Columns, to be added one after the other, of which the last holds combine's running value before each item of an array.
+
+    In two levels, chunks and items: an array grown inside aggregate is copied at each step, so none may be long.
+    """
+    chunks, heads = f"__{out}_chunks", f"__{out}_heads"
+
+    def run(part: Column, start: Column, of: Callable[[Column], Column]) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda acc, x: F.struct(combine(acc["at"], of(x)).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("seen")), step, lambda acc: acc["seen"])
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _CHUNK).cast("int"))
+    cut = F.transform(F.when(F.size(items) > 0, numbers).otherwise(F.array().cast("array<int>")), lambda c: F.slice(items, c * _CHUNK + 1, _CHUNK))
+    totals = F.transform(chunks, lambda chunk: F.aggregate(chunk, zero, lambda acc, x: combine(acc, value(x))))
+    inside = F.flatten(F.zip_with(chunks, heads, lambda chunk, head: run(chunk, head, value)))
+    return [(chunks, cut), (heads, run(totals, zero, lambda t: t)), (out, inside)]
+
+
+def _with(df: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
+    for name, column in columns:
+        df = df.withColumn(name, column)
+    return df
+
+
+def _add_matches(df: DataFrame, name: str, pattern: str, group: int) -> DataFrame:
+    """df with array column name: (start, end, part) of the matches in its column __text, part being a group's text; [] where there are none."""
+    text = F.col("__text")
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     pieces = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), F.transform(whole, lambda m: F.length(m)).alias("len"), part.alias("part"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    items, before = f"__{name}_pieces", f"__{name}_before"
+    df = df.withColumn(items, F.when(text.rlike(pattern), pieces).otherwise(F.array().cast("array<struct<gap:int,len:int,part:string>>")))
+    df = _with(df, _running(items, before, F.lit(0), lambda p: p["gap"] + p["len"], lambda x, y: x + y))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + p["len"]
-        one = F.struct(start.alias("start"), end.alias("end"), p["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+    def placed(p: Column, at: Column) -> Column:
+        return F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["len"]).alias("end"), p["part"].alias("part"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    return df.withColumn(name, F.zip_with(items, before, placed))
 
 
 def find_secrets(docs: DataFrame, model: list[float], threshold: float = 12.0, min_run: int = 20) -> DataFrame:
     """(doc_id, base, spans): sorted arrays of (start, rank, end, kind); base holds the fixed kinds, spans also the model's."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    for kind, pattern, group, _ in KINDS:
+        df = _add_matches(df, kind, pattern, group)
+    df = _add_matches(df, "runs", f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_run},}}", 0)
 
     def ranked(spans: Column, rank: int, kind: str) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    run = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_run},}}"
-    def long_enough(pattern: str, group: int, least: int) -> Column:
-        return F.filter(_matches(text, pattern, group), lambda s: F.length(s["part"]) >= least)
-
-    found = [long_enough(*rule) for _, *rule in KINDS]
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.sort_array(F.concat(*[ranked(spans, i, kind[0]) for i, (spans, kind) in enumerate(zip(found, KINDS, strict=True))])).alias("base"),
-        _matches(text, run, 0).alias("runs"),
-    )
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    random = F.filter(free, lambda r: log_ratio(r["part"], model) > threshold)
-    return rows.select("doc_id", "base", F.sort_array(F.concat("base", ranked(random, len(KINDS), "markov"))).alias("spans"))
+    def long_enough(kind: str, least: int) -> Column:
+        return F.filter(kind, lambda s: F.length(s["part"]) >= least)
+
+    df = df.withColumn("base", F.sort_array(F.concat(*[ranked(long_enough(kind, least), i, kind) for i, (kind, _, _, least) in enumerate(KINDS)])))
+    # A run is free if no base span that starts before its end ends after its start: one pass over both by place, runs first at a tie.
+    event = lambda at, base, start, end, part: F.struct(at.alias("at"), F.lit(base).alias("base"), start.alias("start"), end.alias("end"), part.alias("part"))
+    of_base = F.transform("base", lambda b: event(b["start"], 1, b["start"], b["end"], F.lit("")))
+    of_runs = F.transform("runs", lambda r: event(r["end"], 0, r["start"], r["end"], r["part"]))
+    df = df.withColumn("__events", F.sort_array(F.concat(of_base, of_runs)))
+    reach = _running("__events", "__reach", F.lit(-1), lambda e: F.when(e["base"] == 1, e["end"]).otherwise(F.lit(-1)), F.greatest)
+    df = _with(df, reach)
+    met = F.zip_with("__events", "__reach", lambda e, r: F.when((e["base"] == 0) & (r <= e["start"]), e))
+    df = df.withColumn("__free", F.filter(met, lambda e: e.isNotNull()))
+    random = F.filter("__free", lambda e: log_ratio(e["part"], model) > threshold)
+    return df.select("doc_id", "base", F.sort_array(F.concat("base", ranked(random, len(KINDS), "markov"))).alias("spans"))
 
 
 def count_kind(spans: Column, kind: str) -> Column:
