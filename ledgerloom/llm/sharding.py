@@ -1,15 +1,18 @@
 """Sharding: longest-processing-time scheduling of text groups onto shards.
 
-Equal texts must share a shard. Groups are hashed into at most `units` units, whose sizes are summed map-side; a heap then
-gives each unit, largest first, to the least-loaded shard. With no more groups than units nearly every group is a unit of its
-own; with more, a unit is a random bundle, at most 1/units of the data above its largest group. So the driver holds `units`
-rows whatever the input, no group has to be gathered, and a document's shard follows from its own text hash.
+Equal texts must share a shard. Group sizes are summed map-side, and a heap gives each unit, largest first, to the least-loaded shard.
+Every group above 1/HEAVY of a shard's mean load is a unit of its own: there are shards * HEAVY of those at most, whatever the input.
+What is smaller is bundled by hash into at most UNITS units, each about 1/UNITS of the rest. So the driver holds shards * HEAVY + UNITS
+rows, no group has to be gathered, and a document's shard follows from its own text hash. (All groups as units, without bundles, would
+take a row each on the driver; a bundle's error is bounded by its own size, far below a shard's.)
 
 Slots number the rows of a shard without gaps: rows go to hash cells of about rows_per_cell documents, cells get offsets from
-a running sum of their counts, and rows are numbered inside their cell. The running sum has one row per cell.
+running sums of their counts in two levels, and rows are numbered inside their cell.
 
-Defined results: null text has no bytes and belongs with the empty text; rows that repeat a doc_id each get a slot; an empty
-table gives no rows; extra columns are ignored. One text group above 1/shards of all bytes makes its shard that much larger.
+Defined results: null text has no bytes and belongs with the empty text; rows that repeat a doc_id each get a slot, in the order of their
+texts' hashes, as do rows without one; equal rows take slots one after the other; very long texts are only measured and moved; an empty
+table gives no rows; extra columns, whatever their names, are ignored, or kept by shard_documents unless named shard or slot. One text
+group above 1/shards of all bytes makes its shard that much larger.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import rows
 from ledgerloom.llm.scratch import written
 
-UNITS = 24_576
+UNITS, HEAVY = 24_576, 1000
 
 
-def longest_first(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
-    """(unit, shard) for (unit, size): largest unit first, to the least-loaded shard; ties by number."""
+def longest_first(sizes: list[tuple], shards: int) -> list[tuple]:
+    """(unit, shard) for (unit, size): largest unit first, to the least-loaded shard; ties by the unit's name."""
     loads = [(0, shard) for shard in range(shards)]
     placed = []
     for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
@@ -35,63 +39,76 @@ def longest_first(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int,
     return placed
 
 
-def _unit(units: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(units)).cast("int")
+def _group(text_hash: str = "group") -> Column:
+    return F.pmod(F.col(text_hash), F.lit(UNITS)).cast("int")
 
 
-def measure(docs: DataFrame, units: int = UNITS, row_bytes: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, unit) of every document, as a written table."""
+def measure(docs: DataFrame, row_bytes: int = 8) -> DataFrame:
+    """(key, doc_id, group, size, text_crc32, n) of the documents; group tells texts apart, null and empty ones being one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + F.lit(row_bytes)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        _unit(units).alias("unit"),
-    )
-    return written(rows, "shard-rows")
+    measures = {"group": F.xxhash64(text), "size": (F.octet_length(text) + F.lit(row_bytes)).cast("long"), "text_crc32": F.crc32(text.cast("binary"))}
+    return rows.narrow(docs, measures, "shard-rows")
 
 
-def plan_units(measured: DataFrame, shards: int) -> DataFrame:
-    """(unit, shard), at most UNITS rows, to be broadcast."""
-    sizes = [(r.unit, r.total) for r in measured.groupBy("unit").agg(F.sum("size").alias("total")).collect()]
-    return F.broadcast(measured.sparkSession.createDataFrame(longest_first(sizes, shards), "unit int, shard int"))
+def plan_groups(measured: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(group, shard) of the heavy groups and (unit, shard) of the bundles, both of proven size, to be broadcast."""
+    spark = measured.sparkSession
+    groups = written(measured.groupBy("group").agg(F.sum(F.col("size") * F.col("n")).alias("total")), "text-groups")
+    least = (groups.agg(F.sum("total")).first()[0] or 0) / (shards * HEAVY)
+    heavy = [("group", r.group, r.total) for r in groups.filter(F.col("total") > least).collect()]  # shards * HEAVY rows at most
+    tail = groups.filter(F.col("total") <= least).groupBy(_group().alias("unit")).agg(F.sum("total").alias("total"))
+    bundles = [("unit", r.unit, r.total) for r in tail.collect()]  # UNITS rows at most
+    placed = longest_first([((kind, key), size) for kind, key, size in heavy + bundles], shards)
+    tables = [[(key, shard) for (kind, key), shard in placed if kind == name] for name in ("group", "unit")]
+    return F.broadcast(spark.createDataFrame(tables[0], "h_group long, h_shard int")), F.broadcast(spark.createDataFrame(tables[1], "u_unit int, u_shard int"))
 
 
-def cell_offsets(assigned: DataFrame, rows_per_cell: int = 512) -> tuple[int, DataFrame]:
-    """The number of cells of a shard, and the first slot (shard, cell, offset) of each."""
-    largest = assigned.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    cells = max(1, -(-largest // rows_per_cell))
-    counts = assigned.groupBy("shard", _cell(cells).alias("cell")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return cells, written(counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "shard-offsets")
+def assign(measured: DataFrame, shards: int) -> DataFrame:
+    """measured with its shard."""
+    heavy, bundles = plan_groups(measured, shards)
+    met = measured.join(heavy, F.col("group") == F.col("h_group"), "left").join(bundles, _group() == F.col("u_unit"), "left")
+    return met.withColumn("shard", F.coalesce("h_shard", "u_shard")).drop("h_group", "h_shard", "u_unit", "u_shard")
 
 
 def _cell(cells: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(cells))
+    return F.pmod(F.xxhash64(*rows.KEY), F.lit(cells))
+
+
+def cell_offsets(assigned: DataFrame, rows_per_cell: int = 512, cells_per_block: int = 1024) -> tuple[int, DataFrame]:
+    """The number of cells of a shard, and the first slot (shard, cell, offset) of each: a running sum over blocks, then one inside each."""
+    largest = assigned.groupBy("shard").agg(F.sum("n").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    cells = max(1, -(-largest // rows_per_cell))
+    counts = assigned.groupBy("shard", _cell(cells).alias("cell")).agg(F.sum("n").alias("rows"))
+    counts = written(counts.withColumn("block", F.floor(F.col("cell") / cells_per_block)), "cell-counts")
+
+    def before(*group: str) -> Window:
+        return Window.partitionBy(*group[:-1]).orderBy(group[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+    blocks = counts.groupBy("shard", "block").agg(F.sum("rows").alias("total"))
+    starts = blocks.select("shard", "block", F.coalesce(F.sum("total").over(before("shard", "block")), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("rows").over(before("shard", "block", "cell")), F.lit(0))
+    offsets = counts.withColumn("inside", inside).join(starts, ["shard", "block"])
+    return cells, written(offsets.select("shard", "cell", (F.col("start") + F.col("inside")).alias("offset")), "shard-offsets")
+
+
+def number_slots(assigned: DataFrame) -> DataFrame:
+    """assigned with its first slot: rows take 0, 1, 2, ... inside each shard, those of one key consecutive ones."""
+    cells, offsets = cell_offsets(assigned)
+    order = Window.partitionBy("shard", "cell").orderBy("doc_id", *rows.KEY).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = assigned.withColumn("cell", _cell(cells)).withColumn("inside", F.sum("n").over(order) - F.col("n")).join(offsets, ["shard", "cell"])
+    return numbered.withColumn("first_slot", F.col("offset") + F.col("inside")).drop("cell", "inside", "offset")
 
 
-def number_slots(rows: DataFrame, cells: int, offsets: DataFrame, order: list[str]) -> DataFrame:
-    """rows with slot: 0, 1, 2, ... inside each shard; order breaks ties of doc_id."""
-    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", *order))
-    numbered = rows.withColumn("cell", _cell(cells)).withColumn("inside", inside).join(offsets, ["shard", "cell"])
-    return numbered.withColumn("slot", (F.col("offset") + F.col("inside") - 1).cast("long")).drop("cell", "inside", "offset")
+_SLOT = "CAST(first_slot + copy AS long) AS slot"
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot)."""
-    measured = measure(docs)
-    assigned = measured.join(plan_units(measured, shards), "unit")
-    placed = number_slots(assigned, *cell_offsets(assigned), ["text_crc32", "size"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
+    return rows.copies(number_slots(assign(measure(docs), shards))).selectExpr("doc_id", "size", "text_crc32", "shard", _SLOT)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """The documents, all columns, with their shard and slot; text is moved once."""
-    measured = measure(docs)
-    plan = plan_units(measured, shards)
-    cells, offsets = cell_offsets(measured.join(plan, "unit"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), _unit(UNITS).alias("unit"), whole)
-    placed = number_slots(rows.join(plan, "unit"), cells, offsets, ["th"])
+    plan = number_slots(assign(measure(docs), shards)).select(*rows.KEY, "n", "shard", "first_slot")
     others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
-    return placed.select(*others, "shard", "slot")
+    return rows.whole(docs, plan).select(*others, "shard", F.expr(_SLOT))

@@ -117,3 +117,30 @@ def test_large_sources_of_short_texts_meet_their_targets(spark):
     long = spark.range(2_000).selectExpr("1000000 + id AS doc_id", "array_join(array_repeat('w', 400), ' ') AS text", "'en' AS lang", "IF(id % 2 = 0, 'b', 'c') AS source", "0L AS n_chars")
     per = mixing.mix(short.union(long)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert len(per) == 3 and all(abs(r.taken - r.target) <= 1 for r in per)
+
+
+def test_quotas_down_a_tree_keep_every_seat(spark):
+    """Two levels of fan-out 4: all seats are dealt, none over its limit, and each shard is within a seat a level of its share."""
+    words = [(s, k, 100 + (k * 37) % 50) for s, n in (("a", 14), ("b", 3), (None, 1)) for k in range(n)]
+    cells = spark.createDataFrame([(s, k, w, 2 * w, 64) for s, k, w in words], "source string, shard long, words long, most long, block long")
+    sources = spark.createDataFrame([("a", 2000, 14), ("b", 123, 3), (None, 7, 1)], "source string, seats long, shards long")
+    got = collections.defaultdict(dict)
+    for r in mixing.shard_quotas(cells, sources, fan_out=4).collect():
+        got[r.source][r.shard] = (r.quota, r.words)
+    for source, seats in (("a", 2000), ("b", 123), (None, 7)):
+        total = sum(w for _, w in got[source].values())
+        assert sum(q for q, _ in got[source].values()) == seats
+        assert all(q <= 2 * w and abs(q - seats * w / total) <= 3 for q, w in got[source].values())
+
+
+def test_nearly_all_rows_in_one_source_without_numbers(spark):
+    """90 % of the rows in one source, most without a doc_id, some repeated: targets are met, rows kept, reruns agree."""
+    rows = [(None if i % 3 else i, f"word{i % 400} " * (1 + i % 9), "en", "big" if i % 10 else "small", None) for i in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs, rows_per_shard=64)
+    assert got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.countDistinct("shard").alias("shards")).collect():
+        assert abs(r.taken - r.target) <= 1 and r.shards > 5
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(docs.repartition(5), rows_per_shard=64).collect()))
+    mixed = mixing.mixed_documents(docs, rows_per_shard=64).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words")).collect()
+    assert {r.source: r.words for r in mixed} == {r.source: r.taken for r in got.groupBy("source").agg(F.sum("taken").alias("taken")).collect()}

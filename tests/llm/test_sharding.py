@@ -61,3 +61,29 @@ def test_documents_keep_their_columns(clashing, no_docs):
     got = sharding.shard_documents(clashing, 3)
     assert set(clashing.columns) == set(got.columns) and got.count() == clashing.count()
     assert sharding.shard_documents(no_docs, 3).count() == 0
+
+
+def test_heavy_groups_are_scheduled_one_by_one(spark):
+    """More groups than units: the heavy ones are placed as LPT places them, the rest evens out the loads; slots have no gaps."""
+    rng = random.Random(9)
+    rows = [(i if i % 4 else None, f"{i} " + "x" * (rng.choice((20_000, 9_000)) + 50 * i if i < 60 else 3), None, None, None) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sharding.shard(docs, 5).collect()
+    loads = [sum(r.size for r in got if r.shard == s) for s in range(5)]
+    assert len(got) == len(rows) and max(loads) - min(loads) <= 200
+    heavy = sorted((-r.size, r.text_crc32) for r in got if r.size > 5_000)
+    at, counts = {r.text_crc32: r.shard for r in got}, [0] * 5
+    for size, crc in heavy:  # LPT: none goes to a shard that another undercuts
+        assert counts[at[crc]] == min(counts)
+        counts[at[crc]] -= size
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_whole_rows_come_back_once(spark):
+    """Rows alike in doc_id and text but not in other columns, and rows alike in all, each come back once."""
+    rows = [(1, "a", "en", "x", 1), (1, "a", "de", "y", 2), (1, "a", "de", "y", 2), (2, None, "en", None, None), (2, "", "en", None, None), (None, "b", None, None, None), (None, "b", None, None, None)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 2).collect()
+    key = lambda r: tuple((v is None, v or "") if isinstance(v, str | None) else (False, str(v)) for v in r)
+    assert sorted(key(tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars"))) for r in got) == sorted(map(key, rows))
+    assert len({(r.shard, r.slot) for r in got}) == len(rows)
