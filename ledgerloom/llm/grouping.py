@@ -1,10 +1,10 @@
 """Classes of similar things from hash buckets, without listing all pairs of a bucket.
 
 Each bucket's most popular member (the one whose buckets are fullest: the hub of a group of copies) is compared with all other
-members of its bucket. Links become classes by alternating large-star and small-star steps. A bucket is settled when all members not
-yet compared with the rest share a class, since then nothing there can join classes. The members of the other buckets are handed to
-`rivals`, which finds the links left among them by whatever exact filter the measure allows; without one, unsettled buckets go on with four times as many leaders a round, so a bucket of k unlike members takes about log4(k) rounds. Either
-way no link between classes is lost, and pairs are linear in the members for groups that hold together, however large.
+members of its bucket. Links become classes by alternating large-star and small-star steps. A bucket is settled when all its members
+but the hub share a class: the hub has been compared with each, so nothing there can join classes any more. The members of the other buckets are handed to `rivals`, which finds the links
+left among them by whatever exact filter the measure allows. So no link between classes is lost, and pairs are linear in the members
+for groups that hold together, however large.
 
 Tables are written to the shared folder, small ones in few files. Joins on a hot bucket are plain equi-joins between written tables,
 which AQE splits.
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import written
+from ledgerloom.llm.scratch import mark, sweep, written
 
 _ROWS_PER_FILE = 500_000
 
@@ -29,6 +29,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b), the label being the smallest node it is connected with."""
+    start = mark()
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _signature(current)
     while seen[0]:
@@ -40,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = written(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files), "lowest")
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         current = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), "small-star")
+        sweep(current.sparkSession, start)
         now = _signature(current)
         if now == seen:
             break
@@ -56,43 +58,36 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return written(full.select("key", "node").join(popular, "node"), "buckets")
 
 
-def classes(
-    buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], rivals: Callable[[DataFrame], DataFrame] | None = None, votes: int = 1
-) -> tuple[DataFrame, DataFrame]:
-    """(node, label) of the linked nodes, and the links (a, b) found.
+def number_nodes(rows: DataFrame, content: list[str], where: list[str]) -> DataFrame:
+    """(content, id, where, node) of each content once: the smallest id with it, the place of a row that has it, and its number.
 
-    buckets has (key, node, popularity); compare takes pairs (a, b), a < b, and returns those that are similar. rivals takes (node,
-    label) and returns every link (a, b) between nodes of different labels. With rivals, a hub is compared only with members that share
-    at least `votes` of its buckets; a link is then kept if its nodes share that many.
+    The number is that id; of several contents under one id one keeps it, the others get negative numbers made from what they hold.
     """
-    rank = F.struct("popularity", (-F.col("node")).alias("low"))
+    first = rows.groupBy(*content).agg(F.min(F.struct("id", *where)).alias("first"))
+    firsts = written(first.select(*content, *[F.col(f"first.{c}").alias(c) for c in ("id", *where)]), "firsts")
+    taken = firsts.groupBy("id").agg(F.count("*").alias("many"), F.min(F.struct(*content)).alias("own")).filter("many > 1").select("id", "own")
+    spare = F.col("own").isNotNull() & (F.struct(*content) != F.col("own"))
+    node = F.when(spare, F.lit(-1) - F.shiftrightunsigned(F.xxhash64(*content), 1)).otherwise(F.col("id"))
+    return written(firsts.join(taken, "id", "left").select(*content, "id", *where, node.alias("node")), "nodes")
+
+
+def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], rivals: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label) of the linked nodes, the label being the smallest node of the class.
+
+    buckets has (key, node, popularity); compare takes pairs (a, b), a < b, and returns those that are similar; rivals takes (node,
+    label) and returns every link (a, b) between nodes of different labels.
+    """
+    start, rank = mark(), F.struct("popularity", (-F.col("node")).alias("low"))
     leaders = written(buckets.groupBy("key").agg(F.max_by("node", rank).alias("leader")), "leaders")
     led = buckets.join(leaders, "key").filter("node <> leader")
-    links = written(compare(_pairs(led, votes)), "links")
+    pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    links = written(compare(written(pairs, "pairs")), "links")
     labels = written(components(links), "labels")
-    open_members = led.select("key", "node", "popularity")
-    many = 4
-    while True:
-        labelled = open_members.select("key", "node", "popularity").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = written(labelled, "open-members")
-        unsettled = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        unsettled = written(unsettled, "unsettled")
-        if unsettled.isEmpty():
-            return labels, links
-        rest = labelled.join(unsettled, "key")
-        if rivals is not None:
-            links = written(links.union(rivals(written(rest.select("node", "label").distinct(), "open-nodes"))), "links")
-            return written(components(links), "labels"), links
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("popularity"), "node"))
-        lead = written(rest.withColumn("place", place).filter(F.col("place") <= many), "next-leaders")
-        ahead = lead.select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        links = written(links.union(compare(_pairs(rest.join(ahead, "key").filter("label <> leader_label")))), "links")
-        labels = written(components(links), "labels")
-        open_members = rest.join(lead.select("key", "node"), ["key", "node"], "left_anti")
-        many *= 4
-
-
-def _pairs(met: DataFrame, votes: int = 1) -> DataFrame:
-    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = pairs.distinct() if votes == 1 else pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= votes).select("a", "b")
-    return written(pairs, "pairs")
+    labelled = led.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = written(labelled, "open-members")
+    unsettled = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    rest = written(labelled.join(written(unsettled, "unsettled"), "key").select("node", "label").distinct(), "open-nodes")
+    if not rest.isEmpty():
+        labels = written(components(written(links.union(rivals(rest)), "all-links")), "labels")
+        sweep(labels.sparkSession, start)
+    return labels

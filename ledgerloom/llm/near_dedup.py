@@ -12,11 +12,12 @@ share a band are compared through grouping.classes on their whole multisets, and
 What a bucket's hub leaves unsettled (texts that share a band with many others at, say, 0.7) goes through an exact prefix filter: with
 elements in one order, rare ones first, two multisets of sizes x and y can reach the similarity only if they share one of their first
 x - o + 1 and y - o + 1 elements, o being the overlap needed. Rarity comes from a sketch of fixed size; any order keeps the filter exact.
-Where very many texts share a leading element, those outside the largest class are asked in broadcast blocks instead of as pairs.
+Where very many texts share a leading element, those outside the largest class meet the rest in blocks instead of as pairs.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z as a-z. Defined results: a text of fewer words than a shingle is one
 shingle; texts without words, null and empty ones among them, are one class; a null doc_id gets a number made from its text; rows that
-share a doc_id are one document and share a class; an empty table gives no rows; extra columns are ignored.
+share a doc_id are judged each by its own text, and a text that isn't the first under its doc_id has a negative number made from its
+words as its node; very long texts count whole; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import grouping
 from ledgerloom.llm.scratch import written
 from ledgerloom.llm.words import Words, cut_words, mix64, slices
+from ledgerloom.llm.workers import map_batches
 
 _SLICE = 1 << 20
 _CHUNK = 1 << 14  # processes drawn from together
@@ -38,7 +40,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.ui
 
 
 def shingle_bag(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, count), sorted by row: the multiset of each row's shingles, as 44-bit hashes."""
+    """(row, shingle, count), sorted by row: the multiset of each row's shingles, as 64-bit hashes."""
     rows, n = words.rows(), np.diff(words.offsets)
     left = words.offsets[1:][rows] - np.arange(len(rows))  # words of the row from here on
     first = np.flatnonzero((left >= size) | ((n[rows] < size) & (left == n[rows])))
@@ -47,16 +49,19 @@ def shingle_bag(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
         inside = left[first] > j
         at = first[inside] + j
         total[inside] = mix64(total[inside] * _A + words.hashes[at] + np.uint64(j + 1))
-    keys = np.sort((rows[first].astype(np.uint64) << np.uint64(44)) | (total >> np.uint64(20)))
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([start, [len(keys)]]))
-    return (keys[start] >> np.uint64(44)).astype(np.int64), keys[start] & np.uint64((1 << 44) - 1), counts
+    owner = rows[first]
+    order = np.lexsort((total, owner))
+    total, owner = total[order], owner[order]
+    new = (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(np.concatenate([[True], new])) if len(total) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([start, [len(total)]]))
+    return owner[start], total[start], counts
 
 
 def bag_elements(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_rows: int) -> list[np.ndarray]:
-    """Per row, the multiset as a set of 32-bit numbers: one for the k-th copy of each shingle."""
+    """Per row, the multiset as a set of 64-bit numbers: one for the k-th copy of each shingle."""
     copy = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    value = (mix64(np.repeat(shingle, count) * _B + copy.astype(np.uint64) * _C) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    value = mix64(np.repeat(shingle, count) * _B + copy.astype(np.uint64) * _C).view(np.int64)
     sizes = np.bincount(row, weights=count, minlength=n_rows).astype(np.int64)
     return np.split(value, np.cumsum(sizes)[:-1])
 
@@ -160,12 +165,12 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows_per_band: int) -> Da
                 keys = band_keys(signatures(*bag, n, bands * rows_per_band), bands)
                 c1, c2 = _sequence_hashes(words)
                 full = np.diff(words.offsets) > 0
-                columns = [batch.column(0)[low:high], batch.column(1)[low:high], pa.array(c1), pa.array(c2)]
+                columns = [*(batch.column(c)[low:high] for c in (0, 1, 3)), pa.array(c1), pa.array(c2)]
                 columns.append(pa.array([k if f else [] for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "c1", "c2", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "th", "c1", "c2", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_id().alias("id"), "text")
-    return rows.mapInArrow(run, "doc_id long, id long, c1 long, c2 long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_id().alias("id"), "text", F.xxhash64("text").alias("th"))
+    return map_batches(rows, run, "doc_id long, id long, th long, c1 long, c2 long, keys array<long>")
 
 
 def _elements(texts: DataFrame, shingle: int) -> DataFrame:
@@ -175,9 +180,9 @@ def _elements(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for low, high in slices(batch.column(1), _SLICE):
                 sets = bag_elements(*shingle_bag(cut_words(batch.column(1)[low:high]), shingle), high - low)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sets, pa.list_(pa.int32()))], ["node", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
 
-    return texts.mapInArrow(run, "node long, elements array<int>")
+    return map_batches(texts, run, "node long, elements array<long>")
 
 
 _SKETCH = 1 << 20
@@ -203,7 +208,7 @@ def prefix_keys(elements: np.ndarray, sketch: np.ndarray, similarity: float) ->
         lead = order[: max(0, n - overlap + 1)]
         lead = lead[shared[: len(lead)]]
         pair = mix64(np.array([min(own_class, partner) * 4096 + max(own_class, partner)], np.uint64))
-        keys.append(mix64(own[lead].astype(np.uint32).astype(np.uint64) * _A + pair))
+        keys.append(mix64(own[lead].view(np.uint64) * _A + pair))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -226,7 +231,7 @@ def _open_links(open_nodes: DataFrame, sets: DataFrame, similarity: float, compa
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(place), batch.column(1).take(place)], ["key", "node", "label"])
 
-    leads = written(held.mapInArrow(run, "key long, node long, label long"), "prefix-keys")
+    leads = written(map_batches(held, run, "key long, node long, label long"), "prefix-keys")
     by_label = leads.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = F.max_by("label", F.struct("n", "label")).alias("main")
     mixed = by_label.groupBy("key").agg(main, F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1")
@@ -235,10 +240,8 @@ def _open_links(open_nodes: DataFrame, sets: DataFrame, similarity: float, compa
     fewer = cold.filter("label <> main").select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"))
     pairs = cold.join(fewer, "key").filter("label <> leader_label").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     links = compare(written(pairs.distinct(), "rivals"))
-    warm = met.filter(F.col("n") > hot)
-    asking = written(held.join(warm.filter("label <> main").select("node").distinct(), "node"), "asking")
-    asked = written(held.join(warm.select("node").distinct(), "node"), "asked")
-    return links.union(_block_links(asking, asked, similarity))
+    warm = met.filter(F.col("n") > hot).select("key", "node", "label", "main")
+    return links.union(_block_links(warm, held, similarity))
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -246,41 +249,48 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _block_links(asking: DataFrame, asked: DataFrame, similarity: float, block_elements: int = 4_000_000) -> DataFrame:
-    """The links (a, b) of asking with asked: blocks of asking, of about block_elements, are broadcast one after the other.
-
-    Each task inverts the block and counts a text's overlaps with all of it at once, so only links become rows.
+def _overlapping(asking: pa.Table, asked: pa.Table, similarity: float) -> pa.Table:
+    """The similar pairs (a, b) of different labels of two blocks (node, label, elements): one is inverted, the other's overlaps counted."""
+    asking, asked = asking.combine_chunks(), asked.combine_chunks()
+    a, b = [], []
+    if asking.num_rows and asked.num_rows:
+        nodes, labels = (asking.column(c).to_numpy() for c in ("node", "label"))
+        own = [np.unique(e) for e in _lists(asking.column("elements").chunk(0))]
+        sizes = np.array([len(e) for e in own])
+        values, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        others = zip(asked.column("node").to_pylist(), asked.column("label").to_pylist(), _lists(asked.column("elements").chunk(0)), strict=True)
+        for node, label, elements in others:
+            e = np.unique(elements)
+            low, high = np.searchsorted(values, e, "left"), np.searchsorted(values, e, "right")
+            many = high - low
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many)
+            common = np.bincount(owner[at], minlength=len(own))
+            near = np.flatnonzero((common >= similarity * (sizes + len(e) - common)) & (labels != label))
+            a += np.minimum(nodes[near], node).tolist()
+            b += np.maximum(nodes[near], node).tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _block_links(warm: DataFrame, held: DataFrame, similarity: float, block_elements: int = 500_000) -> DataFrame:
+    """The links (a, b) of the nodes outside their key's main label (asking) with all that share a very common key with them (asked).
+
+    warm has (key, node, label, main), held (node, label, elements). Asking and asked texts are hashed into blocks of about block_elements;
+    an asked text goes only to the blocks that ask for one of its keys, and two blocks meet in one group of a shuffle. So a group holds
+    two blocks whatever the number of texts, and only links become rows.
     """
-    spark = asked.sparkSession
-    total = asking.agg(F.sum(F.size("elements"))).first()[0] or 0
-    blocks = -(-total // block_elements)
-    links = spark.createDataFrame([], "a long, b long")
-    for block in range(blocks):
-        rows = asking.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        texts = [np.unique(e) for e in rows.column("elements").to_pylist()]
-        shared = spark.sparkContext.broadcast((rows.column("node").to_numpy(), rows.column("label").to_numpy(), texts))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            nodes, labels, own = shared.value
-            sizes = np.array([len(e) for e in own])
-            values, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for batch in batches:
-                found = []
-                for node, label, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), strict=True):
-                    e = np.unique(elements)
-                    low, high = np.searchsorted(values, e, "left"), np.searchsorted(values, e, "right")
-                    many = high - low
-                    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many)
-                    common = np.bincount(owner[at], minlength=len(own))
-                    near = np.flatnonzero((common >= similarity * (sizes + len(e) - common)) & (labels != label))
-                    found += [(min(node, int(nodes[k])), max(node, int(nodes[k]))) for k in near]
-                a, b = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        links = links.union(written(asked.select("node", "label", "elements").mapInArrow(run, "a long, b long"), "block-links"))
-    return links.distinct()
+    asking_keys = written(warm.filter("label <> main").select("key", "node").distinct(), "asking-keys")
+    asked_keys = written(warm.select("key", "node").distinct(), "asked-keys")
+    asking = written(held.join(asking_keys.select("node").distinct(), "node").select("node", "label", "elements"), "asking")
+    asked = written(held.join(asked_keys.select("node").distinct(), "node").select("node", "label", "elements"), "asked")
+    n_asking, n_asked = (1 + (t.agg(F.sum(F.size("elements"))).first()[0] or 0) // block_elements for t in (asking, asked))
+    block, part = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(n_asking)).alias("block"), F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(n_asked)).alias("part")
+    wanted = asked_keys.join(asking_keys.select("key", block).distinct(), "key").select("node", "block").distinct()
+    left = asking.select(block, F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)).cast("array<long>")).alias("part"), "node", "label", "elements")
+    right = asked.join(wanted, "node").select("block", part, "node", "label", "elements")
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
+    return met.applyInArrow(lambda x, y: _overlapping(x, y, similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 20, rows_per_band: int = 6) -> DataFrame:
@@ -288,15 +298,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     With 20 bands of 6, a pair at 0.8 shares a band with probability 0.998, and classes need only one path of such pairs.
     """
+    return _placed_classes(docs, similarity, shingle, bands, rows_per_band).select("doc_id", "id", "class_id")
+
+
+def _placed_classes(docs: DataFrame, similarity: float, shingle: int, bands: int, rows_per_band: int) -> DataFrame:
+    """(doc_id, id, th, node, class_id) of every row: its number, text hash, the number of its word sequence, and that of its class."""
     signed = written(_signed(docs, shingle, bands, rows_per_band), "signatures")
-    nodes = written(signed.groupBy("c1", "c2").agg(F.min("id").alias("node")), "nodes")
-    placed = written(signed.select("doc_id", "id", "c1", "c2").join(nodes, ["c1", "c2"]).select("doc_id", "id", "node"), "placed")
-    chosen = placed.filter("id = node").select("node").distinct()
-    members = signed.select("id", F.explode("keys").alias("key")).join(chosen, F.col("id") == F.col("node"), "left_semi")
-    buckets = grouping.shared_buckets(members.select("key", F.col("id").alias("node")))
-    candidates = written(buckets.select("node").distinct(), "candidates")
-    texts = docs.select(node_id().alias("node"), "text").join(candidates, "node", "left_semi")
-    sets = written(_elements(texts, shingle), "elements")
+    nodes = grouping.number_nodes(signed, ["c1", "c2"], ["th"])
+    placed = written(signed.select("doc_id", "id", "th", "c1", "c2").join(nodes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "id", "th", "node"), "placed")
+    chosen = nodes.select("node", "id", "th")
+    own = signed.select("id", "th", "keys").join(chosen, ["id", "th"]).dropDuplicates(["id", "th"])
+    members = own.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
+    buckets = grouping.shared_buckets(members)
+    candidates = written(buckets.select("node").distinct().join(chosen, "node"), "candidates")
+    texts = docs.select(node_id().alias("id"), F.xxhash64("text").alias("th"), "text").join(candidates, ["id", "th"])
+    sets = written(_elements(texts.dropDuplicates(["id", "th"]).select("node", "text"), shingle), "elements")
 
     def compare(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(n), F.col("elements").alias(f"{n}_set")) for n in ("a", "b"))
@@ -305,15 +321,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         union = F.size("a_set") + F.size("b_set") - common
         return met.filter(common >= union * F.lit(similarity)).select("a", "b").distinct()
 
-    labels, _ = grouping.classes(buckets, compare, lambda nodes: _open_links(nodes, sets, similarity, compare))
-    # A document whose rows differ joins the classes of all its texts.
+    labels = grouping.classes(buckets, compare, lambda nodes: _open_links(nodes, sets, similarity, compare))
     joined = placed.join(labels.withColumnRenamed("label", "class"), "node", "left")
-    return joined.select("doc_id", "id", F.coalesce("class", "node").alias("class_id"))
+    return joined.select("doc_id", "id", "th", "node", F.coalesce("class", "node").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, with one row of each class: a row of its smallest id."""
-    found = near_duplicates(docs, **options)
-    kept = found.filter("id = class_id").select(F.col("class_id").alias("__id")).distinct()
-    numbered = docs.withColumn("__id", node_id()).join(kept, "__id", "left_semi")
-    return numbered.dropDuplicates(["__id"]).drop("__id")
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 20, rows_per_band: int = 6) -> DataFrame:
+    """The documents, all columns, with one row of each class: of its first node's rows that with the smallest number, then text hash.
+
+    Rows equal in both are told apart by a hash of all columns; rows alike in everything are one.
+    """
+    found = _placed_classes(docs, similarity, shingle, bands, rows_per_band).filter("node = class_id")
+    counted = found.groupBy("node", "id", "th").agg(F.count("*").alias("n"))
+    first = counted.groupBy("node").agg(F.min(F.struct("id", "th", "n")).alias("k"))
+    kept = written(first.select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")), "kept")
+    rows = docs.withColumn("__id", node_id()).withColumn("__th", F.xxhash64("text")).join(kept, ["__id", "__th"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = rows.filter("__n = 1").select(*columns)
+    if kept.filter("__n > 1").isEmpty():
+        return single
+    repeated = rows.filter("__n > 1").groupBy("__id", "__th").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return single.union(repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

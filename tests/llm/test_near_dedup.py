@@ -95,3 +95,30 @@ def test_keep_one(odd_docs, clashing, no_docs):
     assert kept.columns == clashing.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 5, 6, 7, 9)] + [(True, None)]
     assert near_dedup.keep_one(no_docs).count() == 0
+
+
+def test_rows_that_share_a_number_keep_their_own_texts(spark):
+    rows = [(1, "one two three four five six", "en", "a", 1), (1, "quite another text under the same number", "de", "a", 2), (1, "One two three, four five six!", "en", "b", 3), (2, "one two three four five six", "en", "a", 4), (2, "one two three four five six", "en", "a", 4), (None, "no number", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_one(docs).collect())
+    assert len(kept) == 3 and kept[0] == (0, "no number") and (1, rows[1][1]) in kept
+    assert kept == sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_one(docs.repartition(5)).collect())
+    classes = {(r.id, r.class_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert len({c for _, c in classes}) == 3
+
+
+def test_blocks_give_every_link_of_a_hot_key(spark):
+    """Blocks far smaller than the key's texts: the links are those of all pairs of asking and asked texts."""
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 2**62, 30)
+    sets = [np.unique(np.concatenate([core[rng.random(30) < 0.95], rng.integers(0, 2**62, rng.integers(0, 4))])) for _ in range(60)]
+    label = [0 if i < 40 else i for i in range(60)]
+    held = spark.createDataFrame([(i, label[i], [int(e) for e in s]) for i, s in enumerate(sets)], "node long, label long, elements array<long>")
+    warm = spark.createDataFrame([(7, i, label[i], 0) for i in range(60)], "key long, node long, label long, main long")
+    similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    expected = {(min(i, j), max(i, j)) for i in range(40, 60) for j in range(60) if label[i] != label[j] and similar(sets[i], sets[j])}
+    for size in (50, 500_000):
+        got = [(r.a, r.b) for r in near_dedup._block_links(warm, held, 0.8, block_elements=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    assert len(expected) > 20
+    assert near_dedup._block_links(warm.limit(0), held, 0.8).count() == 0
