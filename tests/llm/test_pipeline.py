@@ -57,8 +57,26 @@ def test_run_gives_the_last_stage(spark):
 
 def test_stages_take_empty_and_odd_rows(spark, odd_docs, clashing, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 0), (7, 1)], "doc_id long, quality int")
-    model = quality.train(odd_docs, labels)
+    model = quality.train(quality.document_statistics(odd_docs), labels)
     assert quality.keep_good(no_docs, model).count() == 0
     for rows in (no_docs, odd_docs, clashing):
         for name, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, SF).count() >= 0, name
+            got = stage(spark, rows, SF)
+            found = [r.doc_id for r in got.collect()]
+            assert set(got.columns) >= set(docs_columns(rows)), name
+            assert set(found) <= {r.doc_id for r in rows.collect()} and (found or rows is no_docs or name == "quality"), name
+            if name == "sharding":
+                assert sorted(map(str, found)) == sorted(str(r.doc_id) for r in rows.collect())
+
+
+def docs_columns(rows):
+    return [c for c in rows.columns if c not in ("shard", "slot")]
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from ledgerloom.llm import scratch
+
+    start = scratch.mark()
+    corpus_pipeline.run(spark, SF).count()
+    left = [f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in scratch._MADE[start:]]
+    assert left[0] == "stage-mixing" and not {"signatures", "elements", "stage-quality"} & set(left)

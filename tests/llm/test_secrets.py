@@ -44,7 +44,7 @@ def test_odd_texts(spark, odd_docs, clashing, no_docs):
     texts = sorted((t.doc_id is None, t.doc_id, base_spans(t.text)) for t in docs.collect())
     found = secrets.find_secrets(docs, trained).select("doc_id", secrets.joined(secrets.F.col("base")).alias("base")).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.base) for r in found) == texts
-    assert secrets.find_secrets(clashing, trained).count() == clashing.count()
+    assert sorted(map(str, secrets.find_secrets(clashing, trained).collect())) == sorted(map(str, secrets.find_secrets(odd_docs, trained).collect()))
     assert secrets.find_secrets(no_docs, trained).count() == 0
 
 

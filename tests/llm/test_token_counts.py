@@ -1,4 +1,7 @@
+import json
+
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import registry, token_counts
@@ -33,3 +36,15 @@ def test_special_strings_and_a_small_cache(spark):
     texts = ["<|endoftext|>", "a<|endoftext|>b  c", "x <|endoftext|> <|endoftext|>", "it's  \n\n 12,5 ½ ²³ Ⅷ don't", "   a　b\x00\x01", "émigré naïve 漢字かな 👩‍👩‍👧 q́", "z" * 70 + " zz", " \t ", "'S 're 'LL"]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     check(token_counts.count_tokens(docs, PATH, cache_entries=3).collect(), docs.collect())
+
+
+def test_a_very_long_text_and_another_kind_of_file(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab c1, Straße\n\n  x" * 120_000, None, None, None)], SCHEMA)
+    assert len(docs.first().text) > 2 * token_counts._LONG
+    check(token_counts.count_tokens(docs, PATH).collect(), docs.collect())
+    with open(PATH, encoding="utf-8") as f:
+        told = json.load(f)
+    told["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(told), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(docs, str(tmp_path / "other.json"))
