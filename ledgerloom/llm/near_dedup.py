@@ -311,8 +311,12 @@ def _placed_classes(docs: DataFrame, similarity: float, shingle: int, bands: int
     members = own.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
     buckets = grouping.shared_buckets(members)
     candidates = written(buckets.select("node").distinct().join(chosen, "node"), "candidates")
-    texts = docs.select(node_id().alias("id"), F.xxhash64("text").alias("th"), "text").join(candidates, ["id", "th"])
-    sets = written(_elements(texts.dropDuplicates(["id", "th"]).select("node", "text"), shingle), "elements")
+    repeated = written(signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated-ids")
+    # An id of one row tells its text by itself, so narrow ids prune the texts; what is repeated is looked up by its text's hash too.
+    place = docs.select(node_id().alias("id"), F.xxhash64("text").alias("th"), "text")
+    single = place.join(candidates.select("id").join(repeated, "id", "left_anti"), "id", "left_semi").select(F.col("id").alias("node"), "text")
+    several = place.join(candidates.join(repeated, "id", "left_semi"), ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text")
+    sets = written(_elements(single.unionByName(several), shingle), "elements")
 
     def compare(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(n), F.col("elements").alias(f"{n}_set")) for n in ("a", "b"))
