@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
+from ledgerloom.llm import bpe, decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +134,15 @@ FROM m GROUP BY doc_id
 """
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(_docs(spark, sf_dir), path), path)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -146,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
+        "op12_bpe": op12_bpe,
     }
 
 
