@@ -44,7 +44,7 @@ WORD_END = "</w>"
 #: The pattern among ASCII characters in lower case.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 #: The characters with Unicode's White_Space property.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 #: Characters that Python's split takes for white space and the files don't.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"

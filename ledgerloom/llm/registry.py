@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
+from ledgerloom.llm import alignment, bpe, decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +143,14 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(_docs(spark, sf_dir), *paths, as_digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256").fillna({"groups_sha256": ""})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -156,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
         "op12_bpe": op12_bpe,
+        "op13_alignment": op13_alignment,
     }
 
 

@@ -91,7 +91,7 @@ def worker_table(model_path: str, shared, cache_entries: int) -> LengthTable:
     return _TABLES[key]
 
 
-def _check_file(model_path: str) -> None:
+def check_file(model_path: str) -> None:
     """Raises where the file cuts texts in another way than by PATTERN, or rewrites them before."""
     with open(model_path, encoding="utf-8") as f:
         told = json.load(f)
@@ -118,7 +118,7 @@ def frequent_lengths(model_path: str) -> tuple[str, bytes]:
 
 def count_tokens(docs: DataFrame, model_path: str, cache_entries: int = 500_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every document under a byte-level BPE file of the tokenizers library."""
-    _check_file(model_path)
+    check_file(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
