@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import alignment, bpe, decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
+from ledgerloom.llm import alignment, bpe, clustering, decontamination, line_dedup, media, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +134,46 @@ FROM m GROUP BY doc_id
 """
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centroids' table has 40 rows at most, so it is broadcast to the vectors."""
+    found = clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    total = found.centroids.agg(clustering.long_sum("inertia").alias("inertia"))
+    told = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    centroids = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), told.alias("centroid_sha256"))
+    return found.assigned.join(F.broadcast(centroids.crossJoin(F.broadcast(total))), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round."""
+    nearest = """
+    SELECT rid, any_value(vec_id) AS vec_id, arg_min(c, [d, c]) AS c, min(d) AS d FROM (
+      SELECT v.rid, v.vec_id, c.c, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.v, c.v)]) AS BIGINT) AS d FROM kept v, {centroids} c
+    ) GROUP BY rid"""
+    steps = [
+        """kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    )""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for n in range(rounds):
+        steps += [
+            f"a{n} AS MATERIALIZED ({nearest.format(centroids=f'c{n}')})",
+            f"""s{n} AS MATERIALIZED (
+      SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM (
+        SELECT a.c, u.i, CAST(sum(u.x) AS BIGINT) AS s, count(*) AS n
+        FROM a{n} a JOIN (SELECT rid, unnest(v) AS x, unnest(generate_series(1, 64)) AS i FROM kept) u ON u.rid = a.rid GROUP BY a.c, u.i) GROUP BY c
+    )""",
+            f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(s.v, o.v) AS v FROM c{n} o LEFT JOIN s{n} s ON s.c = o.c)",
+        ]
+    return f"""WITH {", ".join([*steps, f"f AS MATERIALIZED ({nearest.format(centroids=f'c{rounds}')})"])}
+    SELECT f.vec_id, CAST(f.c AS INTEGER) AS cluster, f.d AS distance, CAST(sum(f.d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(f.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM f JOIN c{rounds} c ON c.c = f.c"""
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -163,10 +203,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
+        "op11_clustering": op11_clustering,
         "op12_bpe": op12_bpe,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_clustering": _op11_sql()}
