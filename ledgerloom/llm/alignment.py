@@ -5,8 +5,8 @@ which tokens of both end cut the tokens into groups; the A and the B token that
 
 No token of either reaches from other characters into white space, so a text is cut before white space and each stretch is aligned by
 itself. A task gathers texts into slices of bounded size. DuckDB aligns a slice's distinct stretches: their tokens are two interval tables on
-one line of bytes; tables meet where tokens end together, running sums over those ends number the groups, ASOF joins find the stretch a
-group lies in, and joins with the texts' stretches give each text's links. Out of a slice come its texts' rows, with links as numbers of the
+one line of bytes; they meet where tokens end together, ASOF joins find each token's group and each group's stretch, windows over the ends
+tell where a token stands among its group's, and joins with the texts' stretches give each text's links. Out of a slice come its texts' rows, with links as numbers of the
 slice's own pairs, and the slice's pair counts. Spark adds up the counts, finds each B id's highest, and sends every slice the counts of its
 pairs, which its texts' links are then summed over. So no row is shuffled by a pair that every text holds; a pair comes once a slice.
 
@@ -19,7 +19,9 @@ table gives no rows; extra columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import WHITE_SPACE, byte_characters
+from ledgerloom.llm.bpe import WHITE_SPACE, PrefixEncoder, Settled, byte_characters
 from ledgerloom.llm.scratch import written
-from ledgerloom.llm.token_counts import check_file
+from ledgerloom.llm.token_counts import PATTERN, check_file
 from ledgerloom.llm.workers import map_batches
 
-_SLICE_CHARS, _SLICE_TEXTS, _LONG, _CACHED, _LONGEST_CACHED = 12 << 20, 200_000, 1 << 20, 400_000, 64
+_SLICE_CHARS, _SLICE_TEXTS, _LONG, _CACHED, _LONGEST_CACHED = 12 << 20, 200_000, 1 << 20, 500_000, 64
 _SPACE = "▁"
+#: A stretch without tokens: no ids of A, and none of B.
+_WITHOUT = array("i", [0]).tobytes()
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _ROW = pa.schema(
@@ -61,28 +65,34 @@ _ROW_DDL = (
 
 
 class Pair:
-    """Both tokenizers, the bytes of their tokens, and this worker's cache of stretches."""
+    """Both tokenizers, the sizes of their tokens in bytes, and this worker's cache of stretches."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
+        ranks = byte_ranks(path_a)
+        self.quick_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.is_settled = Settled()
+        self.a_sizes = [0] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_sizes[i] = len(token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        to_byte = {c: b for b, c in enumerate(byte_characters())}
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(map(to_byte.__getitem__, token))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_lengths = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_lengths = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.b_sizes = [1 if self.b.is_byte(i) else len(p.replace(_SPACE, " ").encode()) for i, p in enumerate(pieces)]
         self.b_space = self.b.piece_to_id(_SPACE)
         self.cut = stretch_pattern(pieces).findall
         self.cut_lazily = stretch_pattern(pieces).finditer
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        separators = (",", ";", "|")
+        self.told = pa.array([f"{mark}{i}" for mark in separators for i in range(self.told_size)], pa.large_string())
+        self.cache: dict[str, bytes] = {}
+
+    @property
+    def told_size(self) -> int:
+        return max(len(self.a_sizes), len(self.b_sizes))
 
     def stretches(self, text: str) -> Iterator[list[str]]:
         """The stretches of a space and a text; those of a very long one in lists of bounded length."""
@@ -94,34 +104,71 @@ class Pair:
         while part := list(islice(found, _LONG // 8)):
             yield part
 
-    def encode(self, stretches: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """The ids of A and of B of each stretch as 32-bit integers, or None where the bytes differ."""
-        lone = [s for s in stretches if s == " "]
-        spaced = [s for s in stretches if s[0] == " " and s != " "]
-        others = [s for s in stretches if s[0] != " "]
-        b_ids = dict.fromkeys(lone, [self.b_space])
-        b_ids.update(zip(spaced, self.b.encode([s[1:] for s in spaced], num_threads=1), strict=True))
-        # B adds its space here too, which no piece joins with the white space that follows.
-        b_ids.update((s, ids[1:]) for s, ids in zip(others, self.b.encode(others, num_threads=1), strict=True))
-        out: dict[str, tuple[bytes, bytes] | None] = {}
-        for s, e in zip(stretches, self.a.encode_batch_fast(stretches, add_special_tokens=False), strict=True):
-            a, b, told = e.ids, b_ids[s], s.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == told == b"".join([self.b_bytes[i] for i in b])
-            out[s] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None
+    def encode_a(self, stretch: str) -> list[int]:
+        """By the same merges either way; on the classes of young characters the quick library and the file's own may differ."""
+        if stretch.isascii() or self.is_settled(stretch):
+            return self.quick_a(stretch)
+        return self.a.encode(stretch, add_special_tokens=False).ids
+
+    def encode_b(self, stretches: list[str]) -> list[list[int]]:
+        """B adds a space to what it gets: to one that begins with a space in that space's place; to another one it is a token of its own,
+        as no piece joins it with the white space that follows."""
+        found = self.b.encode([s.removeprefix(" ") for s in stretches], num_threads=1)
+        return [(ids or [self.b_space]) if s[0] == " " else ids[1:] for s, ids in zip(stretches, found, strict=True)]
+
+    def encode(self, stretches: list[str]) -> list[bytes]:
+        """Of each stretch, as 32-bit integers: the number of A ids, the A ids, the B ids; without tokens where bytes differ."""
+        out, a_size, b_size = [], self.a_sizes.__getitem__, self.b_sizes.__getitem__
+        for s, a, b in zip(stretches, map(self.encode_a, stretches), self.encode_b(stretches), strict=True):
+            n = len(s) if s.isascii() else len(s.encode())
+            # Neither rewrites a text, but for the character that B writes for a space: bytes differ where their numbers do.
+            same = sum(map(a_size, a)) == n == sum(map(b_size, b))
+            out.append(array("i", [len(a), *a, *b]).tobytes() if same else _WITHOUT)
         return out
 
-    def ids(self, stretches: list[str]) -> list[tuple[bytes, bytes] | None]:
+    def ids(self, stretches: list[str]) -> list[bytes]:
         found = list(map(self.cache.get, stretches))
-        missing = {s for s, ids in zip(stretches, found, strict=True) if ids is None}
-        if missing:
-            fresh = self.encode(list(missing))
+        if None in found:
+            missing = [s for s, ids in zip(stretches, found, strict=True) if ids is None]
+            fresh = dict(zip(missing, self.encode(missing), strict=True))
             if len(self.cache) + len(fresh) > _CACHED:
                 self.cache.clear()
-            self.cache.update((s, ids) for s, ids in fresh.items() if ids is not None and len(s) <= _LONGEST_CACHED)
+            self.cache.update((s, ids) for s, ids in fresh.items() if len(s) <= _LONGEST_CACHED)
             found = [fresh[s] if ids is None else ids for s, ids in zip(stretches, found, strict=True)]
         return found
 
 
+@lru_cache(1)
+def byte_ranks(path_a: str) -> dict[bytes, int]:
+    """A's tokens as bytes with their ids, if merging any neighbours that make a token, lowest id first, is what the file's merges do.
+
+    It is where ids follow the order of merges and every token comes out of its own text: neighbours that make a token, with no merge
+    across its ends, have gone through the merges of its own text, which end in that token by the file's own pair.
+    """
+    check_file(path_a)
+    with open(path_a, encoding="utf-8") as f:
+        told = json.load(f)["model"]
+    vocabulary, merges = told["vocab"], [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in told["merges"]]
+    made = [vocabulary[a + b] for a, b in merges]
+    if made != sorted(made) or len(PrefixEncoder(vocabulary, merges, "").lone) != len(vocabulary):
+        raise ValueError(f"{path_a} has ids that don't follow its merges")
+    to_byte = {c: b for b, c in enumerate(byte_characters())}
+    return {bytes(map(to_byte.__getitem__, token)): i for token, i in vocabulary.items()}
+
+
+def check_model(path_b: str) -> None:
+    """Raises where the sentencepiece model isn't a BPE that adds a space and otherwise leaves texts as they are."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    told = sentencepiece_model_pb2.ModelProto()
+    with open(path_b, "rb") as f:
+        told.ParseFromString(f.read())
+    rule = told.normalizer_spec
+    plain = rule.name == "identity" and rule.add_dummy_prefix and not rule.remove_extra_whitespaces and rule.escape_whitespaces
+    if not plain or told.trainer_spec.model_type != told.trainer_spec.BPE or not told.trainer_spec.byte_fallback:
+        raise ValueError(f"{path_b} isn't a BPE model that adds a space and leaves texts as they are")
+
+
 def stretch_pattern(pieces: list[str]) -> re.Pattern:
     """Stretches begin at white space that follows another character, if no piece of B goes on into that kind of white space."""
     inside = {c for p in pieces for c in p[1:]}
@@ -144,23 +191,20 @@ def _duckdb():
 
 _ENDS = """
 CREATE OR REPLACE TEMP TABLE ends AS
-SELECT e, a, b, sum(1) OVER (ORDER BY e) AS g FROM (SELECT ta.e, ta.id AS a, tb.id AS b FROM ta JOIN tb ON ta.e = tb.e)
+SELECT *, lag(i_a, 1, 0) OVER (ORDER BY e) AS before_a, lag(i_b, 1, 0) OVER (ORDER BY e) AS before_b
+FROM (SELECT ta.e, ta.id AS a, tb.id AS b, ta.i AS i_a, tb.i AS i_b FROM ta JOIN tb ON ta.e = tb.e)
 """
 _PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS p FROM (SELECT DISTINCT a, b FROM ends)"
 _LINKS = "CREATE OR REPLACE TEMP TABLE links AS SELECT s.seg, p.p FROM ends x ASOF JOIN segs s ON x.e <= s.hi JOIN pairs p ON p.a = x.a AND p.b = x.b"
-_GROUPS = """
-WITH ga AS (
-  SELECT g, string_agg(id, ',' ORDER BY e) AS ids FROM (
-    SELECT t.id, t.e, 1 + count(x.e) OVER (ORDER BY t.e) - CASE WHEN x.e IS NULL THEN 0 ELSE 1 END AS g
-    FROM ta t LEFT JOIN ends x ON t.e = x.e) GROUP BY g
-), gb AS (
-  SELECT g, string_agg(id, ',' ORDER BY e) AS ids FROM (
-    SELECT t.id, t.e, 1 + count(x.e) OVER (ORDER BY t.e) - CASE WHEN x.e IS NULL THEN 0 ELSE 1 END AS g
-    FROM tb t LEFT JOIN ends x ON t.e = x.e) GROUP BY g
-), told AS (
-  SELECT x.e, x.g, ga.ids || '|' || gb.ids AS told FROM ends x JOIN ga ON ga.g = x.g JOIN gb ON gb.g = x.g
-)
-SELECT s.seg, string_agg(t.told, ';' ORDER BY t.g) AS told, count(*) AS n_groups FROM told t ASOF JOIN segs s ON t.e <= s.hi GROUP BY s.seg ORDER BY s.seg
+#: Where each token stands when a group's A tokens come before its B tokens, and whether it is the first of its group's A (1) or B (2).
+_PLACES = """
+SELECT t.i + x.before_b AS place, t.id, CASE WHEN t.i = x.before_a + 1 THEN 1 ELSE 0 END AS mark FROM ta t ASOF JOIN ends x ON t.e <= x.e
+UNION ALL
+SELECT t.i + x.i_a AS place, t.id, CASE WHEN t.i = x.before_b + 1 THEN 2 ELSE 0 END AS mark FROM tb t ASOF JOIN ends x ON t.e <= x.e
+"""
+_PAIR_SUMS = """
+SELECT p.p, any_value(p.a) AS a, any_value(p.b) AS b, CAST(sum(t.n) AS BIGINT) AS held
+FROM text_links t JOIN pairs p ON p.p = t.p GROUP BY p.p ORDER BY p.p
 """
 _TEXT_LINKS = """
 CREATE OR REPLACE TEMP TABLE text_links AS
@@ -174,55 +218,80 @@ class Slice:
     def __init__(self, pair: Pair, number: int):
         self.pair, self.number, self.chars = pair, number, 0
         self.codes: defaultdict[str, int] = defaultdict(count().__next__)
-        self.ids: list[tuple[bytes, bytes]] = []
+        self.ids: list[bytes] = []
+        self.without: set[int] = set()
         self.texts: list[tuple[int, int | None, np.ndarray, bool]] = []
 
-    def add(self, row: int, doc_id: int | None, stretches: list[str], ids: list[tuple[bytes, bytes]], last: bool) -> None:
-        codes, known = list(map(self.codes.__getitem__, stretches)), len(self.ids)
-        for code, of in zip(codes, ids, strict=True):
-            if code == known:
-                self.ids.append(of)
-                known += 1
-        self.texts.append((row, doc_id, np.array(codes, np.int32), last))
+    def add(self, row: int, doc_id: int | None, stretches: list[str], last: bool) -> bool:
+        """Takes a text's stretches in; of one with a stretch without tokens, an empty text, and gives False."""
+        known = len(self.codes)
+        codes = np.fromiter(map(self.codes.__getitem__, stretches), np.int32, len(stretches))
+        fresh = len(self.codes) - known
+        if fresh:
+            ids = self.pair.ids(list(islice(reversed(self.codes), fresh))[::-1])
+            self.without |= {known + k for k, of in enumerate(ids) if of == _WITHOUT}
+            self.ids += ids
+        sound = not self.without or self.without.isdisjoint(codes.tolist())
+        self.texts.append((row, doc_id, codes if sound else codes[:0], last))
         self.chars += sum(map(len, stretches))
-
-    def _tokens(self, side: int, lengths: np.ndarray) -> tuple[pa.Table, np.ndarray]:
-        """A side's tokens with their ends on the line of all stretches, and each stretch's number of tokens."""
-        flat = np.frombuffer(b"".join([x[side] for x in self.ids]), np.int32)
-        return pa.table({"id": flat, "e": np.cumsum(lengths[flat])}), np.array([len(x[side]) // 4 for x in self.ids], np.int64)
-
-    def align(self) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], pa.Table]:
-        """Each stretch's groups as text, the counts (A, B, groups) of stretches, each text's links (pairs, times), and the pairs' sums."""
+        return sound
+
+    def _tokens(self) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+        """Both sides' tokens, numbered, with their ends on the line of all stretches; each stretch's numbers of tokens."""
+        flat, of = np.frombuffer(b"".join(self.ids), np.int32), np.fromiter(map(len, self.ids), np.int64, len(self.ids)) // 4
+        n_a = flat[np.cumsum(of) - of].astype(np.int64) if len(of) else of
+        n_b = of - 1 - n_a
+        side = np.repeat(np.tile(np.array([2, 0, 1], np.int8), len(of)), np.stack([np.ones_like(n_a), n_a, n_b], axis=1).ravel())
+        tables = []
+        for k, sizes in enumerate((self.pair.a_sizes, self.pair.b_sizes)):
+            ids = flat[side == k]
+            tables.append(pa.table({"i": np.arange(1, len(ids) + 1), "id": ids, "e": np.cumsum(np.array(sizes, np.int64)[ids])}))
+        return *tables, n_a, n_b
+
+    def align(self) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]], pa.Table]:
+        """Each stretch's groups as text, each with a `;` before it; the stretches' numbers of A and B tokens and of groups; each text's links
+        (pairs, times); and the sums of the pairs."""
         con = _duckdb()
-        ta, n_a = self._tokens(0, self.pair.a_lengths)
-        tb, n_b = self._tokens(1, self.pair.b_lengths)
+        ta, tb, n_a, n_b = self._tokens()
         ends = np.concatenate([[0], ta["e"].to_numpy()])[np.cumsum(n_a)]
-        segs = pa.table({"seg": np.arange(len(self.ids), dtype=np.int32), "hi": ends})
+        with_tokens = np.flatnonzero(n_a)
+        segs = pa.table({"seg": with_tokens.astype(np.int32), "hi": ends[with_tokens]})
         each = [np.unique(codes, return_counts=True) for _, _, codes, _ in self.texts]
         occurrences = pa.table(
             {
                 "text": np.repeat(np.arange(len(each), dtype=np.int32), [len(c) for c, _ in each]),
-                "seg": np.concatenate([c for c, _ in each]) if each else np.zeros(0, np.int32),
-                "times": np.concatenate([n for _, n in each]) if each else np.zeros(0, np.int64),
+                "seg": np.concatenate([np.zeros(0, np.int32), *[c for c, _ in each]]),
+                "times": np.concatenate([np.zeros(0, np.int64), *[n for _, n in each]]),
             }
         )
         for name, rows in (("ta", ta), ("tb", tb), ("segs", segs), ("occurrences", occurrences)):
             con.register(name, rows)
         for step in (_ENDS, _PAIRS, _LINKS, _TEXT_LINKS):
             con.execute(step)
-        groups = con.sql(_GROUPS).to_arrow_table()
+        placed = con.execute(_PLACES).fetchnumpy()
+        n_groups = con.execute("SELECT seg, count(*) AS n FROM links GROUP BY seg").fetchnumpy()
         found = con.execute("SELECT text, p, CAST(n AS INTEGER) AS n FROM text_links ORDER BY text, p").fetchnumpy()
-        sums = con.sql(
-            "SELECT p.p, any_value(p.a) AS a, any_value(p.b) AS b, CAST(sum(t.n) AS BIGINT) AS held FROM text_links t JOIN pairs p ON p.p = t.p GROUP BY p.p ORDER BY p.p"
-        ).to_arrow_table()
+        sums = con.sql(_PAIR_SUMS).to_arrow_table()
         for name in ("ta", "tb", "segs", "occurrences"):
             con.unregister(name)
         for name in ("ends", "pairs", "links", "text_links"):
             con.execute(f"DROP TABLE {name}")
+
+        counts = np.stack([n_a, n_b, np.zeros_like(n_a)])
+        counts[2, n_groups["seg"]] = n_groups["n"]
         at = np.searchsorted(found["text"], np.arange(len(each) + 1))
         links = [(found["p"][at[k] : at[k + 1]].astype("<i4"), found["n"][at[k] : at[k + 1]].astype("<i4")) for k in range(len(each))]
-        counts = np.stack([n_a, n_b, groups["n_groups"].to_numpy()]) if len(self.ids) else np.zeros((3, 0), np.int64)
-        return groups["told"].to_pylist(), counts, links, sums
+        return self._told(placed, n_a + n_b), counts, links, sums
+
+    def _told(self, placed: dict[str, np.ndarray], tokens: np.ndarray) -> list[str]:
+        """The groups of each stretch, cut out of the text of all tokens in their places, each with its mark before it."""
+        which = np.zeros(len(placed["place"]), np.int32)
+        which[placed["place"] - 1] = placed["mark"].astype(np.int32) * self.pair.told_size + placed["id"]
+        texts = self.pair.told.take(pa.array(which))
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(which) + 1]
+        edges = offsets[np.concatenate([[0], np.cumsum(tokens)])].tolist()
+        whole = texts.buffers()[2].to_pybytes().decode() if len(which) else ""
+        return [whole[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 class _Told:
@@ -232,14 +301,16 @@ class _Told:
         self.digest, self.parts, self.begun = hashlib.sha256() if as_digest else None, [], False
 
     def add(self, text: str) -> None:
+        """text begins with the mark between groups, which the first group of all goes without."""
+        told = text if self.begun else text[1:]
+        self.begun = True
         if self.digest is None:
-            self.parts.append(text)
+            self.parts.append(told)
         else:
-            self.digest.update(f";{text}".encode() if self.begun else text.encode())
-        self.begun = True
+            self.digest.update(told.encode())
 
     def value(self) -> str:
-        return self.digest.hexdigest() if self.digest is not None else ";".join(self.parts)
+        return self.digest.hexdigest() if self.digest is not None else "".join(self.parts)
 
 
 def _slice_rows(part: Slice, told: dict[int, _Told]) -> pa.RecordBatch:
@@ -248,7 +319,7 @@ def _slice_rows(part: Slice, told: dict[int, _Told]) -> pa.RecordBatch:
     rows = []
     for (row, doc_id, codes, last), (pairs, times) in zip(part.texts, links, strict=True):
         if len(codes):
-            told[row].add(";".join([texts[c] for c in codes.tolist()]))
+            told[row].add("".join([texts[c] for c in codes.tolist()]))
         n_a, n_b, n_groups = (int(x) for x in counts[:, codes].sum(axis=1))
         groups = told.pop(row).value() if last and row in told else None
         rows.append((part.number, row, doc_id, n_a, n_b, n_groups, int(times.sum()), groups, pairs.tobytes(), times.tobytes(), None, None, None))
@@ -257,29 +328,25 @@ def _slice_rows(part: Slice, told: dict[int, _Told]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
-def _pieces(pair: Pair, text: str) -> Iterator[tuple[list[str], list[tuple[bytes, bytes]], bool]]:
-    """(stretches, their ids, whether they are the text's last); one without stretches for a text without tokens."""
-    if text and (len(text) < _LONG or all(None not in pair.ids(x) for x in pair.stretches(text))):
-        held = None
-        for stretches in pair.stretches(text):
+def _pieces(pair: Pair, text: str) -> Iterator[tuple[list[str], bool]]:
+    """(stretches, whether they are the text's last); one without stretches for a text that has none, or is long and has no tokens."""
+    held: list[str] = []
+    if len(text) < _LONG or all(_WITHOUT not in pair.ids(list(dict.fromkeys(x))) for x in pair.stretches(text)):
+        for stretches in pair.stretches(text) if text else ():
             if held:
-                yield *held, False
-            held = (stretches, pair.ids(stretches))
-        if None not in held[1]:
-            yield *held, True
-            return
-    yield [], [], True
+                yield held, False
+            held = stretches
+    yield held, True
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch], pair: Pair, as_digest: bool, slice_chars: int) -> Iterator[pa.RecordBatch]:
-    base, slices, told = TaskContext.get().partitionId() << 33, count(), {}
+    base, told = TaskContext.get().partitionId() << 33, {}
     part, row = Slice(pair, base), base
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for stretches, ids, last in _pieces(pair, text.as_py() or ""):
-                if stretches:
+            for stretches, last in _pieces(pair, text.as_py() or ""):
+                if part.add(row, doc_id, stretches, last) and stretches:
                     told.setdefault(row, _Told(as_digest))
-                part.add(row, doc_id, stretches, ids, last)
                 if part.chars > slice_chars or len(part.texts) > _SLICE_TEXTS:
                     yield _slice_rows(part, told)
                     part = Slice(pair, part.number + 1)
@@ -318,7 +385,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, as_digest: bool = False, sl
 
     groups is `a1,a2|b1;a3|b2,b3`: the ids of A and B group by group, null without tokens; or, as_digest, its SHA-256.
     """
-    check_file(path_a)
+    byte_ranks(path_a)
+    check_model(path_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _align_batches(batches, _worker_pair(path_a, path_b), as_digest, slice_chars)

@@ -62,6 +62,20 @@ def byte_characters() -> str:
     return "".join(chr(b if b in prints else next(spare)) for b in range(256))
 
 
+class Settled:
+    """Whether all characters of a text are of Unicode 3.2, whose classes no later version has changed in a way that matters here."""
+
+    def __init__(self):
+        self.known: set[str] = set()
+
+    def __call__(self, text: str) -> bool:
+        fresh = set(text) - self.known
+        if any(unicodedata.ucd_3_2_0.category(c) == "Cn" for c in fresh):
+            return False
+        self.known |= fresh
+        return True
+
+
 class PrefixEncoder:
     """Exact BPE of one pre-token, by the last token of each of its prefixes."""
 
@@ -71,7 +85,7 @@ class PrefixEncoder:
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         self.rank: dict[tuple[int, int], int] = {}
-        ends = {i for token, i in vocabulary.items() if len(token) == 1 + len(word_end) and token.endswith(word_end)}
+        ends = {i for token, i in vocabulary.items() if word_end and len(token) == 1 + len(word_end) and token.endswith(word_end)}
         for at, (a, b) in enumerate(merges):
             pair = (vocabulary[a], vocabulary[b])
             made = vocabulary[a + b]
@@ -83,7 +97,7 @@ class PrefixEncoder:
         self.known: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.length: dict[int, int] = {}
-        lone = {i for token, i in vocabulary.items() if i not in self.parts}
+        lone = self.lone = {i for token, i in vocabulary.items() if i not in self.parts}
         for made, (left, right) in self.parts.items():
             if left in lone and right in lone and self._seam_holds(left, right, until_merged=True):
                 lone.add(made)
@@ -160,15 +174,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.cache_entries = cache_entries
         self.between = re.compile(f"[{WHITE_SPACE}]+")
-        self.settled: set[str] = set()
-
-    def _is_settled(self, stretch: str) -> bool:
-        """Whether all characters are of Unicode 3.2, whose classes no later version has changed in a way that matters here."""
-        fresh = set(stretch) - self.settled
-        if any(unicodedata.ucd_3_2_0.category(c) == "Cn" for c in fresh):
-            return False
-        self.settled |= fresh
-        return True
+        self.is_settled = Settled()
 
     def _cut(self, stretch: str) -> list[str]:
         """The pre-tokens of a stretch, as byte characters."""
@@ -177,7 +183,7 @@ class Encoder:
             if not plain.isprintable():
                 return [w.translate(self.bytes) for w in self.cut(plain)]
             return [plain] if plain.isalpha() else self.ascii_cut(plain)
-        if self._is_settled(stretch):
+        if self.is_settled(stretch):
             plain = unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower()
             words = [plain] if plain.isalpha() else self.cut(plain)
             return [w.encode().decode("latin-1").translate(self.bytes) for w in words]

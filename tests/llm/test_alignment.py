@@ -1,4 +1,6 @@
 import hashlib
+import json
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -125,6 +127,26 @@ def test_stretches_put_together_are_the_whole_text(libraries):
         for text in (f"a{space}b", f"{space}b", f"a{space}", f"a{space}{space} b", f"a {space}b", f");{space}{space}}}{space}x", f"{space}  ▂{space}\n\n{space}"):
             parts = [s for x in pair.stretches(text) for s in x]
             assert "".join(parts) == " " + text
-            ids = pair.encode(list(dict.fromkeys(parts)))
-            assert b"".join(ids[s][0] for s in parts) == alignment.np.array(libraries[0].encode(" " + text, add_special_tokens=False).ids, "<i4").tobytes()
-            assert b"".join(ids[s][1] for s in parts) == alignment.np.array(libraries[1].encode(text), "<i4").tobytes()
+            assert [i for s in parts for i in pair.encode_a(s)] == libraries[0].encode(" " + text, add_special_tokens=False).ids
+            assert [i for ids in pair.encode_b(parts) for i in ids] == libraries[1].encode(text)
+
+
+def test_a_by_the_quick_library_is_a(libraries):
+    """Characters of all planes, and random neighbours."""
+    pair, rng = alignment.Pair(A, B), random.Random(4)
+    code_points = [c for c in range(0x3000) if not 0xD800 <= c < 0xE000] + list(range(0xA000, 0xB000)) + list(range(0x10000, 0x12000)) + list(range(0x1E000, 0x1F000))
+    tokens = [libraries[0].decode([i]) for i in range(50_000)]
+    texts = [t for c in code_points for t in (f" a{chr(c)}b", f" {chr(c)}! {chr(c)}")] + ["".join(rng.choices(tokens, k=5)) for _ in range(20_000)]
+    expected = [e.ids for e in libraries[0].encode_batch(texts, add_special_tokens=False)]
+    assert [pair.encode_a(t) for t in texts] == expected
+
+
+def test_other_kinds_of_files(tmp_path):
+    with pytest.raises(ValueError):
+        alignment.byte_ranks(public_tokenizers.path("word_bpe_49k.json"))
+    with open(A, encoding="utf-8") as f:
+        told = json.load(f)
+    told["model"]["merges"] = told["model"]["merges"][::-1]
+    (tmp_path / "other.json").write_text(json.dumps(told), encoding="utf-8")
+    with pytest.raises(ValueError):
+        alignment.byte_ranks(str(tmp_path / "other.json"))
