@@ -111,7 +111,7 @@ class PrefixEncoder:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether no merge crosses the seam; kept, as the same pairs come again and again."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         holds = self.known[left << 32 | right] = self._seam_holds(left, right)
         return holds
@@ -280,7 +280,7 @@ def _worker_tokens(model_path: str) -> pa.Array:
     return _TOKENS[model_path]
 
 
-def encode(docs: DataFrame, model_path: str, cache_entries: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, cache_entries: int = 250_000) -> DataFrame:
     """(doc_id, ids) of every document under a byte-level BPE file with word ends of the tokenizers library."""
     _read(model_path)
 
