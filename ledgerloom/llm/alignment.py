@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bpe import WHITE_SPACE, PrefixEncoder, Settled, byte_characters
 from ledgerloom.llm.scratch import written
 from ledgerloom.llm.token_counts import PATTERN, check_file
-from ledgerloom.llm.workers import map_batches
+from ledgerloom.llm.workers import give_back, map_batches
 
-_SLICE_CHARS, _SLICE_TEXTS, _LONG, _CACHED, _LONGEST_CACHED = 12 << 20, 200_000, 1 << 20, 500_000, 64
+_SLICE_CHARS, _SLICE_TEXTS, _LONG, _CACHED, _LONGEST_CACHED = 6 << 20, 100_000, 1 << 20, 300_000, 64
 _SPACE = "▁"
 #: A stretch without tokens: no ids of A, and none of B.
 _WITHOUT = array("i", [0]).tobytes()
@@ -179,23 +179,20 @@ def stretch_pattern(pieces: list[str]) -> re.Pattern:
     return re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+{going_on}|[{WHITE_SPACE}]+")
 
 
-@lru_cache(1)
-def _duckdb():
-    """This worker's engine: one thread, bounded memory, no files."""
+def _engine():
+    """An engine for one slice: one thread, bounded memory, no files."""
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-    con.execute("SET preserve_insertion_order = false")
-    return con
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
 
 
 _ENDS = """
-CREATE OR REPLACE TEMP TABLE ends AS
+CREATE TABLE ends AS
 SELECT *, lag(i_a, 1, 0) OVER (ORDER BY e) AS before_a, lag(i_b, 1, 0) OVER (ORDER BY e) AS before_b
 FROM (SELECT ta.e, ta.id AS a, tb.id AS b, ta.i AS i_a, tb.i AS i_b FROM ta JOIN tb ON ta.e = tb.e)
 """
-_PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS p FROM (SELECT DISTINCT a, b FROM ends)"
-_LINKS = "CREATE OR REPLACE TEMP TABLE links AS SELECT s.seg, p.p FROM ends x ASOF JOIN segs s ON x.e <= s.hi JOIN pairs p ON p.a = x.a AND p.b = x.b"
+_PAIRS = "CREATE TABLE pairs AS SELECT a, b, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS p FROM (SELECT DISTINCT a, b FROM ends)"
+_LINKS = "CREATE TABLE links AS SELECT s.seg, p.p FROM ends x ASOF JOIN segs s ON x.e <= s.hi JOIN pairs p ON p.a = x.a AND p.b = x.b"
 #: Where each token stands when a group's A tokens come before its B tokens, and whether it is the first of its group's A (1) or B (2).
 _PLACES = """
 SELECT t.i + x.before_b AS place, t.id, CASE WHEN t.i = x.before_a + 1 THEN 1 ELSE 0 END AS mark FROM ta t ASOF JOIN ends x ON t.e <= x.e
@@ -207,7 +204,7 @@ SELECT p.p, any_value(p.a) AS a, any_value(p.b) AS b, CAST(sum(t.n) AS BIGINT) A
 FROM text_links t JOIN pairs p ON p.p = t.p GROUP BY p.p ORDER BY p.p
 """
 _TEXT_LINKS = """
-CREATE OR REPLACE TEMP TABLE text_links AS
+CREATE TABLE text_links AS
 SELECT o.text, l.p, sum(o.times) AS n FROM occurrences o JOIN links l ON l.seg = o.seg GROUP BY o.text, l.p
 """
 
@@ -251,7 +248,7 @@ class Slice:
     def align(self) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]], pa.Table]:
         """Each stretch's groups as text, each with a `;` before it; the stretches' numbers of A and B tokens and of groups; each text's links
         (pairs, times); and the sums of the pairs."""
-        con = _duckdb()
+        con = _engine()
         ta, tb, n_a, n_b = self._tokens()
         ends = np.concatenate([[0], ta["e"].to_numpy()])[np.cumsum(n_a)]
         with_tokens = np.flatnonzero(n_a)
@@ -272,10 +269,7 @@ class Slice:
         n_groups = con.execute("SELECT seg, count(*) AS n FROM links GROUP BY seg").fetchnumpy()
         found = con.execute("SELECT text, p, CAST(n AS INTEGER) AS n FROM text_links ORDER BY text, p").fetchnumpy()
         sums = con.sql(_PAIR_SUMS).to_arrow_table()
-        for name in ("ta", "tb", "segs", "occurrences"):
-            con.unregister(name)
-        for name in ("ends", "pairs", "links", "text_links"):
-            con.execute(f"DROP TABLE {name}")
+        con.close()
 
         counts = np.stack([n_a, n_b, np.zeros_like(n_a)])
         counts[2, n_groups["seg"]] = n_groups["n"]
@@ -350,6 +344,7 @@ def _align_batches(batches: Iterator[pa.RecordBatch], pair: Pair, as_digest: boo
                 if part.chars > slice_chars or len(part.texts) > _SLICE_TEXTS:
                     yield _slice_rows(part, told)
                     part = Slice(pair, part.number + 1)
+                    give_back()
             row += 1
     if part.texts:
         yield _slice_rows(part, told)

@@ -20,7 +20,8 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_LIMIT, _BATCH)
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Memory that this worker no longer uses goes back to the machine."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -33,6 +34,6 @@ def map_batches(rows: DataFrame, run: Callable[[Batches], Batches], schema) -> D
 
     def bounded(batches: Batches) -> Batches:
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return rows.mapInArrow(bounded, schema)
