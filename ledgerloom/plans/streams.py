@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.records import LOST_SQL, STATES_SQL, order_files, order_outcomes
 from ledgerloom.plans.registry import register
 from ledgerloom.session import new_folder, table
+from ledgerloom.sources.queue import FORMAT, register_queue
 from ledgerloom.streaming import jobs
 from ledgerloom.streaming.states import FileStream
 from ledgerloom.streaming.windows import SESSION, SLIDING, TUMBLING, EventTime, window_of
@@ -50,6 +51,28 @@ def e_stuck_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.current().select("file_id", "extraction_status", "extracted_text", "extraction_error")
 
 
+@register(
+    "E_job_queue",
+    """
+    SELECT 'r' || o_orderkey AS job_id, 'tender.fileRegistered' AS name, CAST(o_orderkey AS VARCHAR) AS file_id FROM orders WHERE o_orderstatus = 'O'
+    UNION ALL SELECT 'x' || o_orderkey, 'tender.extractText', CASE WHEN o_custkey % 10 > 0 THEN CAST(o_orderkey AS VARCHAR) END FROM orders WHERE o_orderstatus <> 'F'
+    """,
+)
+def e_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs on orders put into a queue twice, each time taken from it by a run of a stream that reads the queue as a data source."""
+    register_queue(spark)
+    folder, orders = new_folder(spark, "queue"), table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    stream = spark.readStream.format(FORMAT).option("path", f"{folder}/queue").load()
+    for tag, name, chosen in (("r", jobs.REGISTER, F.col("o_orderstatus") == "O"), ("x", jobs.EXTRACT, F.col("o_orderstatus") != "F")):
+        file_id = F.when((F.col("o_custkey") % 10 > 0) | F.lit(tag == "r"), key)
+        asked = orders.filter(chosen).select(F.concat(F.lit(tag), key).alias("job_id"), F.lit(name).alias("name"), file_id.alias("file_id"))
+        asked.write.format(FORMAT).option("path", f"{folder}/queue").mode("append").save()
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/taken").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/taken")
+
+
 #: Events arrive in parts of ten days, every fiftieth of them three days later, with a lateness of one day.
 _JUDGED = """
     WITH a AS (

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +43,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def pickled_by_value(module: str) -> Iterator[None]:
+    """A module's classes and functions go to Python workers as they are: workers that plan for the driver may not find the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[module])

@@ -13,16 +13,15 @@ beyond what its first copy did. Events older than the watermark are dropped by S
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ledgerloom.session import pickled_by_value
 from ledgerloom.streaming.jobs import EXTRACT, REGISTER
 
 EVENT = "file_id string, kind string, name string, outcome string, text string, reason string, at timestamp"
@@ -120,17 +119,6 @@ def _long(value) -> int | None:
     return None if _missing(value) else int(value)
 
 
-@contextmanager
-def _pickled_by_value():
-    """This module's classes go to workers as they are: the process that reads their state's schema on the driver's side may not find the package."""
-    module = sys.modules[__name__]
-    cloudpickle.register_pickle_by_value(module)
-    try:
-        yield
-    finally:
-        cloudpickle.unregister_pickle_by_value(module)
-
-
 @contextmanager
 def _rocks_db(spark: SparkSession):
     """The state store with timers and state variables, for a query started inside; the session's setting comes back afterwards."""
@@ -182,7 +170,7 @@ class FileStream:
         """One run over all events that are there; the first run takes the files' first states, a later one goes on from the state store."""
         events = self.spark.readStream.schema(EVENT).json(f"{self.folder}/events").withWatermark("at", self.lateness)
         first = self.spark.read.parquet(f"{self.folder}/files").withColumn("version", F.lit(0).cast("long")).select("file_id", *_FIELDS)
-        with _pickled_by_value():
+        with pickled_by_value(__name__):
             changes = events.groupBy("file_id").transformWithStateInPandas(FileStates(self.timeout_ms), CHANGE, "append", "eventTime", first.groupBy("file_id"))
         stream = changes.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint")
         with _rocks_db(self.spark):
