@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -59,31 +59,26 @@ class FileStates(StatefulProcessor):
         self.state = handle.getValueState("file", STATE)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.state.update(tuple(None if _missing(first[c]) else first[c] for c in _FIELDS[:-2]) + (_long(first["extracted_at"]), 0))
+        self.state.update(tuple(initialState[c] for c in _FIELDS))
 
     def _emit(self, key: tuple, before: dict, after: dict) -> Iterator:
-        import pandas as pd
-
         if after == before:
             return
         text, sets_text = after.pop("text", None), after.pop("sets_text", False)
         after["version"] += 1
         self.state.update(tuple(after[c] for c in _FIELDS))
         starts = after["extraction_status"] == "processing" and before["extraction_status"] != "processing"
-        row = {"file_id": key[0]} | after | {"extracted_text": text, "sets_text": sets_text, "to_extract": starts}
-        yield pd.DataFrame({k: pd.Series([v], dtype="Int64" if k in ("extracted_at", "version") else object) for k, v in row.items()})
+        yield Row(**({"file_id": key[0]} | after | {"extracted_text": text, "sets_text": sets_text, "to_extract": starts}))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         asked, newest, at = set(), None, 0
-        for part in rows:
-            for kind, name, outcome, text, reason, when in part[["kind", "name", "outcome", "text", "reason", "at"]].itertuples(index=False, name=None):
-                told = int(when.value // 1_000_000)
-                at = max(at, told)
-                if kind == OUTCOME and (newest is None or told > newest[-1]):
-                    newest = (outcome, text, reason, told)
-                elif kind != OUTCOME:
-                    asked.add(name if kind == JOB else kind)
+        for event in rows:
+            told = _millis(event["at"])
+            at = max(at, told)
+            if event["kind"] != OUTCOME:
+                asked.add(event["name"] if event["kind"] == JOB else event["kind"])
+            elif newest is None or told > newest[-1]:
+                newest = (event["outcome"], event["text"], event["reason"], told)
         held = self.state.get()
         if held is None:  # a job on a file that isn't there
             return
@@ -111,12 +106,9 @@ class FileStates(StatefulProcessor):
             yield from self._emit(key, before, settled(dict(before), "error", None, "timed out", expiredTimerInfo.getExpiryTimeInMs()))
 
 
-def _missing(value) -> bool:
-    return value is None or value != value
-
-
-def _long(value) -> int | None:
-    return None if _missing(value) else int(value)
+def _millis(when: datetime) -> int:
+    """A worker's timestamps are without zone, in the machine's."""
+    return int(when.timestamp()) * 1000 + when.microsecond // 1000
 
 
 @contextmanager
@@ -171,7 +163,7 @@ class FileStream:
         events = self.spark.readStream.schema(EVENT).json(f"{self.folder}/events").withWatermark("at", self.lateness)
         first = self.spark.read.parquet(f"{self.folder}/files").withColumn("version", F.lit(0).cast("long")).select("file_id", *_FIELDS)
         with pickled_by_value(__name__):
-            changes = events.groupBy("file_id").transformWithStateInPandas(FileStates(self.timeout_ms), CHANGE, "append", "eventTime", first.groupBy("file_id"))
+            changes = events.groupBy("file_id").transformWithState(FileStates(self.timeout_ms), CHANGE, "append", "eventTime", first.groupBy("file_id"))
         stream = changes.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint")
         with _rocks_db(self.spark):
             return stream.outputMode("append").trigger(availableNow=True).start()
