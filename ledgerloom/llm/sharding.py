@@ -1,10 +1,11 @@
 """Sharding: longest-processing-time scheduling of text groups onto shards.
 
-Equal texts must share a shard. Group sizes are summed map-side, and a heap gives each unit, largest first, to the least-loaded shard.
-Every group above 1/HEAVY of a shard's mean load is a unit of its own: there are shards * HEAVY of those at most, whatever the input.
-What is smaller is bundled by hash into at most UNITS units, each about 1/UNITS of the rest. So the driver holds shards * HEAVY + UNITS
-rows, no group has to be gathered, and a document's shard follows from its own text hash. (All groups as units, without bundles, would
-take a row each on the driver; a bundle's error is bounded by its own size, far below a shard's.)
+Equal texts must share a shard. Group sizes are summed map-side, and a heap gives each group, largest first, to the least-loaded shard.
+Groups of one size are alike to the heap, so the driver holds the number of groups of each size: it deals them size by size, and a size's
+groups, ranked by their hash, go to the shards by ranges of ranks. Loads are those of dealing out all groups one by one. Different sizes
+whose sum is the input's bytes are at most sqrt(2 * bytes) many, 16 bytes each: 8 MB for 100 GB of the least even input, 230 MB for 100 TB;
+texts of less than a million bytes have a million sizes at most, however many there are. Many groups of one size are dealt by
+arithmetic instead of one by one. Ranks are counted in hash cells of about rows_per_cell groups, with the cells' own counts before them.
 
 Slots number the rows of a shard without gaps: rows go to hash cells of about rows_per_cell documents, cells get offsets from
 running sums of their counts in two levels, and rows are numbered inside their cell.
@@ -18,29 +19,54 @@ group above 1/shards of all bytes makes its shard that much larger.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import rows
 from ledgerloom.llm.scratch import written
 
-UNITS, HEAVY = 24_576, 1000
+_ONE_BY_ONE = 300
 
 
-def longest_first(sizes: list[tuple], shards: int) -> list[tuple]:
-    """(unit, shard) for (unit, size): largest unit first, to the least-loaded shard; ties by the unit's name."""
-    loads = [(0, shard) for shard in range(shards)]
-    placed = []
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(loads)
-        placed.append((unit, shard))
-        heapq.heappush(loads, (load + size, shard))
-    return placed
+def _levelled(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each shard gets when each goes to the least-loaded shard: the n smallest of load + k * size."""
+
+    def upto(level: int) -> list[int]:
+        return [max(0, (level - load) // size + 1) for load in loads]
+
+    low, high = min(loads), max(loads) + n * size
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(upto(middle)) >= n else (middle + 1, high)
+    given = upto(low - 1)
+    for shard, more in enumerate(upto(low)):
+        if more > given[shard] and sum(given) < n:
+            given[shard] += 1
+    return given
 
 
-def _group(text_hash: str = "group") -> Column:
-    return F.pmod(F.col(text_hash), F.lit(UNITS)).cast("int")
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, the number of groups for each shard) of (size, number of groups), largest first; ties go to the smaller shard."""
+    loads = [(0, shard) for shard in range(shards)]
+    for size, n in sorted(sizes, reverse=True):
+        given = [0] * shards
+        if n <= _ONE_BY_ONE:
+            for _ in range(n):
+                load, shard = loads[0]
+                given[shard] += 1
+                heapq.heapreplace(loads, (load + size, shard))
+        elif not size:
+            given[loads[0][1]] = n
+        else:
+            flat = dict((shard, load) for load, shard in loads)
+            given = _levelled([flat[shard] for shard in range(shards)], size, n)
+            loads = [(flat[shard] + k * size, shard) for shard, k in enumerate(given)]
+            heapq.heapify(loads)
+        yield size, given
 
 
 def measure(docs: DataFrame, row_bytes: int = 8) -> DataFrame:
@@ -50,24 +76,33 @@ def measure(docs: DataFrame, row_bytes: int = 8) -> DataFrame:
     return rows.narrow(docs, measures, "shard-rows")
 
 
-def plan_groups(measured: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(group, shard) of the heavy groups and (unit, shard) of the bundles, both of proven size, to be broadcast."""
-    spark = measured.sparkSession
-    groups = written(measured.groupBy("group").agg(F.sum(F.col("size") * F.col("n")).alias("total")), "text-groups")
-    least = (groups.agg(F.sum("total")).first()[0] or 0) / (shards * HEAVY)
-    heavy = [("group", r.group, r.total) for r in groups.filter(F.col("total") > least).collect()]  # shards * HEAVY rows at most
-    tail = groups.filter(F.col("total") <= least).groupBy(_group().alias("unit")).agg(F.sum("total").alias("total"))
-    bundles = [("unit", r.unit, r.total) for r in tail.collect()]  # UNITS rows at most
-    placed = longest_first([((kind, key), size) for kind, key, size in heavy + bundles], shards)
-    tables = [[(key, shard) for (kind, key), shard in placed if kind == name] for name in ("group", "unit")]
-    return F.broadcast(spark.createDataFrame(tables[0], "h_group long, h_shard int")), F.broadcast(spark.createDataFrame(tables[1], "u_unit int, u_shard int"))
+def place_groups(groups: DataFrame, shards: int, rows_per_cell: int = 20_000) -> DataFrame:
+    """(group, shard) of groups (group, total)."""
+    counted = groups.groupBy("total").agg(F.count("*").alias("n")).toArrow()
+    sizes, counts = counted["total"].to_pylist(), counted["n"].to_pylist()
+    of, ends, to = [], [], []
+    for size, given in longest_first(zip(sizes, counts, strict=True), shards):
+        chosen = [shard for shard, k in enumerate(given) if k]
+        of.append(size)
+        to.append(chosen)
+        ends.append(list(accumulate(given[shard] for shard in chosen)))
+    columns = {"total": pa.array(of, pa.int64()), "ends": pa.array(ends, pa.list_(pa.int64())), "to": pa.array(to, pa.list_(pa.int32()))}
+    plan = groups.sparkSession.createDataFrame(pa.table(columns))
+
+    cells = 1 + max(counts, default=0) // rows_per_cell
+    parted = groups.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)))
+    before = Window.partitionBy("total").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy("total", "cell").agg(F.count("*").alias("n")).select("total", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("total", "cell").orderBy("group")) - 1
+    ranked = parted.withColumn("inside", inside).join(starts, ["total", "cell"]).withColumn("rank", F.col("start") + F.col("inside"))
+    place = F.size(F.filter("ends", lambda end: end <= F.col("rank"))) + 1
+    return ranked.join(plan, "total").select("group", F.element_at("to", place).alias("shard"))
 
 
 def assign(measured: DataFrame, shards: int) -> DataFrame:
     """measured with its shard."""
-    heavy, bundles = plan_groups(measured, shards)
-    met = measured.join(heavy, F.col("group") == F.col("h_group"), "left").join(bundles, _group() == F.col("u_unit"), "left")
-    return met.withColumn("shard", F.coalesce("h_shard", "u_shard")).drop("h_group", "h_shard", "u_unit", "u_shard")
+    groups = written(measured.groupBy("group").agg(F.sum(F.col("size") * F.col("n")).alias("total")), "text-groups")
+    return measured.join(written(place_groups(groups, shards), "group-shards"), "group")
 
 
 def _cell(cells: int) -> Column:

@@ -9,15 +9,35 @@ from ledgerloom.llm import registry, sharding
 from .conftest import SCHEMA
 
 
+def plain_loads(sizes, shards):
+    """Longest first, one by one."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[min(range(shards), key=lambda s: (loads[s], s))] += size
+    return loads
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 1000), max_size=40), st.integers(1, 6))
+@given(st.lists(st.tuples(st.integers(0, 1000), st.integers(1, 900)), max_size=12, unique_by=lambda x: x[0]), st.integers(1, 6))
 def test_longest_first_is_lpt(sizes, shards):
-    placed = dict(sharding.longest_first(list(enumerate(sizes)), shards))
     loads = [0] * shards
-    for unit, size in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
-        shard = min(range(shards), key=lambda s: (loads[s], s))
-        assert placed[unit] == shard
-        loads[shard] += size
+    for size, given_out in sharding.longest_first(sizes, shards):
+        assert sum(given_out) == dict(sizes)[size]
+        loads = [load + k * size for load, k in zip(loads, given_out, strict=True)]
+    assert loads == plain_loads([size for size, n in sizes for _ in range(n)], shards)
+
+
+def test_a_hundred_thousand_groups_have_the_loads_of_plain_lpt(spark):
+    """Many groups of few sizes, a size that most share, and some large ones."""
+    rng = random.Random(2)
+    totals = [rng.choice((500, 500, 500, rng.randint(500, 4000))) for _ in range(100_000)] + [rng.randint(10**5, 10**6) for _ in range(50)]
+    groups = spark.createDataFrame(list(enumerate(totals)), "group long, total long")
+    placed = sharding.place_groups(groups, 24, rows_per_cell=1000).collect()
+    assert sorted(r.group for r in placed) == list(range(len(totals)))
+    loads = [0] * 24
+    for r in placed:
+        loads[r.shard] += totals[r.group]
+    assert loads == plain_loads(totals, 24)
 
 
 def check(rows, docs, shards):
@@ -64,7 +84,7 @@ def test_documents_keep_their_columns(clashing, no_docs):
 
 
 def test_heavy_groups_are_scheduled_one_by_one(spark):
-    """More groups than units: the heavy ones are placed as LPT places them, the rest evens out the loads; slots have no gaps."""
+    """The heavy ones are placed as LPT places them, the rest evens out the loads; slots have no gaps."""
     rng = random.Random(9)
     rows = [(i if i % 4 else None, f"{i} " + "x" * (rng.choice((20_000, 9_000)) + 50 * i if i < 60 else 3), None, None, None) for i in range(30_000)]
     docs = spark.createDataFrame(rows, SCHEMA)
