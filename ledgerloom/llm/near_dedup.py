@@ -338,11 +338,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands:
     found = _placed_classes(docs, similarity, shingle, bands, rows_per_band).filter("node = class_id")
     counted = found.groupBy("node", "id", "th").agg(F.count("*").alias("n"))
     first = counted.groupBy("node").agg(F.min(F.struct("id", "th", "n")).alias("k"))
-    kept = written(first.select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")), "kept")
-    rows = docs.withColumn("__id", node_id()).withColumn("__th", F.xxhash64("text")).join(kept, ["__id", "__th"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = rows.filter("__n = 1").select(*columns)
-    if kept.filter("__n > 1").isEmpty():
-        return single
-    repeated = rows.filter("__n > 1").groupBy("__id", "__th").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
-    return single.union(repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    kept = written(first.select(F.col("k.id").alias("id"), F.col("k.th").alias("th"), F.col("k.n").alias("n")), "kept")
+    # The whole row is one struct, so no name of its columns can meet those used here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, node_id().alias("id"), F.xxhash64("text").alias("th")).join(kept, ["id", "th"])
+    single = rows.filter("n = 1").select("row")
+    if not kept.filter("n > 1").isEmpty():
+        single = single.union(rows.filter("n > 1").groupBy("id", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return single.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -33,6 +33,6 @@ def clashing(odd_docs):
     """The same rows with columns named like those the operators add."""
     from pyspark.sql import functions as F
 
-    for name in ("size", "shard", "slot", "key", "node", "label", "th", "words", "row", "target", "taken", "start", "unit", "cell", "id", "score"):
+    for name in ("size", "shard", "slot", "key", "node", "label", "words", "row", "target", "taken", "start", "unit", "cell", "id", "score", "n", "k", "th", "__id", "__th", "__n", "__k", "total", "group", "rank"):
         odd_docs = odd_docs.withColumn(name, F.lit("extra"))
     return odd_docs
