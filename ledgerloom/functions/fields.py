@@ -13,7 +13,6 @@ from ledgerloom.functions.text import SPACE as S
 from ledgerloom.functions.text import clamp01, collapse, trim
 
 _ASCII_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-_LONG_LINE = 120
 
 #: The patterns of the rules.
 MISSING = rf"(?iu)\A(нет|не{S}+указан|не{S}+найден|н/д|n/a|отсутствует)\.?\z"
@@ -24,6 +23,11 @@ SECURITY = "обеспеч"
 APPLICATION = "заявк|участник|допуск"
 EXECUTION = "исполнен|договор|контракт|поставк"
 DELIVERY = rf"при{S}+(поставке|передаче|отгрузке)"
+DELIVERY_NOTE = rf"товарн(ая)?{S}+накладная"
+TRANSFER_PAPER = rf"универсальн(ый|ого|ая)?{S}+передаточн"
+TRANSFER_SHORT, TRANSFER_USE = "упд", "поставк|передач|отгрузк"
+SHORT_LINE, LONG_LINE = 55, 120
+TAIL_MARKS = ("[,;]", "[—–-]")
 JUNK_DATE = rf"(?iu)\A(placeholder|выведено?|не{S}+указан[оы]?|не{S}+заполнен[оы]?|n/a|[—–-])\z"
 
 
@@ -53,19 +57,19 @@ def required_documents(value: Column, unicode_edges: bool = False) -> Column:
     trimmed = F.filter(F.transform(lines, trim), lambda t: t != "")
 
     def delivery_only(t: Column) -> Column:
-        note = t.rlike(rf"(?iu)\Aтоварн(ая)?{S}+накладная{e}")
-        transfer = t.rlike(rf"(?iu)\Aуниверсальн(ый|ого|ая)?{S}+передаточн")
-        upd = t.rlike(rf"(?iu)\Aупд{e}") & t.rlike(rf"(?iu){e}(поставк|передач|отгрузк){e}")
-        short = (F.length(t) < 55) & t.rlike(rf"(?iu)\A{S}*{DELIVERY}{e}")
-        return (F.length(t) <= _LONG_LINE) & (note | transfer | upd | short)
+        note = t.rlike(rf"(?iu)\A{DELIVERY_NOTE}{e}")
+        transfer = t.rlike(rf"(?iu)\A{TRANSFER_PAPER}")
+        upd = t.rlike(rf"(?iu)\A{TRANSFER_SHORT}{e}") & t.rlike(rf"(?iu){e}({TRANSFER_USE}){e}")
+        short = (F.length(t) < SHORT_LINE) & t.rlike(rf"(?iu)\A{S}*{DELIVERY}{e}")
+        return (F.length(t) <= LONG_LINE) & (note | transfer | upd | short)
 
     def without_tail(t: Column) -> Column:
-        for mark in ("[,;]", "[—–-]"):
+        for mark in TAIL_MARKS:
             t = F.regexp_replace(t, rf"(?iu){S}*{mark}{S}*{DELIVERY}{e}[^.;]*\z", "")
         return trim(t)
 
     def cut(t: Column) -> Column:
-        long = (F.length(t) > _LONG_LINE) & t.rlike(rf"(?iu){e}{DELIVERY}{e}")
+        long = (F.length(t) > LONG_LINE) & t.rlike(rf"(?iu){e}{DELIVERY}{e}")
         return F.when(long & (without_tail(t) != ""), without_tail(t)).otherwise(t)
 
     kept = F.transform(F.filter(trimmed, lambda t: ~delivery_only(t)), cut)

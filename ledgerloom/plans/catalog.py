@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import changes, extended, records, relational, stores, streams, strings  # noqa: F401  each registers its queries
+from ledgerloom.plans import changes, extended, lifecycles, records, relational, stores, streams, strings  # noqa: F401  each registers its queries
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 
 

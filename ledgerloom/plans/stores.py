@@ -24,7 +24,7 @@ def k1_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "K6_json_out",
-    "SELECT event_id, user_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS kind, instr(props, '{') = 1 AS holds_object FROM events",
+    "SELECT event_id, user_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS kind, props FROM events",
 )
 def k6_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines, nulls and JSON inside strings included."""
@@ -32,7 +32,7 @@ def k6_json_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.nullif("event_type", F.lit("view")).alias("kind")
     files.write_json(table(spark, sf_dir, "events").select("event_id", "user_id", kind, "props"), folder)
     back = spark.read.schema("event_id long, user_id long, kind string, props string").json(folder)
-    return back.select("event_id", "user_id", "kind", F.col("props").startswith("{").alias("holds_object"))
+    return back.select("event_id", "user_id", "kind", "props")
 
 
 @register("S4_objects", "SELECT n_nationkey, strlen(n_name) + 1 AS size_bytes, sha256(n_name || chr(10)) AS content_sha256 FROM nation")

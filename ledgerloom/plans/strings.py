@@ -1,4 +1,4 @@
-"""Text functions over whole columns of the driver tables, and over small inline rows where those hold no fitting values."""
+"""Text functions over whole columns of the driver tables, with values made by rule where those hold no fitting ones."""
 
 from __future__ import annotations
 
@@ -42,23 +42,6 @@ _FIELDS = [
     (13, "subject", "abc", 0.74),
     (14, "subject", "abc", 0.75),
 ]
-_OUTPUTS = [
-    '{"fields":[],"summary":"s"}',
-    '```json\n{"fields":[],"summary":"s"}\n```',
-    '{"fields":[{"key":"k","label":"l","value":"v","confidence":1}],"summary":"s"}',
-    '{"fields":[{"key":"k","label":"l","value":"v","confidence":1.01}],"summary":"s"}',
-    '{"fields":[{"key":"k","label":"l","value":"v","confidence":"0.5"}],"summary":"s"}',
-    '{"fields":[{"key":"k","label":"l","value":"v","confidence":true}],"summary":"s"}',
-    '{"fields":[{"key":1,"label":"l","value":"v","confidence":1}],"summary":"s"}',
-    '{"fields":[]}',
-    '{"fields":[{"key":"k","label":"l","value":null,"confidence":1}],"summary":"s"}',
-    '{"fields":[],"summary":"s","more":1}',
-    '{"fields":[],"summary":"s"} tail',
-    "{'fields':[],'summary':'s'}",
-    '{"fields":[],"summary":NaN}',
-    "",
-    '{"summary":"a","fields":[],"summary":"b"}',
-]
 
 
 def _values(rows: list[tuple]) -> str:
@@ -71,19 +54,26 @@ def _values(rows: list[tuple]) -> str:
 @register(
     "X3_detect_format",
     f"""
-    SELECT name, mime, CASE
+    SELECT page_id, name, mime, CASE
       WHEN ext = 'pdf' OR m = 'application/pdf' THEN 'pdf' WHEN ext = 'docx' OR contains(m, 'wordprocessingml.document') THEN 'docx'
       WHEN ext = 'doc' OR m = 'application/msword' THEN 'doc'
       WHEN ext IN ('xlsx', 'xls') OR contains(m, 'spreadsheetml') OR m = 'application/vnd.ms-excel' THEN 'spreadsheet'
       WHEN ext = 'zip' OR m IN ('application/zip', 'application/x-zip-compressed') THEN 'zip'
       WHEN ext IN ('jpg', 'jpeg', 'png', 'webp', 'gif') OR starts_with(m, 'image/') THEN 'image' ELSE 'unknown' END AS format
-    FROM (SELECT name, mime, lower(regexp_extract(name, '[.]([^.]*)$', 1)) AS ext, trim(split_part(lower(mime), ';', 1)) AS m
-          FROM {_values(_FORMATS)} t(name, mime))
+    FROM (SELECT *, lower(regexp_extract(name, '[.]([^.]*)$', 1)) AS ext, trim(split_part(lower(mime), ';', 1)) AS m
+          FROM (SELECT p.page_id, p.page_id || '-' || n.name AS name, t.mime FROM pages p
+                JOIN {_values([(i, n) for i, (n, _) in enumerate(_FORMATS)])} n(i, name) ON n.i = p.page_id % {len(_FORMATS)}
+                JOIN {_values([(i, m) for i, (_, m) in enumerate(_FORMATS)])} t(i, mime) ON t.i = p.page_id // {len(_FORMATS)} % {len(_FORMATS)}))
     """,
 )
 def x3_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_FORMATS, "name string, mime string")
-    return rows.select("name", "mime", text.detect_format(F.col("name"), F.col("mime")).alias("format"))
+    """Pages as files, with a name and a MIME type by their number."""
+    names, mimes = (F.array(*[F.lit(f[k]) for f in _FORMATS]) for k in (0, 1))
+    at = F.col("page_id")
+    name = F.concat(at.cast("string"), F.lit("-"), F.element_at(names, (at % len(_FORMATS) + 1).cast("int")))
+    mime = F.element_at(mimes, (F.floor(at / len(_FORMATS)) % len(_FORMATS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), mime.alias("mime"))
+    return rows.select("*", text.detect_format(F.col("name"), F.col("mime")).alias("format"))
 
 
 @register(
@@ -319,25 +309,38 @@ def a8_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "JSN1_strip_fence",
-    f"""
-    SELECT id, trim(CASE WHEN starts_with(output, '```') THEN regexp_replace(regexp_replace(output, '^```[a-z]*\\s*', ''), '\\s*```$', '') ELSE output END) AS inside
-    FROM {_values(list(enumerate(_OUTPUTS)))} t(id, output)
+    """
+    WITH o AS (
+      SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN '```' || props || '```'
+                                         WHEN 3 THEN '  ' || props || '```' WHEN 4 THEN '```js  ' || props ELSE chr(10) || '```' || chr(10) || props || '  ```  ' END AS output FROM events
+    )
+    SELECT event_id, trim(CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(t, '^```[a-z]*\\s*', ''), '\\s*```$', '') ELSE t END) AS inside
+    FROM (SELECT event_id, trim(output, ' ' || chr(10)) AS t FROM o)
     """,
 )
 def jsn1_strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model outputs out of their code fences."""
-    rows = spark.createDataFrame([(i, o) for i, o in enumerate(_OUTPUTS)], "id int, output string")
-    return rows.select("id", text.strip_code_fence(F.col("output")).alias("inside"))
+    """Model outputs made from the events, out of fences that are whole, open, or none."""
+    props, fence = F.col("props"), F.lit("```")
+    outputs = [
+        props,
+        F.concat(F.lit("```json\n"), props, F.lit("\n```")),
+        F.concat(fence, props, fence),
+        F.concat(F.lit("  "), props, fence),
+        F.concat(F.lit("```js  "), props),
+        F.concat(F.lit("\n```\n"), props, F.lit("  ```  ")),
+    ]
+    output = F.element_at(F.array(*outputs), (F.col("event_id") % len(outputs) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.strip_code_fence(output).alias("inside"))
 
 
 #: Outputs by the number of their fault; each holds a confidence of value / 90, which for some is above 1.
-_FAULTS = 9
+FAULTS = 9
 
 
 @register(
     "JSN2_strict_contract",
     f"""
-    WITH e AS (SELECT event_id, event_id % {_FAULTS} AS fault, value / 90 AS c, event_type FROM events)
+    WITH e AS (SELECT event_id, event_id % {FAULTS} AS fault, value / 90 AS c, event_type FROM events)
     SELECT event_id, CASE WHEN fault IN (1, 2) THEN 'json_parse_failed' WHEN fault IN (3, 4, 5) OR c NOT BETWEEN 0 AND 1 THEN 'schema_mismatch' ELSE 'ok' END AS status,
            CASE WHEN fault IN (0, 6, 7, 8) AND c BETWEEN 0 AND 1 THEN CASE fault WHEN 7 THEN 'last' ELSE event_type END END AS summary,
            CASE WHEN fault IN (0, 6, 7, 8) AND c BETWEEN 0 AND 1 THEN c END AS confidence
@@ -346,6 +349,12 @@ _FAULTS = 9
 )
 def jsn2_strict_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs made from the events: whole, in a fence, with more keys or a key twice, or broken in one of five ways."""
+    told = table(spark, sf_dir, "events").select("event_id", contracts.parse_result(model_output()).alias("r"))
+    return told.select("event_id", "r.status", "r.summary", F.col("r.fields")[0]["confidence"].alias("confidence"))
+
+
+def model_output() -> Column:
+    """An event's model output, by its number."""
     confidence = (F.col("value") / 90).cast("string")
     field = F.concat(F.lit('{"key":"k","label":"l","value":"v","confidence":'), confidence, F.lit("}"))
     summary = F.concat(F.lit('"summary":"'), F.col("event_type"), F.lit('"'))
@@ -361,9 +370,7 @@ def jsn2_strict_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace(whole, r"\}$", ',"summary":"last"}'),
         F.regexp_replace(whole, r"\}$", ',"more":[]}'),
     ]
-    output = F.element_at(F.array(*outputs), (F.col("event_id") % _FAULTS + 1).cast("int"))
-    told = table(spark, sf_dir, "events").select("event_id", contracts.parse_result(output).alias("r"))
-    return told.select("event_id", "r.status", "r.summary", F.col("r.fields")[0]["confidence"].alias("confidence"))
+    return F.element_at(F.array(*outputs), (F.col("event_id") % FAULTS + 1).cast("int"))
 
 
 @register("JSN2_over_events", "SELECT event_id, CASE WHEN json_valid(props) THEN 'schema_mismatch' ELSE 'json_parse_failed' END AS status FROM events")
@@ -472,33 +479,45 @@ def n1_over_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "N1_normalize",
     f"""
-    WITH f AS (SELECT * FROM {_values(_FIELDS)} t(id, key, value, confidence)),
+    WITH f AS (SELECT e.event_id, t.key, t.value, t.confidence FROM events e JOIN {_values(_FIELDS)} t(id, key, value, confidence) ON t.id = e.event_id % {len(_FIELDS)} + 1),
     g AS (SELECT *, trim(regexp_replace(value, '{_S}+', ' ', 'g')) AS light, least(1.0, CAST(confidence AS DOUBLE)) AS c,
                  regexp_matches(trim(value), '(?i)^(нет|не{_S}+указан|не{_S}+найден|н/д|n/a|отсутствует)\\.?$') AS gone FROM f)
-    SELECT id, key, CASE WHEN key = 'tender_no' AND gone THEN '—' 
-             WHEN key = 'dates' THEN list_aggregate(list_filter(list_transform(string_split_regex(value, '[;{chr(10)}]'), lambda p: trim(p)),
-                                                    lambda p: p NOT IN ('', '30 дней', 'placeholder', 'не указано')), 'string_agg', '; ') ELSE light END AS value,
+    SELECT event_id, key, CASE WHEN key = 'tender_no' AND gone THEN '—'
+             WHEN key = 'dates' THEN array_to_string([p FOR p IN [trim(x) FOR x IN string_split_regex(value, '[;{chr(10)}]')] IF p NOT IN ('', '30 дней', 'placeholder', 'не указано')], '; ') ELSE light END AS value,
            CASE WHEN key = 'tender_no' AND gone THEN 0.0 WHEN key = 'nmck' AND contains(light, '% от') THEN 0.6
                 WHEN key = 'guarantees' AND contains(light, 'исполнен') THEN 0.55 ELSE c END AS confidence FROM g
     """,
 )
 def n1_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields by the rule of their key; the deadline's own value goes from the dates."""
-    rows = spark.createDataFrame([(1, *f) for f in _FIELDS], "analysis_id int, sort_order int, key string, value string, confidence double")
-    return fields.normalize_fields(rows).select(F.col("sort_order").alias("id"), "key", "value", "confidence")
+    """A field of each event's analysis by its number, with a deadline beside it whose value goes from the dates."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("analysis_id"))
+    own = events.withColumn("sort_order", F.lit(0)).select("*", _listed_field(F.col("event_id")).alias("f"))
+    rows = own.select("event_id", "analysis_id", "sort_order", "f.key", "f.value", "f.confidence")
+    due = events.select("*", F.lit(1).alias("sort_order"), F.lit("delivery_deadline").alias("key"), F.lit("30 дней").alias("value"), F.lit(0.8).alias("confidence"))
+    return fields.normalize_fields(rows.unionByName(due)).filter("sort_order = 0").select("event_id", "key", "value", "confidence")
+
+
+def _listed_field(number: Column) -> Column:
+    """One of _FIELDS by a number, as struct<key, value, confidence>."""
+    told = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"), F.lit(c).alias("confidence")) for _, k, v, c in _FIELDS]
+    return F.element_at(F.array(*told), (number % len(_FIELDS) + 1).cast("int"))
 
 
 @register(
     "N7_badge",
     f"""
-    SELECT id, CASE WHEN trim(value) IN ('', '—', '-', '–') THEN 'Не найдено' WHEN contains(value, '%') THEN 'Вычислено'
+    SELECT o_orderkey, CASE WHEN trim(value) IN ('', '—', '-', '–') THEN 'Не найдено' WHEN contains(value, '%') OR contains(value, 'placeholder') THEN 'Вычислено'
       WHEN key = 'guarantees' AND contains(value, 'исполнен') THEN 'Смешанные данные' WHEN confidence < 0.75 THEN 'Требует проверки' END AS badge
-    FROM {_values([f for f in _FIELDS if f[0] != 8])} t(id, key, value, confidence)
+    FROM (SELECT o.o_orderkey, t.key, CASE WHEN o.o_custkey % 5 = 0 THEN ' - ' ELSE t.value END AS value, CASE WHEN o.o_custkey % 3 = 0 THEN 0.74 ELSE t.confidence END AS confidence
+          FROM orders o JOIN {_values(_FIELDS)} t(id, key, value, confidence) ON t.id = o.o_orderkey % {len(_FIELDS)} + 1)
     """,
 )
 def n7_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([f for f in _FIELDS if f[0] != 8], "id int, key string, value string, confidence double")
-    return rows.select("id", fields.badge(F.col("key"), F.col("value"), F.col("confidence")).alias("badge"))
+    """The mark of a field made from each order, some of them emptied or made doubtful."""
+    shown = table(spark, sf_dir, "orders").withColumn("f", _listed_field(F.col("o_orderkey")))
+    value = F.when(F.col("o_custkey") % 5 == 0, " - ").otherwise(F.col("f.value"))
+    confidence = F.when(F.col("o_custkey") % 3 == 0, 0.74).otherwise(F.col("f.confidence"))
+    return shown.select("o_orderkey", fields.badge(F.col("f.key"), value, confidence).alias("badge"))
 
 
 @register(
