@@ -9,7 +9,7 @@ shrunk towards a scaled identity and kept as a Cholesky factor; a score is the l
 Defined results: null text counts as empty; labels other than 0 and 1 are left out, and so are those of a null doc_id; a doc_id that is
 labelled several times, or repeated among the documents, counts with each pair; with a class unseen all scores are the smoothed share of
 label 1; rows that repeat a doc_id each get a score; equal texts get equal scores; very long texts count whole, in slices of a few MB (a
-longer text is a slice of its own); an empty table gives no rows; extra columns, whatever their names, are ignored. Only the text enters a
+longer text is a slice of its own, and counting takes about four times its bytes beside it); an empty table gives no rows; extra columns, whatever their names, are ignored. Only the text enters a
 score.
 """
 
@@ -27,7 +27,7 @@ from ledgerloom.llm.scratch import written
 from ledgerloom.llm.words import cut_words, raw_bytes, slices
 from ledgerloom.llm.workers import map_batches
 
-_SLICE = 4 << 20
+_SLICE, _PIECE = 4 << 20, 1 << 20
 #: Byte classes counted: each is a set of ASCII characters; non-ASCII bytes count as letters.
 _CLASSES = {
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -40,33 +40,54 @@ _CLASSES = {
 N_STATISTICS = 12
 
 
-def _class_tables() -> np.ndarray:
-    tables = np.zeros((len(_CLASSES), 256), np.int32)
+def _class_of_byte() -> np.ndarray:
+    """The number of each byte's class, and that after the last for bytes of none."""
+    table = np.full(256, len(_CLASSES), np.int64)
     for i, members in enumerate(_CLASSES.values()):
-        tables[i, [ord(c) for c in members]] = 1
-    return tables
+        table[[ord(c) for c in members]] = i
+    return table
 
 
-def _statistics(texts: pa.Array) -> np.ndarray:
-    """One row of N_STATISTICS transformed statistics for each text."""
+def _class_counts(texts: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Each text's bytes, and how many are of each class; counted in pieces, as a byte takes a number of eight while it is counted."""
     data, offsets = raw_bytes(texts)
-    base = offsets[0]
-    own, bounds = data[base : offsets[-1]], offsets - base
-    counts = {}
-    for name, table in zip(_CLASSES, _class_tables(), strict=True):
-        running = np.concatenate([[0], np.cumsum(table[own])])
-        counts[name] = (running[bounds[1:]] - running[bounds[:-1]]).astype(float)
-    size = np.diff(bounds).astype(float)
+    table, kinds = _class_of_byte(), len(_CLASSES) + 1
+    found = np.zeros((len(texts), kinds), np.int64)
+    for at in range(int(offsets[0]), int(offsets[-1]), _PIECE):
+        end = min(at + _PIECE, int(offsets[-1]))
+        low, high = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+        lengths = np.diff(np.clip(offsets[low : high + 1], at, end))
+        place = np.repeat(np.arange(high - low) * kinds, lengths) + table[data[at:end]]
+        found[low:high] += np.bincount(place, minlength=(high - low) * kinds).reshape(-1, kinds)
+    return np.diff(offsets).astype(float), {name: found[:, i].astype(float) for i, name in enumerate(_CLASSES)}
+
+
+def _word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's words, different words, words equal to the one before, and its most frequent word's number."""
     words = cut_words(texts)
-    n, rows, n_rows = np.diff(words.offsets).astype(float), words.rows(), len(texts)
-    same_row = rows[1:] == rows[:-1]
-    repeats = np.bincount(rows[1:][same_row & (words.hashes[1:] == words.hashes[:-1])], minlength=n_rows).astype(float)
-    keys = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (words.hashes >> np.uint64(24)))
+    hashes, n_rows = words.hashes, len(texts)
+    n = np.diff(words.offsets).astype(float)
+    if n_rows == 1:  # a long text needs no row numbers beside its words
+        repeats = np.array([np.count_nonzero(hashes[1:] == hashes[:-1])], float)
+        hashes >>= np.uint64(24)
+        hashes.sort()
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        most = np.diff(starts, append=len(hashes)).max(initial=0)
+        return n, np.array([len(starts)], float), repeats, np.array([most], float)
+    rows = words.rows()
+    repeats = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (hashes[1:] == hashes[:-1])], minlength=n_rows).astype(float)
+    keys = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     owner = (keys[starts] >> np.uint64(40)).astype(np.int64)
-    distinct = np.bincount(owner, minlength=n_rows).astype(float)
     most = np.zeros(n_rows)
-    np.maximum.at(most, owner, np.diff(np.concatenate([starts, [len(keys)]])).astype(float))
+    np.maximum.at(most, owner, np.diff(starts, append=len(keys)).astype(float))
+    return n, np.bincount(owner, minlength=n_rows).astype(float), repeats, most
+
+
+def _statistics(texts: pa.Array) -> np.ndarray:
+    """One row of N_STATISTICS transformed statistics for each text."""
+    size, counts = _class_counts(texts)
+    n, distinct, repeats, most = _word_counts(texts)
     letters = size - sum(counts[k] for k in counts if k != "upper")
 
     def ratio(a: np.ndarray, b: np.ndarray, pull: float = 1.0) -> np.ndarray:

@@ -66,10 +66,13 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_words(column: pa.Array) -> Words:
-    """Words are runs of digits, letters and non-ASCII characters; A-Z counts as a-z. Cut in pieces of 256 KB; one that ends inside a word grows to the word's end."""
+    """Words are runs of digits, letters and non-ASCII characters; A-Z counts as a-z.
+
+    Cut in pieces of 256 KB; one that ends inside a word grows to the word's end.
+    """
     data, offsets = raw_bytes(column)
     classes, values = _byte_classes(), _byte_values()
-    hashes, rows, at, end = [], [], int(offsets[0]), int(offsets[-1])
+    hashes, counts, at, end = [], np.zeros(len(column), np.int64), int(offsets[0]), int(offsets[-1])
     while at < end:
         stop = min(at + _PIECE, end)
         while stop < end and classes[data[stop - 1]] and classes[data[stop]] and offsets[np.searchsorted(offsets, stop)] != stop:
@@ -90,9 +93,10 @@ def cut_words(column: pa.Array) -> Words:
         before = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else total[:0]
         polynomial = (total[ends] - before) * down[starts]
         hashes.append(mix64(polynomial + (ends - starts + 1).astype(np.uint64) * np.uint64(_BASE)))
-        rows.append(np.searchsorted(offsets, starts + at, "right") - 1)
+        if len(starts):
+            rows = np.searchsorted(offsets, starts + at, "right") - 1
+            counts[rows[0] : rows[-1] + 1] += np.bincount(rows - rows[0])
         at = stop
-    counts = np.bincount(np.concatenate(rows), minlength=len(column)) if rows else np.zeros(len(column), np.int64)
     return Words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
 
 

@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import quality, registry
 
@@ -63,3 +65,17 @@ def test_odd_rows(spark, odd_docs, clashing, no_docs):
     assert len({r.score for r in quality.score(of(odd_docs), unseen).collect()}) == 1
     assert {r.score for r in quality.score(of(odd_docs), quality.train(of(no_docs), labels.limit(0))).collect()} == {0.5}
     assert quality.train_and_score(clashing, labels).count() == clashing.count()
+
+
+def test_memory_of_a_very_long_text():
+    """What counting takes beside the text itself, for texts with short words and with long ones."""
+    rng = np.random.default_rng(1)
+    for word in (5, 11):
+        letters = rng.integers(97, 123, (3_000_000, word), dtype=np.uint8)
+        letters[:, -1] = 32
+        text = pa.array([letters.tobytes().decode()])
+        tracemalloc.start()
+        found = quality._statistics(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.shape == (1, quality.N_STATISTICS) and peak < 5 * letters.size + (64 << 20)
