@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
 from ledgerloom.operators import usage
 from ledgerloom.plans.records import LOST_SQL, STATES_SQL, order_files, order_outcomes
 from ledgerloom.plans.registry import register
@@ -45,6 +46,23 @@ def s4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key, "size_bytes", F.sha2("content", 256).alias("content_sha256"))
 
 
+@register(
+    "K3_objects",
+    """
+    SELECT 'companies/' || source || '/documents/' || doc_id || '/versions/1/text_' || lang || '.txt' AS storage_key, strlen(coalesce(text, '')) AS size_bytes,
+           sha256(coalesce(text, '')) AS content_sha256, sha256(coalesce(text, '')) AS read_sha256 FROM documents
+    """,
+)
+def k3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text put under its key as bytes, and read back: the receipts, and the digests of what was found."""
+    folder = new_folder(spark, "versions")
+    key = text.document_version_key(F.col("source"), F.col("doc_id").cast("string"), F.lit("1"), F.concat(F.lit("text "), "lang", F.lit(".txt")))
+    objects = table(spark, sf_dir, "documents").select(key.alias("storage_key"), F.encode("text", "UTF-8").alias("content"))
+    receipts = files.write_objects(objects, f"{folder}/objects", f"{folder}/receipts")
+    found = files.read_objects(spark, f"{folder}/objects").select(F.regexp_extract("storage_key", "/objects/(.*)$", 1).alias("storage_key"), F.sha2("content", 256).alias("read_sha256"))
+    return receipts.join(found, "storage_key", "left")
+
+
 @register("S6_job_stream", STATES_SQL)
 def s6_job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs of Q3_file_states published to a folder in two parts, and taken from it by the stream in as many runs."""

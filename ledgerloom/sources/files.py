@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,41 @@ def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select(F.col("path").alias("storage_key"), F.col("length").alias("size_bytes"), "content")
 
 
+def _put(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    files, root = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        keys, contents = batch.column(0).to_pylist(), batch.column(1)
+        sizes, digests = [], []
+        for key, content in zip(keys, contents, strict=True):
+            data = content.as_py() or b""
+            place = f"{root}/{key}"
+            files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            spare = f"{place}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(spare) as out:
+                out.write(data)
+            files.move(spare, place)
+            sizes.append(len(data))
+            digests.append(hashlib.sha256(data).hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["storage_key", "size_bytes", "content_sha256"])
+
+
+def write_objects(objects: DataFrame, folder: str, receipts: str) -> DataFrame:
+    """The bytes of objects (storage_key, content) under their keys in a folder, given as a URI; a receipt (storage_key, size_bytes,
+    content_sha256) of each, which are written to a folder of their own and returned.
+
+    Each object is written beside its place and moved there whole, so a reader sees all of it or nothing, and a task that runs again puts
+    the same bytes there. Null content is empty. A key that is null, empty, named twice or leads out of the folder is an error.
+    """
+    key = F.col("storage_key")
+    bad = key.isNull() | (key == "") | key.startswith("/") | key.endswith("/") | F.array_contains(F.split(key, "/"), "..")
+    wrong = objects.groupBy("storage_key").agg(F.count("*").alias("n")).filter(bad | (F.col("n") > 1)).select("storage_key").limit(3).collect()
+    if wrong:
+        raise ValueError(f"objects without a place of their own, as {[r.storage_key for r in wrong]}")
+    rows = objects.select("storage_key", F.col("content").cast("binary"))
+    rows.mapInArrow(lambda batches: _put(batches, folder), "storage_key string, size_bytes long, content_sha256 string").write.parquet(receipts)
+    return objects.sparkSession.read.parquet(receipts)
+
+
 def accepted_uploads(objects: DataFrame, limit: int = RECORD_FILE_LIMIT) -> DataFrame:
     return objects.filter(valid_upload(F.col("size_bytes"), limit))
 

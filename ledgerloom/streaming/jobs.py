@@ -101,10 +101,11 @@ class FileTable:
     def create(self, files: DataFrame) -> None:
         self.change(files, -1)
 
-    def current(self, before: int | None = None) -> DataFrame:
-        """The table, or what it was before a batch."""
+    def current(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """The table, or what it was before a batch; only the files of those ids, which are looked up before anything is sorted."""
         rows = self.spark.read.parquet(self.folder)
         rows = rows if before is None else rows.filter(F.col("batch") < before)
+        rows = rows if of is None else rows.join(of.select("file_id"), "file_id", "left_semi")
         return first_per_key(rows, "file_id", [F.desc("batch")]).drop("batch")
 
     def change(self, rows: DataFrame, batch: int) -> None:
@@ -115,7 +116,7 @@ def run_stream(spark: SparkSession, jobs: str, table: FileTable, checkpoint: str
     """Everything in the job folder so far, as micro-batches over the file table; a later call goes on from there."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        table.change(changed_files(table.current(before=batch_id), batch, extractor, at), batch_id)
+        table.change(changed_files(table.current(before=batch_id, of=asked_files(batch)), batch, extractor, at), batch_id)
 
     stream = spark.readStream.schema(JOB).json(jobs)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -185,3 +185,20 @@ def test_append_and_json(spark, tmp_path):
         files.write_json(part, f"{tmp_path}/j")
     assert spark.read.parquet(f"{tmp_path}/t").filter("k = 1").count() == 2
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/j").collect()) == ['{"k":1,"v":"a"}'] * 2 + ['{"k":2,"v":null}'] * 2
+
+
+def test_objects_are_written_whole_under_their_keys(spark, tmp_path):
+    rows = [("a/b.txt", b"one"), ("a/c d/e", b"\x00\xff"), ("f", None), ("g/empty", b"")]
+    objects = spark.createDataFrame(rows, "storage_key string, content binary")
+    receipts = files.write_objects(objects, f"file://{tmp_path}/o", f"{tmp_path}/r1")
+    assert {r.storage_key: r.size_bytes for r in receipts.collect()} == {"a/b.txt": 3, "a/c d/e": 2, "f": 0, "g/empty": 0}
+    for key, content in rows:
+        assert (tmp_path / "o" / key).read_bytes() == (content or b"")
+    again = spark.createDataFrame([("a/b.txt", b"two!")], "storage_key string, content binary")
+    files.write_objects(again, f"file://{tmp_path}/o", f"{tmp_path}/r2")
+    assert (tmp_path / "o/a/b.txt").read_bytes() == b"two!" and not list((tmp_path / "o").rglob("*.part"))
+    for n, bad in enumerate([("a", "a"), (None, "b"), ("", "b"), ("../x", "b"), ("/x", "b"), ("x/", "b")]):
+        twice = spark.createDataFrame([(k, b"x") for k in bad], "storage_key string, content binary")
+        with pytest.raises(ValueError):
+            files.write_objects(twice, f"file://{tmp_path}/o", f"{tmp_path}/bad{n}")
+    assert files.write_objects(objects.filter("false"), f"file://{tmp_path}/o", f"{tmp_path}/r3").count() == 0
