@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.writes import audit_event, update_by_key
@@ -13,6 +13,20 @@ REEXTRACT = "admin.reextract_tender_file"
 ANALYSE = "tender.ai_analyze"
 
 
+#: How many finished jobs a queue keeps, by how they ended.
+KEPT_COMPLETED, KEPT_FAILED = 100, 500
+
+
+def retained_jobs(jobs: DataFrame, completed: int = KEPT_COMPLETED, failed: int = KEPT_FAILED) -> DataFrame:
+    """Jobs (job_id, queue, state, finished_at, ...) that a queue keeps: of each queue the newest that completed, the newest that failed, and
+    all that haven't ended. Every task drops what can't be among the newest before anything is shuffled."""
+    ended = F.col("state").isin("completed", "failed")
+    newest = Window.partitionBy("queue", "state").orderBy(F.desc_nulls_last("finished_at"), F.desc("job_id"))
+    ranked = jobs.filter(ended).withColumn("__place", F.row_number().over(newest)).filter(F.col("__place") <= max(completed, failed))
+    kept = ranked.filter(F.col("__place") <= F.when(F.col("state") == "completed", completed).otherwise(failed)).drop("__place")
+    return kept.unionByName(jobs.filter(~F.coalesce(ended, F.lit(False))))
+
+
 def activate(parents: DataFrame, uploads: DataFrame, key: str, upload_key: str, stored: Column) -> DataFrame:
     """Records or documents after a batch of uploads: those with an upload that was stored become active, whatever they were."""
     active = uploads.filter(stored & F.col(upload_key).isNotNull()).select(F.col(upload_key).alias(key)).distinct()

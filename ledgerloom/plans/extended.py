@@ -204,6 +204,15 @@ def e_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.with_ranks(events, ["event_type"], "value", ["event_id"], 7, blocks=32).select("event_id", "row_number", "rank", "percent_rank", "ntile")
 
 
+@register("O1_global_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS position, rank() OVER (ORDER BY o_orderdate DESC) AS day_position FROM orders")
+def o1_global_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, newest first, with their position in the whole table's order; no task sees more than its block."""
+    place = -F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", place.alias("place"))
+    ranked = ranks.with_ranks(orders, [], "place", ["o_orderkey"], 1, blocks=32)
+    return ranked.select("o_orderkey", F.col("row_number").alias("position"), F.col("rank").alias("day_position"))
+
+
 _HALF = "TIMESTAMP '2024-01-16'"
 
 

@@ -122,3 +122,23 @@ def w4_analysis_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     analyses, _, outcomes = _analyses(spark, sf_dir)
     after = lifecycles.finish_analyses(analyses, outcomes)
     return lifecycles.analysis_audit(analyses, after, "record_id", F.current_timestamp()).select(F.col("target_id").alias("record_id"), "meta", "action")
+
+
+@register(
+    "S6_retention",
+    """
+    WITH j AS (
+      SELECT event_id AS job_id, 'q' || user_id % 3 AS queue, ts AS finished_at,
+             CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'waiting' WHEN 'click' THEN 'active' ELSE 'completed' END AS state FROM events
+    )
+    SELECT job_id, queue, state FROM (SELECT *, row_number() OVER (PARTITION BY queue, state ORDER BY finished_at DESC, job_id DESC) AS place FROM j)
+    WHERE state IN ('waiting', 'active') OR (state = 'completed' AND place <= 100) OR (state = 'failed' AND place <= 500)
+    """,
+)
+def s6_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs of three queues: what is left of them when each queue keeps its newest hundred completed and five hundred failed ones."""
+    kind = F.col("event_type")
+    state = F.when(kind == "error", "failed").when(kind == "signup", "waiting").when(kind == "click", "active").otherwise("completed")
+    queue = F.concat(F.lit("q"), (F.col("user_id") % 3).cast("string"))
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), queue.alias("queue"), state.alias("state"), F.col("ts").alias("finished_at"))
+    return lifecycles.retained_jobs(jobs).select("job_id", "queue", "state")

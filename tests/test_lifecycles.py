@@ -73,3 +73,12 @@ def test_a_finished_analysis_stays_as_it_is(spark):
     done = spark.createDataFrame([("t", 1, "done", "s", "o", "m", None)], "record_id string, analysis_id int, status string, summary string, raw_output string, model string, error string")
     late = spark.createDataFrame([(1, None, None, "Error: late", None)], f"analysis_id int, raw_output string, model string, error string, {R}")
     assert lifecycles.finish_analyses(done, late).collect() == done.collect()
+
+
+def test_retention(spark):
+    rows = [(i, "q", "completed" if i % 2 else "failed", dt.datetime(2024, 1, 1, i)) for i in range(20)]
+    rows += [(50, "q", "completed", None), (51, "q", "waiting", None), (52, None, None, None), (53, "r", "completed", NOW), (20, "q", "failed", dt.datetime(2024, 1, 1, 18))]
+    jobs = spark.createDataFrame(rows, "job_id int, queue string, state string, finished_at timestamp")
+    kept = sorted(r.job_id for r in lifecycles.retained_jobs(jobs, completed=3, failed=2).collect())
+    assert kept == [15, 17, 18, 19, 20, 51, 52, 53]
+    assert lifecycles.retained_jobs(jobs.filter("false")).count() == 0
