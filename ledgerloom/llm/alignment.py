@@ -12,8 +12,9 @@ pairs, which its texts' links are then summed over. So no row is shuffled by a p
 
 Defined results: texts that are null or empty, or whose A or B bytes aren't the space and the text (as where a text holds the character
 that B writes for a space), have no tokens: zeros, no groups, and no share in any count. Strings of special tokens are plain text. Rows that
-repeat a doc_id each get a row and each count. A text longer than a slice goes through several, its groups put together in order. An empty
-table gives no rows; extra columns, whatever their names, are ignored.
+repeat a doc_id each get a row and each count. A text longer than a slice goes through several, its groups put together in order; a stretch
+without white space is not cut, and takes about 500 bytes a token while it is aligned. An empty table gives no rows; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from ledgerloom.llm.scratch import written
 from ledgerloom.llm.token_counts import PATTERN, check_file
 from ledgerloom.llm.workers import give_back, map_batches
 
-_SLICE_CHARS, _SLICE_TEXTS, _LONG, _CACHED, _LONGEST_CACHED = 6 << 20, 100_000, 1 << 20, 300_000, 64
+_SLICE_CHARS, _SLICE_TOKENS, _SLICE_TEXTS, _LONG, _CACHED, _LONGEST_CACHED = 6 << 20, 2_000_000, 100_000, 1 << 20, 300_000, 64
 _SPACE = "▁"
 #: A stretch without tokens: no ids of A, and none of B.
 _WITHOUT = array("i", [0]).tobytes()
@@ -179,11 +180,12 @@ def stretch_pattern(pieces: list[str]) -> re.Pattern:
     return re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+{going_on}|[{WHITE_SPACE}]+")
 
 
-def _engine():
-    """An engine for one slice: one thread, bounded memory, no files."""
+def _engine(tokens: int):
+    """An engine for one slice: one thread, no files, memory bounded by the slice's tokens."""
     import duckdb
 
-    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+    limit = 400 + 300 * max(0, tokens - _SLICE_TOKENS // 2) // 1_000_000
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{limit}MB", "temp_directory": ""})
 
 
 _ENDS = """
@@ -213,7 +215,7 @@ class Slice:
     """Texts (or parts of a long one) gathered until they are aligned together."""
 
     def __init__(self, pair: Pair, number: int):
-        self.pair, self.number, self.chars = pair, number, 0
+        self.pair, self.number, self.chars, self.tokens = pair, number, 0, 0
         self.codes: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids: list[bytes] = []
         self.without: set[int] = set()
@@ -228,6 +230,7 @@ class Slice:
             ids = self.pair.ids(list(islice(reversed(self.codes), fresh))[::-1])
             self.without |= {known + k for k, of in enumerate(ids) if of == _WITHOUT}
             self.ids += ids
+            self.tokens += sum(map(len, ids)) // 4
         sound = not self.without or self.without.isdisjoint(codes.tolist())
         self.texts.append((row, doc_id, codes if sound else codes[:0], last))
         self.chars += sum(map(len, stretches))
@@ -248,8 +251,8 @@ class Slice:
     def align(self) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]], pa.Table]:
         """Each stretch's groups as text, each with a `;` before it; the stretches' numbers of A and B tokens and of groups; each text's links
         (pairs, times); and the sums of the pairs."""
-        con = _engine()
         ta, tb, n_a, n_b = self._tokens()
+        con = _engine(len(ta) + len(tb))
         ends = np.concatenate([[0], ta["e"].to_numpy()])[np.cumsum(n_a)]
         with_tokens = np.flatnonzero(n_a)
         segs = pa.table({"seg": with_tokens.astype(np.int32), "hi": ends[with_tokens]})
@@ -341,7 +344,7 @@ def _align_batches(batches: Iterator[pa.RecordBatch], pair: Pair, as_digest: boo
             for stretches, last in _pieces(pair, text.as_py() or ""):
                 if part.add(row, doc_id, stretches, last) and stretches:
                     told.setdefault(row, _Told(as_digest))
-                if part.chars > slice_chars or len(part.texts) > _SLICE_TEXTS:
+                if part.chars > slice_chars or part.tokens > _SLICE_TOKENS or len(part.texts) > _SLICE_TEXTS:
                     yield _slice_rows(part, told)
                     part = Slice(pair, part.number + 1)
                     give_back()

@@ -120,6 +120,13 @@ def test_a_long_text_goes_through_several_slices(spark, libraries):
     assert digests == {hashlib.sha256(r.groups.encode()).hexdigest() for r in alignment.align(docs, A, B).collect()}
 
 
+def test_dense_texts_and_a_very_long_stretch(spark, libraries):
+    """Texts of two characters a token, which fill a slice with tokens before its length does, and one stretch of 2.4 million letters."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh", k=2_400_000)), *[" ".join("".join(rng.choices("qxzjkvw", k=9)) for _ in range(20_000)) for _ in range(10)]]
+    check(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).coalesce(1), libraries)
+
+
 def test_stretches_put_together_are_the_whole_text(libraries):
     """Every kind of white space in every neighbourhood, cut against whole."""
     pair = alignment.Pair(A, B)
