@@ -1,9 +1,10 @@
-"""File states kept in the state store of a stream, one state for each file.
+"""File states kept in the state store of a stream.
 
-Events come as JSON files in a folder: jobs by name, outcomes of extractions, and requests to extract again. The stream is keyed by file;
-a micro-batch touches the states of the files it names and nothing else, however long the history is. A file that goes into `processing` is
-handed out as work, and a timer is set: if its outcome isn't there when the watermark has passed the deadline, it fails. Texts pass through
-and are never part of a state.
+Events come as JSON files in a folder: jobs by name, outcomes of extractions, and requests to extract again. The stream is keyed by groups
+of about GROUP_FILES files, told by a hash of the file's id; their states are one packed value, so a micro-batch opens the groups of the
+files it names and nothing else, however long the history is, and asks the store once a group instead of several times a file. A file that
+goes into `processing` is handed out as work with a deadline, and the group's timer stands at its soonest one: if an outcome isn't there when
+the watermark has passed the deadline, the file fails. Texts pass through and are never part of a state.
 
 Within a micro-batch a file's events count together, whatever their order and number: first the outcome (the newest, and only of a file
 that is processing), then a request to extract again, then a registration, then an extraction. So publishing an event twice changes nothing
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -29,6 +32,10 @@ STATE = "file_status string, registration_note string, extraction_status string,
 CHANGE = f"file_id string, {STATE}, extracted_text string, sets_text boolean, to_extract boolean"
 JOB, OUTCOME, AGAIN = "job", "outcome", "again"
 _FIELDS = [f.split()[0] for f in STATE.split(", ")]
+#: Fixed for the life of a stream's checkpoint, as is the number of files it began with.
+GROUP_FILES = 8192
+_NEVER = np.iinfo(np.int64).max
+_HELD = pa.schema([("file_id", pa.string()), *[(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in STATE.split(", ")], ("deadline", pa.int64())])
 _ENDS = {"ok": "done", "skipped": "skipped_unsupported", "quarantined": "quarantined"}
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,79 +43,137 @@ _ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 Workers = Callable[[DataFrame], DataFrame]
 
 
-def settled(state: dict, outcome: str, text: str | None, reason: str | None, at: int) -> dict:
-    """A processing file after its outcome."""
-    found = outcome == "ok"
-    error = None if found else reason
-    return state | {"extraction_status": _ENDS.get(outcome, "failed"), "extraction_error": error, "extracted_at": at, "text": text if found else None, "sets_text": True}
+def packed(files: pa.Table | pd.DataFrame) -> bytes:
+    """The states of a group's files and their deadlines as one value."""
+    table = files if isinstance(files, pa.Table) else pa.Table.from_pandas(files, _HELD, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
-def registered(state: dict, at: int) -> dict:
-    told = datetime.fromtimestamp(at / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{at % 1000:03d}Z"
-    return state | {"file_status": "registration_done", "registration_note": f"registered_at={told}", "extraction_status": "pending"}
+def unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_all().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
+def first_states(key: tuple, files: pa.Table) -> pa.Table:
+    """(file_group, held) of the files (file_group, file_id, state) of one group."""
+    deadlines = pa.array(np.full(files.num_rows, _NEVER), pa.int64())
+    held = packed(files.select(["file_id", *_FIELDS]).append_column("deadline", deadlines).cast(_HELD))
+    return pa.table({"file_group": pa.array([key[0].as_py()], pa.int64()), "held": pa.array([held], pa.binary())})
+
+
+class Told:
+    """What a micro-batch's events say of the files of a group, by their places in it."""
+
+    def __init__(self, file_ids: pd.Series):
+        n = len(file_ids)
+        self.places = pd.Index(file_ids)
+        self.asked = {name: np.zeros(n, bool) for name in (AGAIN, EXTRACT, REGISTER)}
+        self.at, self.newest = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        self.outcome, self.text, self.reason = (np.full(n, None, object) for _ in range(3))
+
+    def take(self, events: pd.DataFrame) -> None:
+        """Takes in events (file_id, kind, name, outcome, text, reason, at_ms); those on a file that isn't there say nothing."""
+        place = self.places.get_indexer(events["file_id"])
+        events, place = events[place >= 0], place[place >= 0]
+        ends, at = (events["kind"] == OUTCOME).to_numpy(), events["at_ms"].to_numpy(np.int64)
+        np.maximum.at(self.at, place, at)
+        word = events["name"].where(events["kind"] == JOB, events["kind"])
+        for name, flag in self.asked.items():
+            flag[place[~ends & (word == name).to_numpy()]] = True
+        order = np.flatnonzero(ends)
+        order = order[np.argsort(-at[order], kind="stable")]
+        own, first = np.unique(place[order], return_index=True)
+        newer = at[order[first]] > self.newest[own]
+        own, rows = own[newer], order[first][newer]
+        self.newest[own] = at[rows]
+        for held, column in ((self.outcome, "outcome"), (self.text, "text"), (self.reason, "reason")):
+            held[own] = events[column].to_numpy(object)[rows]
+
+
+def _registered_at(at: np.ndarray) -> np.ndarray:
+    return np.char.add(np.char.add("registered_at=", np.datetime_as_string(at.astype("datetime64[ms]"), unit="ms")), "Z").astype(object)
 
 
 class FileStates(StatefulProcessor):
-    """The life of one file. Emits a row for each change."""
+    """The lives of a group's files. Emits a row for each change."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("file", STATE)
+        self.state = handle.getValueState("files", "held binary")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.state.update(tuple(initialState[c] for c in _FIELDS))
-
-    def _emit(self, key: tuple, before: dict, after: dict) -> Iterator:
-        if after == before:
-            return
-        text, sets_text = after.pop("text", None), after.pop("sets_text", False)
-        after["version"] += 1
-        self.state.update(tuple(after[c] for c in _FIELDS))
-        starts = after["extraction_status"] == "processing" and before["extraction_status"] != "processing"
-        yield Row(**({"file_id": key[0]} | after | {"extracted_text": text, "sets_text": sets_text, "to_extract": starts}))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        asked, newest, at = set(), None, 0
-        for event in rows:
-            told = _millis(event["at"])
-            at = max(at, told)
-            if event["kind"] != OUTCOME:
-                asked.add(event["name"] if event["kind"] == JOB else event["kind"])
-            elif newest is None or told > newest[-1]:
-                newest = (event["outcome"], event["text"], event["reason"], told)
-        held = self.state.get()
-        if held is None:  # a job on a file that isn't there
-            return
-        before = dict(zip(_FIELDS, held, strict=True))
-        state = dict(before)
-        if newest and state["extraction_status"] == "processing":
-            state = settled(state, *newest)
-        if AGAIN in asked and state["file_status"] == "registration_done":
-            state |= {"extraction_status": "pending", "extraction_error": None, "extracted_at": None, "text": None, "sets_text": True}
-        starts = EXTRACT in asked and state["file_status"] == "registration_done" and state["extraction_status"] not in ("done", "processing")
-        if REGISTER in asked and state["file_status"] == "stored":
-            state, starts = registered(state, at), True
-        if starts:
-            state["extraction_status"] = "processing"
-        if starts or state["extraction_status"] != before["extraction_status"] == "processing":
+        self.state.update((bytes(initialState["held"].iloc[0]),))
+
+    def _keep(self, files: pd.DataFrame, soonest: int, changed: np.ndarray) -> None:
+        """The states after a micro-batch, and the timer where the soonest deadline isn't the one before."""
+        files["version"] += changed.astype(np.int64)
+        self.state.update((packed(files),))
+        now = files["deadline"].min()
+        if now != soonest:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-        if starts:
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + self.timeout_ms)
-        yield from self._emit(key, before, state)
+            if now < _NEVER:
+                self.handle.registerTimer(int(now))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        before = dict(zip(_FIELDS, self.state.get(), strict=True))
-        if before["extraction_status"] == "processing":
-            yield from self._emit(key, before, settled(dict(before), "error", None, "timed out", expiredTimerInfo.getExpiryTimeInMs()))
+    def _emitted(self, files: pd.DataFrame, text: np.ndarray, sets_text: np.ndarray, starts: np.ndarray, changed: np.ndarray) -> pd.DataFrame:
+        told = files.drop(columns="deadline").assign(extracted_text=text, sets_text=sets_text, to_extract=starts)
+        return told[changed].reset_index(drop=True)
 
-
-def _millis(when: datetime) -> int:
-    """A worker's timestamps are without zone, in the machine's."""
-    return int(when.timestamp()) * 1000 + when.microsecond // 1000
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        if held is None:  # no file is there that these jobs could be on
+            for _ in rows:
+                pass
+            return
+        files = unpacked(held[0])
+        told = Told(files["file_id"])
+        for events in rows:
+            told.take(events)
+        file_status, note, status, error, deadline = (files[c].to_numpy(object).copy() for c in ("file_status", "registration_note", "extraction_status", "extraction_error", "deadline"))
+        extracted_at, text = files["extracted_at"].copy(), np.full(len(files), None, object)
+
+        ended = (told.newest >= 0) & (status == "processing")
+        found = told.outcome == "ok"
+        status[ended] = [_ENDS.get(outcome, "failed") for outcome in told.outcome[ended]]
+        error[ended] = np.where(found, None, told.reason)[ended]
+        text[ended] = np.where(found, told.text, None)[ended]
+        extracted_at[ended] = told.newest[ended]
+
+        again = told.asked[AGAIN] & (file_status == "registration_done")
+        status[again], error[again], text[again], extracted_at[again] = "pending", None, None, pd.NA
+        registers = told.asked[REGISTER] & (file_status == "stored")
+        starts = told.asked[EXTRACT] & (file_status == "registration_done") & ~np.isin(status.astype(str), ("done", "processing")) | registers
+        file_status[registers], note[registers] = "registration_done", _registered_at(told.at[registers])
+        status[starts] = "processing"
+        deadline[(status != "processing") | starts] = _NEVER
+        deadline[starts] = np.maximum(told.at[starts], timerValues.getCurrentWatermarkInMs()) + self.timeout_ms
+
+        changed = ended | again | starts
+        if changed.any():
+            soonest = files["deadline"].min()
+            new = {"file_status": file_status, "registration_note": note, "extraction_status": status, "extraction_error": error, "extracted_at": extracted_at}
+            files = files.assign(**new, deadline=pd.array(deadline, "Int64"))
+            self._keep(files, soonest, changed)
+            yield self._emitted(files, text, ended | again, starts, changed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Files whose deadline has passed fail at that time, each at its own."""
+        files = unpacked(self.state.get()[0])
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        late = (files["deadline"] <= passed).to_numpy(bool)
+        if late.any():
+            soonest = files["deadline"].min()
+            files.loc[late, "extracted_at"] = files.loc[late, "deadline"]
+            files.loc[late, ["extraction_status", "extraction_error"]] = ["failed", "timed out"]
+            files.loc[late, "deadline"] = _NEVER
+            self._keep(files, soonest, late)
+            nothing = np.full(len(files), None, object)
+            yield self._emitted(files, nothing, late, np.zeros(len(files), bool), late)
 
 
 @contextmanager
@@ -160,10 +225,16 @@ class FileStream:
 
     def start(self) -> StreamingQuery:
         """One run over all events that are there; the first run takes the files' first states, a later one goes on from the state store."""
+        files = self.spark.read.parquet(f"{self.folder}/files").filter("file_id IS NOT NULL")
+        group = F.pmod(F.xxhash64("file_id"), F.lit(1 + files.count() // GROUP_FILES)).alias("file_group")
         events = self.spark.readStream.schema(EVENT).json(f"{self.folder}/events").withWatermark("at", self.lateness)
-        first = self.spark.read.parquet(f"{self.folder}/files").withColumn("version", F.lit(0).cast("long")).select("file_id", *_FIELDS)
+        at = F.coalesce(F.unix_millis("at"), F.lit(0)).alias("at_ms")
+        grouped = events.select(group, "file_id", "kind", "name", "outcome", "text", "reason", "at", at).groupBy("file_group")
+        first = files.dropDuplicates(["file_id"]).withColumn("version", F.lit(0).cast("long")).select(group, "file_id", *_FIELDS)
         with pickled_by_value(__name__):
-            changes = events.groupBy("file_id").transformWithState(FileStates(self.timeout_ms), CHANGE, "append", "eventTime", first.groupBy("file_id"))
+            held = first.groupBy("file_group").applyInArrow(first_states, "file_group long, held binary")
+            states = FileStates(self.timeout_ms)
+            changes = grouped.transformWithStateInPandas(states, CHANGE, "append", "eventTime", held.groupBy("file_group"))
         stream = changes.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint")
         with _rocks_db(self.spark):
             return stream.outputMode("append").trigger(availableNow=True).start()

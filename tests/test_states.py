@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,70 @@ def test_session_setting_comes_back(spark, stream):
     stream.publish(jobs_of(spark, [("open", "tender.parse", when(2))]))
     stream.run()
     assert spark.conf.get(states._PROVIDER, None) == before and told(stream)["open"][1] == "pending"
+
+
+class Store:
+    """A group's state and timers, and how often the state was asked for or set."""
+
+    def __init__(self, held):
+        self.held, self.asked, self.set, self.timers = held, 0, 0, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.asked += 1
+        return None if self.held is None else (self.held,)
+
+    def update(self, value):
+        self.set, self.held = self.set + 1, value[0]
+
+    def listTimers(self):  # noqa: N802
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return min(self.timers)
+
+
+def test_a_group_of_files_asks_the_store_once():
+    """A store asked several times a file took 44 s for 15,000 files."""
+    n = 3000
+    status = ["processing"] * 3 + ["pending"] * (n - 3)
+    table = pa.table({"file_group": [0] * n, "file_id": [f"f{i}" for i in range(n)], "file_status": ["registration_done"] * n, "extraction_status": status, "version": [0] * n})
+    for c in ("registration_note", "extraction_error", "extracted_at"):
+        table = table.append_column(c, pa.array([None] * n, pa.string() if c != "extracted_at" else pa.int64()))
+    store = Store(states.first_states((pa.scalar(0),), table)["held"][0].as_py())
+    store.now = 0
+    life = states.FileStates(1000)
+    life.init(store)
+
+    def told(*rows):
+        events = pd.DataFrame([dict.fromkeys(("kind", "name", "outcome", "text", "reason")) | r for r in rows])
+        out = list(life.handleInputRows((0,), iter([events[:1], events[1:]]), store))
+        return {r.file_id: r for r in out[0].itertuples()} if out else {}
+
+    job = {"kind": "job", "name": jobs.EXTRACT, "at_ms": 5}
+    ends = [{"file_id": "f0", "kind": "outcome", "outcome": "ok", "text": t, "at_ms": at} for t, at in (("old", 3), ("new", 4), ("older", 2))]
+    failed = {"file_id": "f1", "kind": "outcome", "outcome": "error", "reason": "why", "at_ms": 3}
+    first = told(*ends, failed, job | {"file_id": "f1"}, {"file_id": None, "kind": "job", "at_ms": 5}, *[job | {"file_id": f"f{i}"} for i in range(3, n)])
+    assert len(first) == n - 1 and (store.asked, store.set) == (1, 1) and store.timers == {1005}
+    assert (first["f0"].extraction_status, first["f0"].extracted_text, first["f0"].extracted_at, first["f0"].to_extract) == ("done", "new", 4, False)
+    assert (first["f1"].extraction_status, first["f1"].to_extract) == ("processing", True)  # failed and asked for again at once: it is work
+    assert told(job | {"file_id": "f1"}) == {} and store.set == 1  # in processing already
+    told({"file_id": "f3", "kind": "outcome", "outcome": "skipped", "at_ms": 6}, job | {"file_id": "f0", "name": "again", "at_ms": 7}, job | {"file_id": "f0", "at_ms": 7})
+    assert store.timers == {1005}
+    store.now = 1006
+    (late,) = life.handleExpiredTimer((0,), store, store)
+    assert len(late) == n - 3 and set(late["extracted_at"]) == {1005} and set(late["extraction_error"]) == {"timed out"} and not set(late["file_id"]) & {"f0", "f2", "f3"}
+    assert store.timers == {1007} and set(late["version"]) == {2}
+    store.held = None
+    assert told(job | {"file_id": "f9"}) == {}
