@@ -51,33 +51,44 @@ def asked_files(jobs: DataFrame) -> DataFrame:
     return named.groupBy("file_id").agg(F.bool_or(F.col("name") == REGISTER).alias("to_register"), F.bool_or(F.col("name") == EXTRACT).alias("to_extract"))
 
 
-def changed_files(files: DataFrame, jobs: DataFrame, extractor: Extractor, at: Column) -> DataFrame:
-    """The rows of files that a batch of jobs changes, as they are afterwards: registrations first, then the extractions they bring on
-    together with those asked for. The extractor gets the files to extract and gives (file_id, kind, text, reason)."""
-    met = files.join(asked_files(jobs), "file_id")
-    registers = F.col("to_register") & (F.col("file_status") == "stored")
+#: Files to a task: what a join of them holds in memory, some 1 KB a file, doesn't grow with the table.
+TASK_FILES = 250_000
+
+
+def tasks_for(files: DataFrame) -> int:
+    return 1 + files.count() // TASK_FILES
+
+
+def _after(files: DataFrame, jobs: DataFrame, extractor: Extractor, at: Column, tasks: int, how: str) -> DataFrame:
+    """Files met with a batch of jobs, as they are afterwards, and whether it changes them (__changed)."""
+    met = files.repartition(tasks, "file_id").join(asked_files(jobs).repartition(tasks, "file_id"), "file_id", how)
+    registers = F.coalesce(F.col("to_register") & (F.col("file_status") == "stored"), F.lit(False))
     note = F.concat(F.lit("registered_at="), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     known = F.coalesce("extraction_status", F.lit("none"))
-    extracts = registers | (F.col("to_extract") & (F.col("file_status") == "registration_done") & (known != "done"))
-    after = met.withColumns({"__r": registers, "__e": extracts}).filter("__r OR __e").withColumns(
+    extracts = F.col("to_extract") & (F.col("file_status") == "registration_done") & (known != "done")
+    after = met.withColumn("__changed", registers | F.coalesce(extracts, F.lit(False))).withColumns(
         {
-            "file_status": F.when(F.col("__r"), "registration_done").otherwise(F.col("file_status")),
-            "registration_note": F.when(F.col("__r"), note).otherwise(F.col("registration_note")),
+            "file_status": F.when(registers, "registration_done").otherwise(F.col("file_status")),
+            "registration_note": F.when(registers, note).otherwise(F.col("registration_note")),
         }
     )
-    chosen = after.select(*files.columns)
-    outcomes = extractor(chosen).select(F.col("file_id").alias("__id"), "kind", "text", "reason")
-    done = chosen.join(outcomes, F.col("file_id") == F.col("__id"), "left")
+    outcomes = extractor(after.filter("__changed").select(*files.columns)).select(F.col("file_id").alias("__id"), "kind", "text", "reason")
+    done = after.select(*files.columns, "__changed").join(outcomes, F.col("file_id") == F.col("__id"), "left")
     kind = F.coalesce("kind", F.lit("error"))
     reason = F.when(F.col("kind").isNull(), "s3_download:object not found").otherwise(F.col("reason"))
-    columns = outcome_columns(kind, F.col("text"), reason, at)
-    return done.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in files.columns])
+    columns = {c: F.when(F.col("__changed"), new).otherwise(F.col(c)) for c, new in outcome_columns(kind, F.col("text"), reason, at).items()}
+    return done.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in files.columns], "__changed")
+
+
+def changed_files(files: DataFrame, jobs: DataFrame, extractor: Extractor, at: Column, tasks: int | None = None) -> DataFrame:
+    """The rows of files that a batch of jobs changes, as they are afterwards: registrations first, then the extractions they bring on
+    together with those asked for. The extractor gets the files to extract and gives (file_id, kind, text, reason)."""
+    return _after(files, jobs, extractor, at, tasks or tasks_for(files), "inner").filter("__changed").drop("__changed")
 
 
 def apply_jobs(files: DataFrame, jobs: DataFrame, extractor: Extractor, at: Column) -> DataFrame:
     """All files after a batch of jobs."""
-    changed = changed_files(files, jobs, extractor, at)
-    return files.join(changed.select("file_id"), "file_id", "left_anti").unionByName(changed)
+    return _after(files, jobs, extractor, at, tasks_for(files), "left").drop("__changed")
 
 
 def request_again(files: DataFrame, file_ids: DataFrame) -> DataFrame:
@@ -108,6 +119,10 @@ class FileTable:
         rows = rows if of is None else rows.join(of.select("file_id"), "file_id", "left_semi")
         return first_per_key(rows, "file_id", [F.desc("batch")]).drop("batch")
 
+    def tasks(self) -> int:
+        """For joins of any of its files, from the rows that are there, without reading them."""
+        return tasks_for(self.spark.read.parquet(self.folder))
+
     def change(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
 
@@ -116,7 +131,7 @@ def run_stream(spark: SparkSession, jobs: str, table: FileTable, checkpoint: str
     """Everything in the job folder so far, as micro-batches over the file table; a later call goes on from there."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        table.change(changed_files(table.current(before=batch_id, of=asked_files(batch)), batch, extractor, at), batch_id)
+        table.change(changed_files(table.current(before=batch_id, of=asked_files(batch)), batch, extractor, at, table.tasks()), batch_id)
 
     stream = spark.readStream.schema(JOB).json(jobs)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

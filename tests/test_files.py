@@ -202,3 +202,13 @@ def test_objects_are_written_whole_under_their_keys(spark, tmp_path):
         with pytest.raises(ValueError):
             files.write_objects(twice, f"file://{tmp_path}/o", f"{tmp_path}/bad{n}")
     assert files.write_objects(objects.filter("false"), f"file://{tmp_path}/o", f"{tmp_path}/r3").count() == 0
+
+
+def test_tasks_of_a_batch_grow_with_the_files(spark, monkeypatch):
+    """Tasks as AQE merged them held 2,684 MB each for 9 million files."""
+    monkeypatch.setattr(jobs, "TASK_FILES", 10)
+    columns = start(spark).columns
+    rows = start(spark).limit(1).drop("file_id").crossJoin(spark.range(95).select(F.col("id").cast("string").alias("file_id"))).select(*columns)
+    asked = rows.select(F.col("file_id").alias("job_id"), F.lit(jobs.REGISTER).alias("name"), "file_id")
+    after = jobs.apply_jobs(rows, asked, extractor, at())
+    assert after.rdd.getNumPartitions() == 10 and after.count() == 95
