@@ -15,6 +15,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -24,6 +25,7 @@ from ledgerloom.session import pickled_by_value
 
 FORMAT = "job_queue"
 SCHEMA = "job_id string, name string, file_id string"
+_PIECE = 1 << 20
 
 
 @dataclass
@@ -110,18 +112,40 @@ class _Folder:
                 self.remove(m.path)
 
 
+def _lines(folder: _Folder, path: str) -> Iterator[bytes]:
+    """A file's lines, of which a piece is held at a time."""
+    left = b""
+    with folder.files.open_input_stream(f"{folder.root}/{path}") as f:
+        while piece := f.read(_PIECE):
+            *whole, left = (left + piece).split(b"\n")
+            yield from whole
+    if left:
+        yield left
+
+
 def _read(uri: str, columns: list[str], path: str) -> Iterator[tuple]:
-    for line in _Folder(uri).read(path).splitlines():
+    for line in _lines(_Folder(uri), path):
         job = json.loads(line)
         yield tuple(job.get(c) for c in columns)
 
 
 def _write(uri: str, rows: Iterator) -> Written:
-    lines = [json.dumps(row.asDict(), default=str) for row in rows]
-    path = f"data/{uuid.uuid4().hex}.jsonl"
-    if lines:
-        _Folder(uri).write(path, "\n".join(lines).encode())
-    return Written(path, len(lines))
+    """A task's jobs as one file, written as they come; a task that fails takes its file away again."""
+    path, jobs = f"data/{uuid.uuid4().hex}.jsonl", 0
+    first = next(rows, None)
+    if first is None:
+        return Written(path, jobs)
+    folder = _Folder(uri)
+    folder.files.create_dir(f"{folder.root}/data", recursive=True)
+    try:
+        with folder.files.open_output_stream(f"{folder.root}/{path}", buffer_size=_PIECE) as f:
+            for row in chain([first], rows):
+                f.write(json.dumps(row.asDict(), default=str).encode() + b"\n")
+                jobs += 1
+    except BaseException:
+        folder.remove(path)
+        raise
+    return Written(path, jobs)
 
 
 class _BatchReader(DataSourceReader):

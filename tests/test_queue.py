@@ -1,6 +1,9 @@
 """The job queue as a data source."""
 
+import tracemalloc
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import queue
@@ -82,3 +85,25 @@ def test_a_stream_writes_to_a_queue(spark, publish, tmp_path):
         stream.writeStream.format(FORMAT).option("path", f"{publish.folder}-2").option("tag", "copy").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.format(FORMAT).option("path", f"{publish.folder}-2").load()
     assert sorted(r.job_id for r in rows.collect()) == ["again 1", "again 2"]
+
+
+def test_a_write_holds_no_more_than_a_piece(tmp_path):
+    """A task wrote its lines from one list, and read its file as a whole."""
+    folder, n, row = f"file://{tmp_path}/q", 300_000, Row(job_id="a" * 100, name="é\u2028\x85\n", file_id=None)
+    tracemalloc.start()
+    try:
+        written = queue._write(folder, (row for _ in range(n)))
+        found = sum(1 for job in queue._read(folder, ["job_id", "name", "file_id"], written.path) if job == tuple(row))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == written.jobs == n and peak < 20 << 20
+    assert queue._write(folder, iter(())).jobs == 0 and len(_Folder(folder).names("data")) == 1
+
+    def broken():
+        yield row
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        queue._write(folder, broken())
+    assert len(_Folder(folder).names("data")) == 1
