@@ -59,7 +59,7 @@ def k3_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = text.document_version_key(F.col("source"), F.col("doc_id").cast("string"), F.lit("1"), F.concat(F.lit("text "), "lang", F.lit(".txt")))
     objects = table(spark, sf_dir, "documents").select(key.alias("storage_key"), F.encode("text", "UTF-8").alias("content"))
     receipts = files.write_objects(objects, f"{folder}/objects", f"{folder}/receipts")
-    found = files.read_objects(spark, f"{folder}/objects").select(F.regexp_extract("storage_key", "/objects/(.*)$", 1).alias("storage_key"), F.sha2("content", 256).alias("read_sha256"))
+    found = files.fetch_objects(receipts, f"{folder}/objects").select("storage_key", F.sha2("content", 256).alias("read_sha256"))
     return receipts.join(found, "storage_key", "left")
 
 

@@ -19,10 +19,14 @@ from ledgerloom.functions.text import safe_name
 
 RECORD_FILE_LIMIT = 50 * 1024 * 1024
 DOCUMENT_FILE_LIMIT = 25 * 1024 * 1024
+#: Bytes of objects that a task gathers before it hands them on.
+_HELD = 8 * 1024 * 1024
 
 
 def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(storage_key, size_bytes, content) of stored objects; the size filter can prune before content is read."""
+    """(storage_key, size_bytes, content) of stored objects; the size filter can prune before content is read.
+
+    The driver lists the folder, some 3 KB an object: for uploads of one batch; where the keys are known, fetch_objects."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("storage_key"), F.col("length").alias("size_bytes"), "content")
 
@@ -62,6 +66,38 @@ def write_objects(objects: DataFrame, folder: str, receipts: str) -> DataFrame:
     return objects.sparkSession.read.parquet(receipts)
 
 
+def _get(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    files, root = fs.FileSystem.from_uri(folder)
+
+    def told(keys: list[str], found: list[bytes | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.binary())], ["storage_key", "content"])
+
+    for batch in batches:
+        keys, found, held = [], [], 0
+        for key in batch.column(0).to_pylist():
+            try:
+                with files.open_input_stream(f"{root}/{key}") as f:
+                    content = f.read()
+            except FileNotFoundError:
+                content = None
+            keys.append(key)
+            found.append(content)
+            held += len(content or b"")
+            if held > _HELD:
+                yield told(keys, found)
+                keys, found, held = [], [], 0
+        if keys:
+            yield told(keys, found)
+
+
+def fetch_objects(keys: DataFrame, folder: str) -> DataFrame:
+    """(storage_key, content) of the objects that keys (storage_key) name in a folder, given as a URI; null content where none is there.
+
+    Tasks open them by their keys, so that the driver needs no list of the folder.
+    """
+    return keys.select("storage_key").mapInArrow(lambda batches: _get(batches, folder), "storage_key string, content binary")
+
+
 def accepted_uploads(objects: DataFrame, limit: int = RECORD_FILE_LIMIT) -> DataFrame:
     return objects.filter(valid_upload(F.col("size_bytes"), limit))
 

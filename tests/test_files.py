@@ -212,3 +212,12 @@ def test_tasks_of_a_batch_grow_with_the_files(spark, monkeypatch):
     asked = rows.select(F.col("file_id").alias("job_id"), F.lit(jobs.REGISTER).alias("name"), "file_id")
     after = jobs.apply_jobs(rows, asked, extractor, at())
     assert after.rdd.getNumPartitions() == 10 and after.count() == 95
+
+
+def test_objects_are_fetched_by_key_without_a_list(spark, tmp_path, monkeypatch):
+    objects = spark.createDataFrame([(f"a/{i % 3}/o {i}%20é", b"x" * i) for i in range(40)], "storage_key string, content binary")
+    receipts = files.write_objects(objects, f"file://{tmp_path}/o", f"{tmp_path}/r")
+    gone = spark.createDataFrame([("a/0/none",)], "storage_key string")
+    monkeypatch.setattr(files, "_HELD", 100)
+    found = {r.storage_key: None if r.content is None else bytes(r.content) for r in files.fetch_objects(receipts.select("storage_key").union(gone), f"file://{tmp_path}/o").collect()}
+    assert found == {r.storage_key: bytes(r.content) for r in objects.collect()} | {"a/0/none": None}
