@@ -15,6 +15,9 @@ class _Made(threading.local):
     def __init__(self):
         self.folders: list[str] = []
 
+    def __getitem__(self, which):
+        return self.folders[which]
+
 
 _MADE = _Made()
 
