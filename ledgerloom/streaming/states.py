@@ -1,6 +1,8 @@
 """File states kept in the state store of a stream.
 
-Events come as JSON files in a folder: jobs by name, outcomes of extractions, and requests to extract again. The stream is keyed by groups
+Events come as files in a folder: jobs by name, outcomes of extractions, and requests to extract again. Those of a group and a time that are
+published together are packed into one value, or a few where they are many, as Spark hands rows to a processor one by one in Python; the time
+stays a column, so what is dropped for its age is judged event by event. The stream is keyed by groups
 of about GROUP_FILES files, told by a hash of the file's id; their states are one packed value, so a micro-batch opens the groups of the
 files it names and nothing else, however long the history is, and asks the store once a group instead of several times a file. A file that
 goes into `processing` is handed out as work with a deadline, and the group's timer stands at its soonest one: if an outcome isn't there when
@@ -20,6 +22,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -34,11 +37,19 @@ JOB, OUTCOME, AGAIN = "job", "outcome", "again"
 _FIELDS = [f.split()[0] for f in STATE.split(", ")]
 #: Fixed for the life of a stream's checkpoint, as is the number of files it began with.
 GROUP_FILES = 8192
+#: Groups to a partition of the state store, as each one's store is written once a micro-batch, whatever it holds.
+_GROUPS_A_STORE, _LEAST_STORES = 32, 8
+_PACK_BYTES = 1 << 20
 _NEVER = np.iinfo(np.int64).max
 _HELD = pa.schema([("file_id", pa.string()), *[(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in STATE.split(", ")], ("deadline", pa.int64())])
 _ENDS = {"ok": "done", "skipped": "skipped_unsupported", "quarantined": "quarantined"}
+_EVENT_COLUMNS = ["file_id", "kind", "name", "outcome", "text", "reason", "at_ms"]
+_PACKED = "file_group long, at timestamp, events binary"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGES_ONLY = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 Workers = Callable[[DataFrame], DataFrame]
 
@@ -63,6 +74,21 @@ def first_states(key: tuple, files: pa.Table) -> pa.Table:
     return pa.table({"file_group": pa.array([key[0].as_py()], pa.int64()), "held": pa.array([held], pa.binary())})
 
 
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_group, at, events) of events (file_group, at, then _EVENT_COLUMNS) sorted by group and time: each run of both as packed values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, at = batch.column(0).to_numpy(), batch.column(1).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text", "reason"))
+        part = np.cumsum(size) // _PACK_BYTES
+        starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (at[1:] != at[:-1]) | (part[1:] != part[:-1])]))
+        own = pa.Table.from_batches([batch]).select(_EVENT_COLUMNS)
+        held = [packed(own.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
+        place = pa.array(starts)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(held, pa.binary())], ["file_group", "at", "events"])
+
+
 class Told:
     """What a micro-batch's events say of the files of a group, by their places in it."""
 
@@ -176,15 +202,25 @@ class FileStates(StatefulProcessor):
             yield self._emitted(files, nothing, late, np.zeros(len(files), bool), late)
 
 
+class PackedEvents(FileStates):
+    """The same on rows of packed events."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = (pa.ipc.open_stream(held).read_pandas() for some in rows for held in some["events"])
+        yield from FileStates.handleInputRows(self, key, events, timerValues)
+
+
 @contextmanager
-def _rocks_db(spark: SparkSession):
-    """The state store with timers and state variables, for a query started inside; the session's setting comes back afterwards."""
-    own = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS_DB)
+def _settings(spark: SparkSession, **held: str):
+    """Settings for what is started inside; the session's own come back afterwards."""
+    own = {key: spark.conf.get(key, None) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, own) if own else spark.conf.unset(_PROVIDER)
+        for key, value in own.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 class FileStream:
@@ -204,10 +240,18 @@ class FileStream:
         kept = files.select("file_id", "file_status", "registration_note", "extraction_status", "extracted_text", "extraction_error", at)
         kept.write.parquet(f"{self.folder}/files")
 
+    def _groups(self) -> int:
+        """By the number of files the stream began with."""
+        return 1 + self.spark.read.parquet(f"{self.folder}/files").filter("file_id IS NOT NULL").count() // GROUP_FILES
+
     def publish(self, events: DataFrame) -> None:
-        """Events with any of the columns of EVENT; others are null."""
-        columns = [F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in EVENT.split(", "))]
-        events.select(*columns).write.mode("append").json(f"{self.folder}/events")
+        """Events with any of the columns of EVENT, on the files that were created; other columns are null."""
+        columns = [F.col(c).cast(t).alias(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in EVENT.split(", "))]
+        told = events.select(*columns).withColumn("at_ms", F.coalesce(F.unix_millis("at"), F.lit(0)))
+        group = F.pmod(F.xxhash64("file_id"), F.lit(self._groups())).alias("file_group")
+        sorted_rows = told.select(group, "at", *_EVENT_COLUMNS).repartition("file_group").sortWithinPartitions("file_group", "at")
+        with _settings(self.spark, **{_BATCH_BYTES: "8m"}), pickled_by_value(__name__):
+            sorted_rows.mapInArrow(packs, _PACKED).write.mode("append").parquet(f"{self.folder}/events")
 
     def publish_jobs(self, files: DataFrame, name: str, at: Column) -> None:
         self.publish(files.select("file_id", F.lit(JOB).alias("kind"), F.lit(name).alias("name"), at.alias("at")))
@@ -226,17 +270,17 @@ class FileStream:
     def start(self) -> StreamingQuery:
         """One run over all events that are there; the first run takes the files' first states, a later one goes on from the state store."""
         files = self.spark.read.parquet(f"{self.folder}/files").filter("file_id IS NOT NULL")
-        group = F.pmod(F.xxhash64("file_id"), F.lit(1 + files.count() // GROUP_FILES)).alias("file_group")
-        events = self.spark.readStream.schema(EVENT).json(f"{self.folder}/events").withWatermark("at", self.lateness)
-        at = F.coalesce(F.unix_millis("at"), F.lit(0)).alias("at_ms")
-        grouped = events.select(group, "file_id", "kind", "name", "outcome", "text", "reason", "at", at).groupBy("file_group")
+        groups = self._groups()
+        group = F.pmod(F.xxhash64("file_id"), F.lit(groups)).alias("file_group")
+        grouped = self.spark.readStream.schema(_PACKED).parquet(f"{self.folder}/events").withWatermark("at", self.lateness).groupBy("file_group")
         first = files.dropDuplicates(["file_id"]).withColumn("version", F.lit(0).cast("long")).select(group, "file_id", *_FIELDS)
         with pickled_by_value(__name__):
             held = first.groupBy("file_group").applyInArrow(first_states, "file_group long, held binary")
-            states = FileStates(self.timeout_ms)
+            states = PackedEvents(self.timeout_ms)
             changes = grouped.transformWithStateInPandas(states, CHANGE, "append", "eventTime", held.groupBy("file_group"))
         stream = changes.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint")
-        with _rocks_db(self.spark):
+        stores = str(min(max(_LEAST_STORES, 1 + groups // _GROUPS_A_STORE), int(self.spark.conf.get(_PARTITIONS))))
+        with _settings(self.spark, **{_PROVIDER: _ROCKS_DB, _CHANGES_ONLY: "true", _PARTITIONS: stores, _BATCH_BYTES: "8m"}):
             return stream.outputMode("append").trigger(availableNow=True).start()
 
     def run(self) -> None:
