@@ -2,8 +2,9 @@
 
 Tier one is a table of frequent pre-tokens, broadcast as one block of text and one byte per length. It holds the tokenizer's own
 vocabulary, which is what byte-pair training found frequent; its size is that of the vocabulary, whatever the corpus. Tier two is a
-cache in each Python worker: a pre-token missing from tier one is encoded once by the tokenizer, in batches, and kept (at most
-cache_entries; a full cache starts anew). Pre-tokens never leave the task that cut them, so nothing is shuffled.
+cache in each Python worker: a pre-token missing from tier one is merged once by the tokenizer's model and kept (at most
+cache_entries, in two halves: when the newer is full the older goes, so what is met often stays). ASCII texts are cut by an equal
+pattern of the standard library, which takes less than half the time. Pre-tokens never leave the task that cut them, so nothing is shuffled.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); strings of special tokens inside a text count as one token, as the
 library does by default; rows that repeat a doc_id each get a row; very long texts count whole, their pre-tokens in bounded lists; an
@@ -13,6 +14,7 @@ empty table gives no rows; extra columns, whatever their names, are ignored. A f
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -25,9 +27,17 @@ from ledgerloom.llm.workers import map_batches
 
 #: The pre-token pattern of the byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same on ASCII texts; white space there is what \s of PATTERN takes.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 _LONGEST_CACHED, _LONG = 64, 1 << 20
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which a byte-level file writes bytes: visible Latin-1 ones stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class LengthTable:
     """Lengths in tokens of pre-tokens: the broadcast tier, then this worker's cache, then the tokenizer."""
 
@@ -36,18 +46,23 @@ class LengthTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model_path)
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.frequent = dict(zip(names.split("\x00"), lengths, strict=True)) if names else {}
         self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.cache_entries = cache_entries
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.ascii_pattern = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
-    def _encode_missing(self, missing: list[str]) -> dict[str, int]:
-        fresh = [len(e) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-        found = dict(zip(missing, fresh, strict=True))
-        if len(self.cache) + len(found) > self.cache_entries:
-            self.cache.clear()
+    def _length(self, word: str) -> int:
+        known = self.older.get(word)
+        return len(self.merge(word.encode().decode("latin-1").translate(self.letters))) if known is None else known
+
+    def _encode_missing(self, missing: set[str]) -> dict[str, int]:
+        found = {w: self._length(w) for w in missing}
+        if len(self.cache) + len(found) > self.cache_entries // 2:
+            self.older, self.cache = self.cache, {}
         self.cache.update((p, n) for p, n in found.items() if len(p) <= _LONGEST_CACHED)
         return found
 
@@ -60,10 +75,11 @@ class LengthTable:
 
     def _cut(self, part: str) -> Iterator[list[str]]:
         """The pre-tokens of a text; those of a very long one in lists of bounded length."""
+        pattern = self.ascii_pattern if part.isascii() else self.pattern
         if len(part) <= _LONG:
-            yield self.pattern.findall(part)
+            yield pattern.findall(part)
             return
-        found = (m[0] for m in self.pattern.finditer(part))
+        found = (m[0] for m in pattern.finditer(part))
         while words := list(islice(found, _LONG // 8)):
             yield words
 
@@ -75,7 +91,7 @@ class LengthTable:
         rest = [w for w, k in zip(words, lengths, strict=True) if k is None]
         lengths = list(map(self.cache.get, rest))
         if None in lengths:
-            found = self._encode_missing(list({w for w, k in zip(rest, lengths, strict=True) if k is None}))
+            found = self._encode_missing({w for w, k in zip(rest, lengths, strict=True) if k is None})
             lengths = [found[w] if k is None else k for w, k in zip(rest, lengths, strict=True)]
         return n + sum(lengths)
 
@@ -116,7 +132,7 @@ def frequent_lengths(model_path: str) -> tuple[str, bytes]:
     return "\x00".join(w for w, _ in keep), bytes(n for _, n in keep)
 
 
-def count_tokens(docs: DataFrame, model_path: str, cache_entries: int = 500_000) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, cache_entries: int = 1_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every document under a byte-level BPE file of the tokenizers library."""
     check_file(model_path)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))
