@@ -157,7 +157,7 @@ def test_a_group_of_files_asks_the_store_once():
 
 
 def test_events_of_a_group_and_a_time_are_one_row(spark, stream):
-    """Rows of events, handed to the processor one by one, took more than 400 s for 9,000,000 files."""
+    """Events went to the processor as rows, each handed over in Python on its own."""
     many = spark.range(20_000).selectExpr("if(id % 2 = 0, 'new', 'open') AS file_id", "'job' AS kind", f"if(id % 2 = 0, '{jobs.REGISTER}', '{jobs.EXTRACT}') AS name")
     stream.publish(many.withColumn("at", F.lit(when(2)).cast("timestamp")))
     stream.publish(jobs_of(spark, [("done", "tender.parse", None), (None, jobs.EXTRACT, when(2)), ("bad", jobs.EXTRACT, when(1, 55))]))
