@@ -185,7 +185,7 @@ def _elements(texts: DataFrame, shingle: int) -> DataFrame:
     return map_batches(texts, run, "node long, elements array<long>")
 
 
-_SKETCH = 1 << 20
+_SKETCH, _SLOTS = 1 << 20, 1 << 22
 _STEP = 1.05
 
 
@@ -293,6 +293,13 @@ def _block_links(warm: DataFrame, held: DataFrame, similarity: float, block_elem
     return met.applyInArrow(lambda x, y: _overlapping(x, y, similarity), "a long, b long").distinct()
 
 
+def _asked_only(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows of texts (id, ...) whose id is a candidate's, and a few more: the others are told apart by a broadcast table of _SLOTS hashes
+    of ids at most, whatever the number of candidates, so that no join moves their texts."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(_SLOTS))
+    return texts.join(F.broadcast(candidates.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 20, rows_per_band: int = 6) -> DataFrame:
     """(doc_id, id, class_id) of every document row; class_id is the smallest id of its class.
 
@@ -313,7 +320,7 @@ def _placed_classes(docs: DataFrame, similarity: float, shingle: int, bands: int
     candidates = written(buckets.select("node").distinct().join(chosen, "node"), "candidates")
     repeated = written(signed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated-ids")
     # An id of one row tells its text by itself, so narrow ids prune the texts; what is repeated is looked up by its text's hash too.
-    place = docs.select(node_id().alias("id"), F.xxhash64("text").alias("th"), "text")
+    place = _asked_only(docs.select(node_id().alias("id"), F.xxhash64("text").alias("th"), "text"), candidates)
     single = place.join(candidates.select("id").join(repeated, "id", "left_anti"), "id", "left_semi").select(F.col("id").alias("node"), "text")
     several = place.join(candidates.join(repeated, "id", "left_semi"), ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text")
     sets = written(_elements(single.unionByName(several), shingle), "elements")

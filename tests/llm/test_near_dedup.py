@@ -122,3 +122,24 @@ def test_blocks_give_every_link_of_a_hot_key(spark):
         assert len(got) == len(set(got)) and set(got) == expected
     assert len(expected) > 20
     assert near_dedup._block_links(warm.limit(0), held, 0.8).count() == 0
+
+
+def test_only_texts_of_candidates_are_moved(spark, monkeypatch):
+    """Joins that may not broadcast: of 400 texts two are candidates, and the joins of their texts see these only."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), None, None, None) for i in range(400)]
+    rows[7] = (7, rows[3][1] + " more", None, None, None)
+    seen = []
+    real = near_dedup._elements
+    monkeypatch.setattr(near_dedup, "_elements", lambda texts, shingle: (seen.append(texts), real(texts, shingle))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {i: 3 if i == 7 else i for i in range(400)}
+    assert len(re.findall(r"BroadcastHashJoin .*LeftSemi", plan)) == 2  # below each of the two joins on ids
+    texts = near_dedup._asked_only(spark.range(400).selectExpr("id", "id AS th"), spark.createDataFrame([(3,), (7,)], "id long"))
+    assert {3, 7} <= {r.id for r in texts.collect()} and texts.count() < 10
