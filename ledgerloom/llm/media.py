@@ -7,8 +7,8 @@ patches evenly and differ from each other most. A keypoint and the nearest one b
 first halves of both descriptors, one by the second. One half alone would be shared by chance far too often in a large collection.
 
 Pictures meet in the tables' entries, whatever share of their keypoints they have in common; those that share an entry with a bucket's
-hub are compared on all their keypoints through grouping.classes, and what stays open goes through open_pairs, an exact filter on
-keypoints. Geometric consensus: matches within max_distance bits are grouped by turn and scale, two matches fix a similarity transform
+hub are compared on all their keypoints through grouping.classes, and what stays open goes through open_pairs: all pairs
+that share an entry, but for those of which too few keypoints match. Geometric consensus: matches within max_distance bits are grouped by turn and scale, two matches fix a similarity transform
 (any turn and shift), and pictures are copies if one transform brings at least min_inliers matches, and a share of the smaller one's
 keypoints, together.
 
@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import grouping
@@ -277,32 +277,45 @@ def describe(pictures: list[np.ndarray | None], tests: np.ndarray) -> list[np.nd
     return [np.concatenate(p) for p in found]
 
 
-def table_entries(points: np.ndarray) -> np.ndarray:
+def table_entries(points: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
     """(keypoint, table) entries of each keypoint: a half of its descriptor, that of the nearest keypoint on its level, and in which eighth
-    of a circle, seen from its own orientation, that one lies; a keypoint alone on its level has its own half twice."""
-    out = np.zeros((len(points), _TABLES), np.uint64)
-    for level in np.unique(points["level"]):
-        own = np.flatnonzero(points["level"] == level)
-        x, y = points["x"][own].astype(float), points["y"][own].astype(float)
-        near = _nearest(x, y)
-        seen = np.arctan2(y[near] - y, x[near] - x) - points["turn"][own] * (2 * np.pi / _TURNS)
-        eighth = np.floor((seen % (2 * np.pi)) * 4 / np.pi).astype(np.uint64)
-        bits, beside = points["bits"][own], points["bits"][own][near]
-        for t in range(_TABLES):
-            half = [(b >> np.uint64(32 * t)) & np.uint64(0xFFFFFFFF) for b in (bits, beside)]
-            out[own, t] = mix64(half[0] * np.uint64(0x9E3779B97F4A7C15) + mix64(half[1] * np.uint64(16) + eighth + np.uint64(8 * t + 1)))
+    of a circle, seen from its own orientation, that one lies; a keypoint alone on its level has its own half twice. The points may be
+    those of several pictures, owner being each one's picture."""
+    group = points["level"] if owner is None else owner * len(_SCALES) + points["level"]
+    x, y = points["x"].astype(float), points["y"].astype(float)
+    near = _nearest(x, y, group)
+    seen = np.arctan2(y[near] - y, x[near] - x) - points["turn"] * (2 * np.pi / _TURNS)
+    eighth = np.floor((seen % (2 * np.pi)) * 4 / np.pi).astype(np.uint64)
+    out, bits, beside = np.zeros((len(points), _TABLES), np.uint64), points["bits"], points["bits"][near]
+    for t in range(_TABLES):
+        half = [(b >> np.uint64(32 * t)) & np.uint64(0xFFFFFFFF) for b in (bits, beside)]
+        out[:, t] = mix64(half[0] * np.uint64(0x9E3779B97F4A7C15) + mix64(half[1] * np.uint64(16) + eighth + np.uint64(8 * t + 1)))
     return out.view(np.int64)
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """The place of each point's nearest other one, the first of several; its own if there is no other."""
-    if len(x) < 2:
-        return np.zeros(len(x), np.int64)
-    out = np.zeros(len(x), np.int64)
-    for at in range(0, len(x), chunk):
-        far = (x[at : at + chunk, None] - x[None, :]) ** 2 + (y[at : at + chunk, None] - y[None, :]) ** 2
-        far[np.arange(len(far)), at + np.arange(len(far))] = np.inf
-        out[at : at + chunk] = far.argmin(axis=1)
+def _nearest(x: np.ndarray, y: np.ndarray, group: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """The place of each point's nearest other one of its group, the first of several; its own if there is no other.
+
+    Groups of about the same size are treated together, large ones in strips."""
+    order, out = np.argsort(group, kind="stable"), np.arange(len(x))
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    sizes = np.diff(np.append(starts, len(x)))
+    x, y = x[order], y[order]
+    side = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    for s in np.unique(side[sizes > 1]):
+        alike = np.flatnonzero((side == s) & (sizes > 1))
+        many = max(1, chunk // int(s * s))
+        for at in range(0, len(alike), many):
+            first, n = (v[alike[at : at + many]] for v in (starts, sizes))
+            place, inside = first[:, None] + np.arange(s), np.arange(s) < n[:, None]
+            place = np.where(inside, place, first[:, None])
+            gx, gy, own = x[place], y[place], np.arange(s)
+            rows = max(1, chunk // int(s * len(first)))
+            for low in range(0, int(s), rows):
+                far = (gx[:, low : low + rows, None] - gx[:, None, :]) ** 2 + (gy[:, low : low + rows, None] - gy[:, None, :]) ** 2
+                far[np.broadcast_to((own[low : low + rows, None] == own) | ~inside[:, None, :], far.shape)] = np.inf
+                kept = inside[:, low : low + rows]
+                out[order[place[:, low : low + rows][kept]]] = order[(first[:, None] + far.argmin(axis=2))[kept]]
     return out
 
 
@@ -320,6 +333,16 @@ def _places(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (points["x"] + 0.5) * size + 1j * (points["y"] + 0.5) * size, size
 
 
+def _distinct(i: np.ndarray, j: np.ndarray) -> int:
+    """How many keypoints of either side the matches (i, j) can bring together at most."""
+    return min(len(set(i.tolist())), len(set(j.tolist())))
+
+
+def can_agree(a: np.ndarray, b: np.ndarray, least: float, max_distance: int = 6) -> bool:
+    """Whether enough keypoints of both pictures have a match, whatever their places: without that no transform brings `least` together."""
+    return min(len(a), len(b)) >= least and _distinct(*_matches(a, b, max_distance)) >= least
+
+
 def agreeing(a: np.ndarray, b: np.ndarray, max_distance: int = 6, tolerance: float = 4.0, enough: float = np.inf) -> int:
     """The most keypoints whose matches agree on one similarity transform; the search ends where that is enough, or can't be.
 
@@ -327,7 +350,7 @@ def agreeing(a: np.ndarray, b: np.ndarray, max_distance: int = 6, tolerance: flo
     """
     least = enough if enough < np.inf else 2
     i, j = _matches(a, b, max_distance)
-    if len(i) < max(2, least):
+    if len(i) < max(2, least) or (enough < np.inf and _distinct(i, j) < least):
         return 0
     (pa_, size_a), (pb, size_b) = _places(a), _places(b)
     za, zb, ratio = pa_[i], pb[j], np.log(size_a[i] / size_b[j])
@@ -339,7 +362,7 @@ def agreeing(a: np.ndarray, b: np.ndarray, max_distance: int = 6, tolerance: flo
         near_turn = np.minimum((turn - t) % 16, (t - turn) % 16) <= 1
         for s in np.unique(step[turn == t]):
             own = np.flatnonzero(near_turn & (np.abs(step - s) <= 1))
-            if len(own) < max(2, least, best + 1):
+            if len(own) < max(2, least, best + 1) or _distinct(i[own], j[own]) < max(least if enough < np.inf else 0, best + 1):
                 continue
             best = max(best, _consensus(za[own], zb[own], ratio[own], angle[own], slack[own], i[own], j[own], enough))
             if best >= enough:
@@ -394,47 +417,51 @@ def render_column(column: pa.Array) -> tuple[list[np.ndarray | None], list]:
     return [decode_picture(f) for f in files], files
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) of (node, points): each entry of a picture once."""
-    for batch in batches:
-        keys = [np.unique(table_entries(np.frombuffer(p, _POINT))) for p in batch.column(1).to_pylist()]
-        place = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), batch.column(0).take(place)], ["key", "node"])
-
-
-def _numbered_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, label, points, point) of (node, label, points): every entry of every keypoint, and the number of keypoints."""
-    for batch in batches:
-        keys = [table_entries(np.frombuffer(p, _POINT)) for p in batch.column(2).to_pylist()]
-        many = [k.size for k in keys]
-        place = pa.array(np.repeat(np.arange(len(keys)), many))
-        point = np.concatenate([np.zeros(0, np.int64), *[np.repeat(np.arange(len(k)), _TABLES) for k in keys]])
-        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *[k.ravel() for k in keys]]))
-        size = pa.array(np.repeat([len(k) for k in keys], many).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(place), batch.column(1).take(place), size, pa.array(point)], ["key", "node", "label", "points", "point"])
+def _batch_keys(column: pa.Array, least: int = 0) -> tuple[np.ndarray, pa.Array]:
+    """(entries, rows): each entry of a picture of at least so many keypoints once, and the row of its picture."""
+    points = [np.frombuffer(p, _POINT) for p in column.to_pylist()]
+    many = np.array([len(p) if len(p) >= least else 0 for p in points], np.int64)
+    owner = np.repeat(np.arange(len(points)), many)
+    entries = table_entries(np.concatenate([np.zeros(0, _POINT), *[p for p, n in zip(points, many, strict=True) if n]]), owner)
+    row, key = np.repeat(owner, _TABLES), entries.ravel()
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
+    return key[new], pa.array(row[new])
 
 
 def open_pairs(open_nodes: DataFrame, sets: DataFrame, min_inliers: int, share: float) -> DataFrame:
-    """The pairs (a, b) of open nodes (node, label) of different labels that can be copies.
+    """The pairs (a, b) of open nodes (node, label) of different labels that can be copies: all that share an entry, whichever it is, but for
+    those of which too few keypoints have a match, so that no transform can bring enough of them together.
 
-    A picture agrees with a larger one on `least` of its keypoints or more, so on one of those that stay when the least - 1 whose entries
-    are the fullest are left out. Only the entries of what stays are joined with all entries of the larger pictures: a logo or a headline
-    below the accepted share joins nothing.
+    The members of an entry's largest label are met by the others only, so large groups of copies cost their number.
     """
-    held = sets.join(open_nodes, "node").select("node", "label", "points")
-    slots = written(map_batches(held, _numbered_keys, "key long, node long, label long, points long, point long"), "open-entries")
-    entries = slots.select("key", "node", "label", "points").distinct()
-    full = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    met = written(slots.join(written(full.select("key", "n"), "open-entry-sizes"), "key"), "open-shared-entries")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "point"))
-    least = F.greatest(F.lit(min_inliers), F.ceil(F.col("points") * F.lit(share)))
-    shared = met.groupBy("node", "points", "point").agg(F.sum("n").alias("weight")).withColumn("place", place)
-    rare = written(shared.filter(F.col("place") >= least).select("node", "point"), "rare-keypoints")
-    asking = written(met.join(rare, ["node", "point"]).select("key", "node", "label", "points").distinct(), "asking-entries")
-    asked = met.select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("points").alias("leader_points")).distinct()
-    larger = (F.col("leader_points") > F.col("points")) | ((F.col("leader_points") == F.col("points")) & (F.col("leader") > F.col("node")))
-    pairs = asking.join(written(asked, "asked-entries"), "key").filter(larger & (F.col("label") != F.col("leader_label")))
-    return written(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "rivals")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, place = _batch_keys(batch.column(2), min_inliers)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(place), batch.column(1).take(place)], ["key", "node", "label"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(left, _POINT), np.frombuffer(right, _POINT)
+                ok.append(can_agree(a, b, max(min_inliers, share * min(len(a), len(b)))))
+            kept = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    held = written(sets.join(open_nodes, "node").select("node", "label", "points"), "open-keypoints")
+    entries = written(map_batches(held, keyed, "key long, node long, label long"), "open-entries")
+    by_label = entries.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = F.max_by("label", F.struct("n", "label")).alias("main")
+    mixed = written(by_label.groupBy("key").agg(main, F.count("*").alias("labels")).filter("labels > 1").select("key", "main"), "mixed-entries")
+    met = written(entries.join(mixed, "key"), "open-shared-entries")
+    others = met.filter("label <> main").select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
+    pairs = met.join(others, "key").filter("label <> other_label").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    left, right = (held.select(F.col("node").alias(n), F.col("points").alias(f"{n}_points")) for n in ("a", "b"))
+    both = written(pairs.distinct(), "open-pairs").join(left, "a").join(right, "b").select("a", "b", "a_points", "b_points")
+    return written(map_batches(both, judge, "a long, b long"), "rivals")
 
 
 def _node_keypoints(described: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -475,7 +502,14 @@ def copy_classes(
     nodes = grouping.number_nodes(described, ["p1", "p2"], [])
     placed = written(described.select("media_id", "id", "p1", "p2").join(nodes.select("p1", "p2", "node"), ["p1", "p2"]).select("media_id", "node"), "placed")
     sets = _node_keypoints(described, nodes)
-    buckets = grouping.shared_buckets(map_batches(sets, _keys, "key long, node long"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, place = _batch_keys(batch.column(1), min_inliers)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(place)], ["key", "node"])
+
+    buckets = grouping.shared_buckets(map_batches(sets, keyed, "key long, node long"))
+    met = written(sets.join(buckets.select("node").distinct(), "node"), "bucket-keypoints")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,11 +522,11 @@ def copy_classes(
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     def compare(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(n), F.col("points").alias(f"{n}_points")) for n in ("a", "b"))
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_points", "b_points")
-        return map_batches(met, judge, "a long, b long")
+        left, right = (met.select(F.col("node").alias(n), F.col("points").alias(f"{n}_points")) for n in ("a", "b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_points", "b_points")
+        return map_batches(both, judge, "a long, b long")
 
-    labels = grouping.classes(buckets, compare, lambda nodes: compare(open_pairs(nodes, sets, min_inliers, share)))
+    labels = grouping.classes(buckets, compare, lambda nodes: compare(open_pairs(nodes, met, min_inliers, share)))
     joined = placed.join(labels.withColumnRenamed("label", "class"), "node", "left")
     return joined.select("media_id", F.coalesce("class", "node").alias("class_id"))
 

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import media, registry
 
@@ -197,6 +198,61 @@ def test_open_pairs_skip_what_all_share(spark):
     assert [(r.a, r.b) for r in media.open_pairs(nodes, sets, 5, 0.25).collect()] == [(3, 7)]
 
 
+def test_open_pairs_share_any_entry(spark):
+    """Two pictures alike within one bit of each half, exactly alike in two neighbouring keypoints only: the one entry they share pairs them."""
+    rng = np.random.default_rng(7)
+    both = np.zeros((2, 40), media._POINT)
+    both["x"], both["y"] = np.arange(40) * 20, 5
+    both["bits"] = rng.integers(0, 2**63, 40)
+    both["bits"][1, :38] ^= np.uint64((1 << 40) + 1)
+    few = np.array(both[1, 36:])  # too few to be a copy of any
+    sets = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate([*both, few])], "node long, points binary")
+    nodes = sets.selectExpr("node", "node AS label")
+    assert [(r.a, r.b) for r in media.open_pairs(nodes, sets, 5, 0.25).collect()] == [(0, 1)]
+
+
+def test_classes_are_those_of_all_pairs_that_share_an_entry(spark):
+    """Texts that share stretches with many others, by the operator and by all pairs that share an entry."""
+    rng = np.random.default_rng(8)
+    stretches = [[f"w{k}x{i}" for i in range(96)] for k in range(12)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(32 * int(rng.integers(1, 9)))]
+        rows.append((i, " ".join([*stretches[rng.integers(12)], *own, *(stretches[rng.integers(12)] if i % 3 else [])])))
+    pictures, _ = media.render_column(pa.array([t for _, t in rows]))
+    points = media.describe(pictures, media.comparisons())
+    holders, parent = {}, list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, p in enumerate(points):
+        for e in set(media.table_entries(p).ravel().tolist()):
+            holders.setdefault(e, []).append(i)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    for i, j in sorted(pairs & brute(points)):
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r.media_id: r.class_id for r in media.copy_classes(spark.createDataFrame(rows, "media_id long, value string"), media.render_column).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert 20 < len(set(got.values())) < 150 and len(pairs) > 300
+
+
+def test_entries_of_many_pictures_at_once():
+    points = media.describe([picture(k, 60 + 20 * k, 90).astype(np.float32) for k in range(5)], media.comparisons())
+    points.insert(2, points[0][:0])
+    points.append(points[4][:1])
+    owner = np.repeat(np.arange(len(points)), [len(p) for p in points])
+    together = media.table_entries(np.concatenate(points), owner)
+    assert (together == np.concatenate([media.table_entries(p) for p in points])).all()
+    x, y, level = (points[4][c].astype(float) for c in ("x", "y", "level"))
+    far = np.where(level[:, None] == level, np.hypot(x[:, None] - x, y[:, None] - y), np.inf)
+    np.fill_diagonal(far, np.inf)
+    assert (media._nearest(x, y, points[4]["level"]) == far.argmin(axis=1)).all()
+    assert (media._nearest(x, y, points[4]["level"], 8) == far.argmin(axis=1)).all()
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, b"", "b"), (3, b"P5 broken", "c"), (3, b"P5 broken", "c"), (4, b"", "d"), (None, pgm(picture(1)), "e"), (6, pgm(picture(1)), "f"), (7, None, "g"), (8, pgm(np.full((40, 40), 7, np.uint8)), "h")]
     odd = spark.createDataFrame(rows, "media_id long, value binary, key string").selectExpr("*", "1 AS id", "2 AS pixels", "3 AS points", "4 AS node", "5 AS keys")
