@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.scratch import mark, sweep, written
 
-_ROWS_PER_FILE = 500_000
+_ROWS_PER_FILE, _SLOTS = 500_000, 1 << 22
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -50,10 +50,17 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).union(current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """The members (key, node), each once, of keys with two nodes or more, with the node's popularity."""
-    counts = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    full = written(members.join(written(counts, "bucket-sizes"), "key"), "bucket-full")
+def asked_only(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """The rows whose column's value is among the asked, and a few more: the others are told apart by a broadcast table of _SLOTS hashes at
+    most, whatever their number, so that no join moves them. It holds back less as the asked values near _SLOTS, and nothing far above."""
+    slot = F.pmod(F.xxhash64(column), F.lit(_SLOTS))
+    return rows.join(F.broadcast(asked.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+
+
+def shared_buckets(members: DataFrame, sparse: bool = False) -> DataFrame:
+    """The members (key, node), each once, of keys with two nodes or more, with the node's popularity; sparse: most keys have one node."""
+    counts = written(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
+    full = written((asked_only(members, counts, "key") if sparse else members).join(counts, "key"), "bucket-full")
     popular = written(full.groupBy("node").agg(F.sum("size").alias("popularity")), "popularity")
     return written(full.select("key", "node").join(popular, "node"), "buckets")
 

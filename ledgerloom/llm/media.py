@@ -508,8 +508,9 @@ def copy_classes(
             keys, place = _batch_keys(batch.column(1), min_inliers)
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(place)], ["key", "node"])
 
-    buckets = grouping.shared_buckets(map_batches(sets, keyed, "key long, node long"))
-    met = written(sets.join(buckets.select("node").distinct(), "node"), "bucket-keypoints")
+    buckets = grouping.shared_buckets(map_batches(sets, keyed, "key long, node long"), sparse=True)
+    asked = written(buckets.select("node").distinct(), "bucket-nodes")
+    met = written(grouping.asked_only(sets, asked, "node").join(asked, "node"), "bucket-keypoints")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from ledgerloom.llm import media, registry
+from ledgerloom.llm import grouping, media, registry
 
 
 def picture(seed, height=160, width=200):
@@ -239,6 +239,14 @@ def test_classes_are_those_of_all_pairs_that_share_an_entry(spark):
     assert 20 < len(set(got.values())) < 150 and len(pairs) > 300
 
 
+def test_members_of_single_buckets_are_held_back(spark):
+    members = spark.range(3000).selectExpr("id * 7919 AS key", "id AS node").union(spark.createDataFrame([(7919, -1), (15838, -2)], "key long, node long"))
+    asked = spark.createDataFrame([(7919,), (15838,)], "key long")
+    assert 4 <= grouping.asked_only(members, asked, "key").count() < 30
+    found = [sorted((r.key, r.node) for r in grouping.shared_buckets(members, sparse).collect()) for sparse in (False, True)]
+    assert found[0] == found[1] == [(7919, -1), (7919, 1), (15838, -2), (15838, 2)]
+
+
 def test_entries_of_many_pictures_at_once():
     points = media.describe([picture(k, 60 + 20 * k, 90).astype(np.float32) for k in range(5)], media.comparisons())
     points.insert(2, points[0][:0])
